@@ -51,14 +51,13 @@ def floored(model: TopicModel) -> TopicModel:
 
 
 def posterior(cells: DataFrame, model: TopicModel) -> DataFrame:
-    """``P(z|w,d)`` of every cell, one row per cell and topic."""
+    """``(word, doc_id, p)`` with the array ``p[z] = P(z|w,d)`` of every cell."""
     k = model.k
     joined = cells.select("word", "doc_id").join(model.weighted_words, "word")
     joined = joined.join(model.docs.select("doc_id", F.col("p").alias("b")), "doc_id")
-    shares = joined.select(
-        "word", "doc_id", "a", "b", F.expr(f"({dot('a', 'b', k)}) AS total")
-    ).select("word", "doc_id", build(k, lambda z: f"a[{z}] * b[{z}] / total").alias("p"))
-    return shares.select("word", "doc_id", F.posexplode("p").alias("z", "p"))
+    totals = joined.withColumn("total", F.expr(dot("a", "b", k)))
+    shares = build(k, lambda z: f"a[{z}] * b[{z}] / total")
+    return totals.select("word", "doc_id", shares.alias("p"))
 
 
 def _weighted(words: DataFrame, mass: Column, k: int) -> DataFrame:

@@ -10,32 +10,22 @@ from pyspark.sql import functions as F
 from topicweave.functions.text import as_text, clean_text
 from topicweave.operators.ranking import top_per_group
 from topicweave.schemas import CORPUS_COLUMNS, CORPUS_FILE, CREATED_AT_FORMAT, STATUS
+from topicweave.session import Scratch
 
 
-def read_corpus(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
+def read_corpus(
+    spark: SparkSession, path: str, sep: str = "\t", scratch: Scratch | None = None
+) -> DataFrame:
     """Read a delimited corpus with header; texts may be quoted and span lines.
 
-    Rows of a file have no key, so ``doc_id`` is the digest-based id of the row's
-    contents: the same on every read, whatever the partitioning. Equal rows are
-    told apart by their count within the digest.
+    Rows of a file have no key, so each gets a ``doc_id`` in file order. The rows
+    are written once with it, which fixes the ids and spares reparsing.
     """
     rows = spark.read.schema(CORPUS_FILE).csv(
         path, sep=sep, header=True, multiLine=True, quote='"', escape='"'
     )
-    return with_doc_ids(rows)
-
-
-def with_doc_ids(rows: DataFrame) -> DataFrame:
-    """Add ``doc_id``: a 64-bit hash of the row, repeated rows salted by a counter.
-
-    Equal rows are counted, not gathered: one row per distinct content leaves the
-    aggregate, and its copies are numbered as they are written out again.
-    """
-    names = rows.columns
-    copies = rows.groupBy(*names).count()
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy")
-    numbered = copies.select(*names, copy)
-    return numbered.select(F.xxhash64(*names, "copy").alias("doc_id"), *names)
+    numbered = rows.select(F.monotonically_increasing_id().alias("doc_id"), "*")
+    return (scratch or Scratch(spark, "corpus")).write(numbered, "rows")
 
 
 def read_statuses(spark: SparkSession, path: str) -> DataFrame:
