@@ -72,10 +72,12 @@ def _split_word(word: Column) -> Column:
     return F.split(F.trim(padded), " +")
 
 
-def word_tokens(text: Column) -> Column:
-    """Split a text into words and marks; links lose their scheme.
+def _words(text: Column) -> Column:
+    return F.split(as_text(text), WHITE_SPACE)
+
 
-    Every rule looks at one white-space word only, so plain words and words with
+def _tokens_of(words: Column) -> Column:
+    """Every rule looks at one white-space word only, so plain words and words with
     a closing comma or full stop (nearly all) skip them.
     """
 
@@ -93,10 +95,14 @@ def word_tokens(text: Column) -> Column:
             .otherwise(_split_word(word))
         )
 
-    words = F.split(as_text(text), WHITE_SPACE)
     return F.filter(F.flatten(F.transform(words, parts)), lambda t: t != "")
 
 
+def word_tokens(text: Column) -> Column:
+    """Split a text into words and marks; links lose their scheme."""
+    return _tokens_of(_words(text))
+
+
 def is_emoticon(token: Column) -> Column:
     return token.isin(EMOTICONS)
 
@@ -123,8 +129,13 @@ def keep_token(token: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """Tokenise, drop stop words, emoticons, punctuation and short links, rejoin."""
-    return F.array_join(F.filter(word_tokens(text), keep_token), " ")
+    """Tokenise, drop stop words, emoticons, punctuation and short links, rejoin.
+
+    Stop words that no rule splits (close to half of a text) go before the rules.
+    """
+    whole = [w for w in cleaning_stop_words() if w.isalpha() and w not in MERGED_WORDS]
+    words = F.filter(_words(text), lambda w: ~F.lower(w).isin(whole))
+    return F.array_join(F.filter(_tokens_of(words), keep_token), " ")
 
 
 def counted_tokens(text: Column) -> Column:

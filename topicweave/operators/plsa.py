@@ -68,6 +68,15 @@ def _weighted(words: DataFrame, mass: Column, k: int) -> DataFrame:
     return p.select("word", build(k, lambda z: f"p[{z}] * prior[{z}]").alias("a"))
 
 
+def _every_document(docs: DataFrame, corpus: DataFrame | None, name: str, k: int) -> DataFrame:
+    """Documents without a counted word stay at the floor."""
+    if corpus is None:
+        return docs
+    floor = F.array(*[F.lit(EPSILON)] * k)
+    every = corpus.select("doc_id").distinct().join(docs, "doc_id", "left")
+    return every.select("doc_id", F.coalesce(name, floor).alias(name))
+
+
 def fit_em(
     blocks: CellBlocks,
     k: int,
@@ -98,7 +107,7 @@ def fit_em(
         words_a = _weighted(word_sums, mass, k)
         docs_b = normalised(doc_sums, "doc_id", mass, k, EPSILON, "b")
         if keep_history:
-            row = residuals(blocks, words_a, docs_b, k)
+            row = residuals(blocks, words_a, _every_document(docs_b, corpus, "b", k), k)
             row = row.select(F.lit("EM").alias("method"), F.lit(turn + 1).alias("iter"), "*")
             row = scratch.write(row, f"history/iter={turn + 1}").select(row.columns)
             history = row if history is None else history.unionByName(row)
@@ -106,17 +115,9 @@ def fit_em(
         return model
     masses = column_sums(word_sums, "s", k).first()["m"]
     docs = normalised(doc_sums, "doc_id", literal(masses), k, EPSILON)
-    if corpus is not None:
-        floor = F.array(*[F.lit(EPSILON)] * k)
-        docs = (
-            corpus.select("doc_id")
-            .distinct()
-            .join(docs, "doc_id", "left")
-            .select("doc_id", F.coalesce("p", floor).alias("p"))
-        )
     return TopicModel(
         words=normalised(word_sums, "word", literal(masses), k, EPSILON),
-        docs=docs,
+        docs=_every_document(docs, corpus, "p", k),
         topic_prior=[m / sum(masses) for m in masses],
         history=history,
     )

@@ -183,18 +183,18 @@ def stream_ingest(spark, sf_dir):
 
 
 def clean_text(spark, sf_dir):
-    corpus = src.with_edited_text(documents(spark, sf_dir))
+    corpus = src.with_edited_text(src.spread(documents(spark, sf_dir)))
     return src.text_column(corpus)
 
 
 def clean_conversations(spark, sf_dir):
-    corpus = src.with_edited_text(conversations(spark, sf_dir))
+    corpus = src.with_edited_text(src.spread(conversations(spark, sf_dir)))
     return src.text_column(corpus)
 
 
 def _kept(corpus: DataFrame, drop) -> DataFrame:
     kept = F.filter(tx.word_tokens(F.col("full_text")), lambda t: ~drop(t))
-    return corpus.select("doc_id", F.array_join(kept, " ").alias("kept"))
+    return src.spread(corpus).select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
 def emoticon_filter(spark, sf_dir):
@@ -234,7 +234,8 @@ def strip_emoji(spark, sf_dir):
 
 
 def term_counts(spark, sf_dir):
-    return counts.term_counts(src.with_edited_text(documents(spark, sf_dir)))
+    corpus = src.with_edited_text(src.spread(documents(spark, sf_dir)))
+    return counts.term_counts(corpus)
 
 
 def joint_distribution(spark, sf_dir):

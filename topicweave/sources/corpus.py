@@ -60,6 +60,17 @@ def statuses_to_corpus(statuses: DataFrame) -> DataFrame:
     )
 
 
+def spread(corpus: DataFrame) -> DataFrame:
+    """Give every core texts to work on when a small source has few input splits.
+
+    Large sources have more splits than cores and stay as they are.
+    """
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    if corpus.rdd.getNumPartitions() >= cores:
+        return corpus
+    return corpus.repartition(4 * cores, "doc_id")
+
+
 def with_edited_text(corpus: DataFrame) -> DataFrame:
     """Add the cleaned text."""
     return corpus.withColumn("edited_text", clean_text(F.col("full_text")))
