@@ -98,7 +98,14 @@ def generate_corpus(
 def write_corpus(corpus: DataFrame, path: str, sep: str = "\t") -> None:
     """Write the four corpus columns, delimited, with header."""
     corpus.select(*CORPUS_FILE.fieldNames()).write.mode("overwrite").csv(
-        path, sep=sep, header=True, quote='"', escape='"', emptyValue="", lineSep="\n"
+        path,
+        sep=sep,
+        header=True,
+        quote='"',
+        escape='"',
+        emptyValue="",
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     )
 
 
