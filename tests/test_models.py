@@ -184,10 +184,16 @@ def test_svd_equals_dense(blocks, counts):
     assert u.T @ u == pytest.approx(np.eye(4), abs=1e-6)
 
 
-def test_many_topics(corpus, blocks):
-    model = fit_em(blocks, 40, 1, corpus=corpus)
-    assert len(model.words.first().p) == 40
-    assert sum(model.topic_prior) == pytest.approx(1.0)
+def test_many_topics_equal_dense_computation(spark, corpus, blocks, counts):
+    words, docs, x = counts
+    k = 40  # beyond the unrolled size
+    start = start_values(blocks, corpus, k, Scratch(spark, "t"))
+    w0, d0 = matrix(start.words, "word", words), matrix(start.docs, "doc_id", docs)
+    want = em_dense(x, w0, d0, np.array(start.topic_prior), 2)
+    model = fit_em(blocks, k, 2, corpus=corpus)
+    assert matrix(model.words, "word", words) == pytest.approx(want[0], abs=1e-12)
+    assert matrix(model.docs, "doc_id", docs) == pytest.approx(want[1], abs=1e-12)
+    assert model.topic_prior == pytest.approx(want[2].tolist(), abs=1e-12)
 
 
 def test_engine_rejects_bad_arguments(spark, corpus):

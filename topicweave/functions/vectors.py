@@ -1,19 +1,23 @@
-"""SQL text for arithmetic on fixed-length arrays, unrolled per element.
+"""SQL text for arithmetic on arrays with one value per topic.
 
-A factor row holds one ``array<double>`` with K topics. Unrolled element access
-keeps the arithmetic inside generated code, where a lambda would not be.
+A factor row holds one ``array<double>``. Up to ``UNROLL`` topics the arithmetic is
+written out element by element, which keeps it inside generated code; beyond that
+it is a higher-order function, because generated methods have a size limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+UNROLL = 32
 
-def total(terms: list[str]) -> str:
-    """Sum of SQL terms as a balanced tree, so many topics do not nest deeply."""
+Element = Callable[[str], str]  # index (number or variable) -> SQL of one element
+
+
+def _balanced(terms: list[str]) -> str:
     while len(terms) > 1:
         terms = [
             f"({terms[i]} + {terms[i + 1]})" if i + 1 < len(terms) else terms[i]
@@ -22,24 +26,61 @@ def total(terms: list[str]) -> str:
     return terms[0]
 
 
+def total(k: int, element: Element) -> str:
+    """``element(0) + ... + element(k-1)``"""
+    if k <= UNROLL:
+        return _balanced([element(str(z)) for z in range(k)])
+    values = f"transform(sequence(0, {k - 1}), z -> {element('z')})"
+    return f"aggregate({values}, 0D, (x, y) -> x + y)"
+
+
 def dot(a: str, b: str, k: int) -> str:
-    return total([f"{a}[{z}] * {b}[{z}]" for z in range(k)])
+    return total(k, lambda z: f"{a}[{z}] * {b}[{z}]")
 
 
-def build(k: int, element: Callable[[int], str]) -> Column:
-    """array(element(0), ..., element(k-1))"""
-    return F.expr("array(" + ", ".join(element(z) for z in range(k)) + ")")
+def build(k: int, element: Element) -> Column:
+    """``array(element(0), ..., element(k-1))``"""
+    if k <= UNROLL:
+        return F.expr("array(" + ", ".join(element(str(z)) for z in range(k)) + ")")
+    return F.expr(f"transform(sequence(0, {k - 1}), z -> {element('z')})")
 
 
-def sums(k: int, element: Callable[[int], str]) -> list[Column]:
-    """K aggregate columns s0..s(k-1)."""
-    return [F.expr(f"sum({element(z)}) AS s{z}") for z in range(k)]
+def literal(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
-def packed(k: int) -> Column:
-    """The columns of :func:`sums` as one array."""
-    return build(k, lambda z: f"s{z}")
+def _packed(width: int) -> Column:
+    return F.expr("array(" + ", ".join(f"s{z}" for z in range(width)) + ")")
 
 
-def literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _sums(width: int, element: Element, first: str = "") -> list[Column]:
+    return [F.expr(f"sum({element(f'{first}{z}')}) AS s{z}") for z in range(width)]
+
+
+def _slab(k: int) -> int:
+    """Largest divisor of k that is still unrolled."""
+    return max(s for s in range(1, UNROLL + 1) if k % s == 0)
+
+
+def grouped_sums(rows: DataFrame, keys: list[str], k: int, element: Element) -> DataFrame:
+    """``(keys, s)`` with ``s[z] = sum element(z)`` per group.
+
+    With many topics a row is repeated for each slab of topics, not for each topic,
+    and the slabs of a key are put together after the sums.
+    """
+    if k <= UNROLL:
+        return rows.groupBy(*keys).agg(*_sums(k, element)).select(*keys, _packed(k).alias("s"))
+    width = _slab(k)
+    slabs = rows.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(k // width - 1))))
+    summed = slabs.groupBy(*keys, "slab").agg(*_sums(width, element, f"slab * {width} + "))
+    parts = F.array_sort(F.collect_list(F.struct("slab", _packed(width).alias("s"))))
+    return summed.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["s"])).alias("s"))
+
+
+def column_sums(factor: DataFrame, name: str, k: int) -> DataFrame:
+    """One row with the array ``m`` of per-topic sums."""
+    if k <= UNROLL:
+        return factor.agg(*_sums(k, lambda z: f"{name}[{z}]")).select(_packed(k).alias("m"))
+    by_topic = factor.select(F.posexplode(name).alias("z", "x")).groupBy("z").agg(F.sum("x").alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("z", "x")))
+    return by_topic.agg(F.transform(ordered, lambda t: t["x"]).alias("m"))

@@ -40,10 +40,9 @@ class TopicModel:
 
     def floored_words(self, floor: float) -> DataFrame:
         """:attr:`weighted_words` with P(w|z) raised to a floor."""
-        weighted = build(
-            self.k, lambda z: f"greatest(p[{z}], {floor!r}D) * {self.topic_prior[z]!r}D"
-        )
-        return self.words.select("word", weighted.alias("a"))
+        weighted = build(self.k, lambda z: f"greatest(p[{z}], {floor!r}D) * prior[{z}]")
+        words = self.words.withColumn("prior", literal(self.topic_prior))
+        return words.select("word", weighted.alias("a"))
 
     def reconstruct(self, cells: DataFrame) -> DataFrame:
         """``sum_z P(z) P(w|z) P(d|z)`` on the cells asked for (``word, doc_id``)."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import clean_text
-from topicweave.functions.vectors import dot, packed, sums
+from topicweave.functions.vectors import UNROLL, Element, dot, grouped_sums
 from topicweave.operators.counts import word_counts
 
 # A factor at most this large is broadcast; a larger one is routed.
@@ -25,6 +25,10 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 DOCUMENT_CELLS = 1_000_000
 
 
+def _share(z: str) -> str:
+    return f"t * a[{z}] * b[{z}]"
+
+
 def _block_of(doc_id: Column, part: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(doc_id, part), F.lit(blocks)).cast("int")
 
@@ -85,31 +89,40 @@ class CellBlocks:
         """Every cell with both factors."""
         return self.with_docs(self.with_words(self.cells, words, k), docs, k)
 
-    def _grouped(self, rows: DataFrame, key: str, columns: list[Column], k: int) -> DataFrame:
+    def _grouped(self, rows: DataFrame, key: str, element: Element, k: int) -> DataFrame:
         # an unsplit document lives in one block, so its sum needs no shuffle
         keys = ["block", "doc_id"] if key == "doc_id" and self.split_docs is None else [key]
-        return rows.groupBy(*keys).agg(*columns).select(key, packed(k).alias("s"))
+        return grouped_sums(rows, keys, k, element).select(key, "s")
+
+    def shares(self, words: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+        """Every cell with both factors and ``t = n / (a . b)``."""
+        share = F.expr(f"n / ({dot('a', 'b', k)}) AS t")
+        joined = self.joined(words, docs, k)
+        return joined.select("block", "word", "doc_id", "a", "b", share)
 
     def share_sums(self, words: DataFrame, docs: DataFrame, k: int, key: str) -> DataFrame:
         """``s[z] = sum n * a[z] b[z] / (a . b)`` over the cells of each key."""
-        shared = self.joined(words, docs, k).select(
-            "block", "word", "doc_id", "a", "b", F.expr(f"n / ({dot('a', 'b', k)}) AS t")
-        )
-        return self._grouped(shared, key, sums(k, lambda z: f"t * a[{z}] * b[{z}]"), k)
+        return self._grouped(self.shares(words, docs, k), key, _share, k)
 
     def both_share_sums(self, words: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         """:meth:`share_sums` of both sides in one pass: ``(side, word, doc_id, s)``."""
-        shared = self.joined(words, docs, k).select(
-            "word", "doc_id", "a", "b", F.expr(f"n / ({dot('a', 'b', k)}) AS t")
-        )
-        grouped = shared.groupingSets(
-            [[F.col("word")], [F.col("doc_id")]], F.col("word"), F.col("doc_id")
-        ).agg(
+        shared = self.shares(words, docs, k)
+        if k > UNROLL:
+            by_word = self._grouped(shared, "word", _share, k).select(
+                "word", F.lit(None).cast("long").alias("doc_id"), "s", F.lit("words").alias("side")
+            )
+            by_doc = self._grouped(shared, "doc_id", _share, k).select(
+                F.lit(None).cast("string").alias("word"), "doc_id", "s", F.lit("docs").alias("side")
+            )
+            return by_word.unionByName(by_doc)
+        sides = [[F.col("word")], [F.col("doc_id")]]
+        grouped = shared.groupingSets(sides, F.col("word"), F.col("doc_id")).agg(
             F.grouping("word").cast("int").alias("by_doc"),
-            *sums(k, lambda z: f"t * a[{z}] * b[{z}]"),
+            *[F.expr(f"sum({_share(str(z))}) AS s{z}") for z in range(k)],
         )
-        side = F.when(F.col("by_doc") == 1, "docs").otherwise("words")
-        return grouped.select("word", "doc_id", packed(k).alias("s"), side.alias("side"))
+        side = F.when(F.col("by_doc") == 1, "docs").otherwise("words").alias("side")
+        packed = F.array(*[F.col(f"s{z}") for z in range(k)]).alias("s")
+        return grouped.select("word", "doc_id", packed, side)
 
     def product_sums(self, factor: DataFrame, k: int, key: str) -> DataFrame:
         """``s[z] = sum n * f[z]`` where f is the factor of the other side."""
@@ -117,7 +130,7 @@ class CellBlocks:
             rows, name = self.with_docs(self.cells, factor, k), "b"
         else:
             rows, name = self.with_words(self.cells, factor, k), "a"
-        return self._grouped(rows, key, sums(k, lambda z: f"n * {name}[{z}]"), k)
+        return self._grouped(rows, key, lambda z: f"n * {name}[{z}]", k)
 
     def release(self) -> None:
         self.cells.unpersist()

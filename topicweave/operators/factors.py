@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import build, packed, sums
+from topicweave.functions.vectors import UNROLL, build
 
 # Fixed value: float32 machine epsilon, the floor of P(w|z) and P(d|z).
 EPSILON = 1.1920928955078125e-07
@@ -13,11 +13,21 @@ EPSILON = 1.1920928955078125e-07
 TINY = 1e-12
 
 
+def _seed(prefix: str, key: Column, z: Column) -> Column:
+    """One value of :func:`seed_vector`, for a topic number in a column."""
+    group = F.shiftright(z, 2).cast("string")
+    digest = F.md5(F.concat(F.lit(prefix), key.cast("string"), F.lit(":"), group))
+    digits = F.substring(digest, F.lit(1) + z.bitwiseAND(3) * 8, F.lit(8))
+    return (F.conv(digits, 16, 10).cast("double") + 1) / 4294967296.0
+
+
 def seed_vector(prefix: str, key: Column, k: int) -> Column:
     """K reproducible uniform values in (0, 1] for a key, from its MD5 digest.
 
     One digest gives four values: eight hexadecimal digits each.
     """
+    if k > UNROLL:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda z: _seed(prefix, key, z))
     digests = [
         F.md5(F.concat(F.lit(prefix), key.cast("string"), F.lit(f":{g}")))
         for g in range((k + 3) // 4)
@@ -36,11 +46,6 @@ def seed_topics(spark, k: int, prefix: str = "z") -> list[float]:
     return [u / sum(row["u"]) for u in row["u"]]
 
 
-def column_sums(factor: DataFrame, name: str, k: int) -> DataFrame:
-    """One row with the array of per-topic sums."""
-    return factor.agg(*sums(k, lambda z: f"{name}[{z}]")).select(packed(k).alias("m"))
-
-
 def normalised(
     factor: DataFrame, key: str, mass: Column, k: int, floor: float, out: str = "p"
 ) -> DataFrame:

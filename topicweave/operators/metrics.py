@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import dot, packed, sums, total
+from topicweave.functions.vectors import column_sums, dot, grouped_sums, total
 from topicweave.operators.cells import CellBlocks
-from topicweave.operators.factors import column_sums
 from topicweave.operators.gram import gram
 
 
@@ -16,7 +15,7 @@ def _first_order(
 ) -> DataFrame:
     """``sum |min(f, grad)|`` with ``grad = other_sums - ratio`` per key."""
     rows = factor.join(ratio, key).withColumn("m", other_sums.scalar())
-    gap = total([f"abs(least(f[{z}], m[{z}] - r[{z}]))" for z in range(k)])
+    gap = total(k, lambda z: f"abs(least(f[{z}], m[{z}] - s[{z}]))")
     return rows.agg(F.expr(f"sum({gap})").alias("residual"))
 
 
@@ -38,23 +37,19 @@ def residuals(blocks: CellBlocks, w: DataFrame, h: DataFrame, k: int) -> DataFra
     )
     cells = cells.withColumn("t", F.expr("x / model"))
     w_sums, h_sums = column_sums(w, "a", k), column_sums(h, "b", k)
-    by_word = cells.groupBy("word").agg(*sums(k, lambda z: f"t * b[{z}]"))
-    by_doc = cells.groupBy("doc_id").agg(*sums(k, lambda z: f"t * a[{z}]"))
-    kkt_w = _first_order(
-        by_word.select("word", packed(k).alias("r")),
-        w.select("word", F.col("a").alias("f")), h_sums, "word", k,
-    )
-    kkt_h = _first_order(
-        by_doc.select("doc_id", packed(k).alias("r")),
-        h.select("doc_id", F.col("b").alias("f")), w_sums, "doc_id", k,
-    )
+    by_word = grouped_sums(cells, ["word"], k, lambda z: f"t * b[{z}]")
+    by_doc = grouped_sums(cells, ["doc_id"], k, lambda z: f"t * a[{z}]")
+    w_rows = w.select("word", F.col("a").alias("f"))
+    h_rows = h.select("doc_id", F.col("b").alias("f"))
+    kkt_w = _first_order(by_word, w_rows, h_sums, "word", k)
+    kkt_h = _first_order(by_doc, h_rows, w_sums, "doc_id", k)
     cell_sums = cells.agg(
         F.expr("sum(x * ln(t))").alias("log_part"),
         F.expr("sum(x)").alias("x_sum"),
         F.expr("sum(x * x - 2 * x * model)").alias("square_part"),
     )
     inner = float((gram(w, "a", k) * gram(h, "b", k)).sum())
-    all_cells = total([f"mw[{z}] * mh[{z}]" for z in range(k)])
+    all_cells = dot("mw", "mh", k)
     return cell_sums.withColumns(
         {"mw": w_sums.scalar(), "mh": h_sums.scalar()}
     ).select(

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import build, literal
+from topicweave.functions.vectors import build, column_sums, literal
 from topicweave.model import TopicModel
 from topicweave.operators.cells import CellBlocks
-from topicweave.operators.factors import TINY, column_sums, seed_vector
+from topicweave.operators.factors import TINY, seed_vector
 from topicweave.operators.gram import (
     gram,
     hals_step,

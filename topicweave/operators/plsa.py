@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import build, dot, literal
+from topicweave.functions.vectors import build, column_sums, dot, literal, total
 from topicweave.model import TopicModel
 from topicweave.operators.cells import CellBlocks
 from topicweave.operators.factors import (
     EPSILON,
-    column_sums,
     normalised,
     seed_topics,
     seed_vector,
@@ -62,10 +61,9 @@ def posterior(cells: DataFrame, model: TopicModel) -> DataFrame:
 
 def _weighted(words: DataFrame, mass: Column, k: int) -> DataFrame:
     """``a[z] = P(z) P(w|z)`` from word sums and their topic mass."""
-    prior = build(k, lambda z: f"m[{z}] / aggregate(m, 0D, (x, y) -> x + y)")
     p = normalised(words, "word", mass, k, EPSILON).withColumn("m", mass)
-    p = p.withColumn("prior", prior)
-    return p.select("word", build(k, lambda z: f"p[{z}] * prior[{z}]").alias("a"))
+    p = p.withColumn("all", F.expr(total(k, lambda z: f"m[{z}]")))
+    return p.select("word", build(k, lambda z: f"p[{z}] * (m[{z}] / all)").alias("a"))
 
 
 def _every_document(docs: DataFrame, corpus: DataFrame | None, name: str, k: int) -> DataFrame:

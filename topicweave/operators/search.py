@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import query_terms
-from topicweave.functions.vectors import dot, literal, sums, total
+from topicweave.functions.vectors import dot, grouped_sums, literal
 from topicweave.model import TopicModel
 from topicweave.operators.cells import BROADCAST_BYTES
 from topicweave.operators.factors import TINY
@@ -84,8 +84,9 @@ def fold_in_all_words(
     q = [1.0 / k] * k
     for _ in range(n_iter):
         shared = words.withColumn("q", literal(q)).withColumn("d", F.expr(dot("a", "q", k)))
-        row = shared.agg(*sums(k, lambda z: f"n * a[{z}] * q[{z}] / d")).first()
-        q = [max(s / sum(row), TINY) for s in row]
+        shared = shared.withColumn("one", F.lit(0))
+        mass = grouped_sums(shared, ["one"], k, lambda z: f"n * a[{z}] * q[{z}] / d").first()["s"]
+        q = [max(m / sum(mass), TINY) for m in mass]
     words.unpersist()
     return q
 
@@ -126,7 +127,8 @@ def search(
     if q is None:
         scored = scored.where(F.lit(False))
         q = [0.0] * model.k
-    score = F.expr(total([f"{x!r}D * p[{z}]" for z, x in enumerate(q)]))
+    scored = scored.withColumn("q", literal(q))
+    score = F.expr(dot("q", "p", model.k))
     best = (
         scored.where(score > threshold)
         .select(F.lit(0).alias("query_id"), "doc_id", F.round(score, 9).alias("score"))
