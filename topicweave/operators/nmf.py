@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import build, column_sums, literal
+from topicweave.functions.vectors import UNROLL, build, column_sums, literal
 from topicweave.model import TopicModel
 from topicweave.operators.cells import CellBlocks
 from topicweave.operators.factors import TINY, seed_vector
@@ -71,7 +71,7 @@ def start_factors(
 
 
 def _half_step(
-    blocks: CellBlocks, factors: Factors, side: str, update, shared: bool
+    blocks: CellBlocks, factors: Factors, side: str, update, shared: bool, scratch: Scratch
 ) -> DataFrame:
     """The renewed factor of one side (``words`` or ``docs``)."""
     k = factors.k
@@ -86,6 +86,7 @@ def _half_step(
         sums = blocks.product_sums(
             other.withColumnRenamed("f", "b" if side == "words" else "a"), k, key
         )
+    sums = scratch.settled(sums, f"{side}-sums", k > UNROLL)
     # rows without a cell (documents without a counted word) have sums of zero
     zeros = F.array(*[F.lit(0.0)] * k)
     scaled = build(k, lambda z: f"s[{z}] / {blocks.total!r}D")
@@ -125,7 +126,9 @@ def fit_nmf(
     for turn in range(n_iter):
         for side in order:
             renewed = scratch.slot(
-                _half_step(blocks, factors, side, update, update == "divergence"), side, turn
+                _half_step(blocks, factors, side, update, update == "divergence", scratch),
+                side,
+                turn,
             )
             words = renewed if side == "words" else factors.words
             docs = renewed if side == "docs" else factors.docs
@@ -146,10 +149,12 @@ def nmf_to_plsa(factors: Factors) -> TopicModel:
     h = column_sums(factors.docs, "f", k).first()["m"]
     masses = [x * y for x, y in zip(w, h)]
     total = sum(masses)
+    scratch = Scratch(factors.words.sparkSession, "plsa-from-factors")
 
     def divided(factor: DataFrame, key: str, by: list[float]) -> DataFrame:
         shares = build(k, lambda z: f"f[{z}] / m[{z}]")
-        return factor.withColumn("m", literal(by)).select(key, shares.alias("p"))
+        rows = factor.withColumn("m", literal(by)).select(key, shares.alias("p"))
+        return scratch.settled(rows, key, k > UNROLL)
 
     return TopicModel(
         words=divided(factors.words, "word", w),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import build, column_sums, dot, literal, total
+from topicweave.functions.vectors import UNROLL, build, column_sums, dot, literal, total
 from topicweave.model import TopicModel
 from topicweave.operators.cells import CellBlocks
 from topicweave.operators.factors import (
@@ -31,19 +31,23 @@ def start_values(
     docs = scratch.write(
         docs.select("doc_id", seed_vector("d", F.col("doc_id"), k).alias("s")), "docs-start"
     )
+    words = normalised(words, "word", column_sums(words, "s", k).scalar(), k, EPSILON)
+    docs = normalised(docs, "doc_id", column_sums(docs, "s", k).scalar(), k, EPSILON)
+    many = k > UNROLL
     return TopicModel(
-        words=normalised(words, "word", column_sums(words, "s", k).scalar(), k, EPSILON),
-        docs=normalised(docs, "doc_id", column_sums(docs, "s", k).scalar(), k, EPSILON),
+        words=scratch.settled(words, "words-start-p", many),
+        docs=scratch.settled(docs, "docs-start-p", many),
         topic_prior=seed_topics(spark, k),
     )
 
 
-def floored(model: TopicModel) -> TopicModel:
+def floored(model: TopicModel, scratch: Scratch) -> TopicModel:
     """A given start with both conditionals floored."""
 
     def floor(factor: DataFrame, key: str) -> DataFrame:
-        return factor.select(
-            key, build(model.k, lambda z: f"greatest(p[{z}], {EPSILON!r}D)").alias("p")
+        raised = build(model.k, lambda z: f"greatest(p[{z}], {EPSILON!r}D)")
+        return scratch.settled(
+            factor.select(key, raised.alias("p")), f"{key}-floored", model.k > UNROLL
         )
 
     return TopicModel(floor(model.words, "word"), floor(model.docs, "doc_id"), model.topic_prior)
@@ -59,11 +63,20 @@ def posterior(cells: DataFrame, model: TopicModel) -> DataFrame:
     return totals.select("word", "doc_id", shares.alias("p"))
 
 
-def _weighted(words: DataFrame, mass: Column, k: int) -> DataFrame:
+def _prior(mass: DataFrame, k: int) -> DataFrame:
+    """P(z) as one row from the topic masses."""
+    with_total = mass.select("m", F.expr(total(k, lambda z: f"m[{z}]")).alias("total"))
+    return with_total.select(build(k, lambda z: f"m[{z}] / total").alias("prior"))
+
+
+def _weighted(words: DataFrame, mass: DataFrame, k: int) -> DataFrame:
     """``a[z] = P(z) P(w|z)`` from word sums and their topic mass."""
-    p = normalised(words, "word", mass, k, EPSILON).withColumn("m", mass)
-    p = p.withColumn("all", F.expr(total(k, lambda z: f"m[{z}]")))
-    return p.select("word", build(k, lambda z: f"p[{z}] * (m[{z}] / all)").alias("a"))
+    weighted = build(
+        k,
+        lambda z: f"greatest(IF(m[{z}] > 0, s[{z}] / m[{z}], 0D), {EPSILON!r}D) * prior[{z}]",
+    )
+    rows = words.withColumn("m", mass.scalar()).withColumn("prior", _prior(mass, k).scalar())
+    return rows.select("word", weighted.alias("a"))
 
 
 def _every_document(docs: DataFrame, corpus: DataFrame | None, name: str, k: int) -> DataFrame:
@@ -91,7 +104,7 @@ def fit_em(
     """
     spark = blocks.cells.sparkSession
     scratch = scratch or Scratch(spark, "plsa")
-    model = floored(start) if start else start_values(blocks, corpus, k, scratch)
+    model = floored(start, scratch) if start else start_values(blocks, corpus, k, scratch)
     words_a = model.weighted_words
     docs_b = model.docs.select("doc_id", F.col("p").alias("b"))
     word_sums = doc_sums = None
@@ -101,9 +114,9 @@ def fit_em(
         both = scratch.slot(blocks.both_share_sums(words_a, docs_b, k), "sums", turn, "side")
         word_sums = both.where("side = 'words'").select("word", "s")
         doc_sums = both.where("side = 'docs'").select("doc_id", "s")
-        mass = column_sums(word_sums, "s", k).scalar()
+        mass = column_sums(word_sums, "s", k)
         words_a = _weighted(word_sums, mass, k)
-        docs_b = normalised(doc_sums, "doc_id", mass, k, EPSILON, "b")
+        docs_b = normalised(doc_sums, "doc_id", mass.scalar(), k, EPSILON, "b")
         if keep_history:
             row = residuals(blocks, words_a, _every_document(docs_b, corpus, "b", k), k)
             row = row.select(F.lit("EM").alias("method"), F.lit(turn + 1).alias("iter"), "*")
@@ -112,9 +125,11 @@ def fit_em(
     if n_iter == 0:
         return model
     masses = column_sums(word_sums, "s", k).first()["m"]
+    words = normalised(word_sums, "word", literal(masses), k, EPSILON)
     docs = normalised(doc_sums, "doc_id", literal(masses), k, EPSILON)
+    docs = scratch.settled(docs, "docs-p", k > UNROLL)
     return TopicModel(
-        words=normalised(word_sums, "word", literal(masses), k, EPSILON),
+        words=scratch.settled(words, "words-p", k > UNROLL),
         docs=_every_document(docs, corpus, "p", k),
         topic_prior=[m / sum(masses) for m in masses],
         history=history,

@@ -67,6 +67,12 @@ class Scratch:
         writer.parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def settled(self, df: DataFrame, name: str, when: bool) -> DataFrame:
+        """The same rows, written first if asked: later steps then read plain columns
+        instead of repeating the expressions behind them per element.
+        """
+        return self.write(df, name) if when else df
+
     def slot(
         self, df: DataFrame, name: str, turn: int, partition_by: str | None = None
     ) -> DataFrame:
