@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import clean_text
@@ -138,6 +138,14 @@ class CellBlocks:
             self.routes.unpersist()
 
 
+def default_blocks(spark: SparkSession) -> int:
+    """As many blocks as shuffle partitions; one machine needs only a few per core."""
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        return min(blocks, 2 * spark.sparkContext.defaultParallelism)
+    return blocks
+
+
 def place_corpus(
     corpus: DataFrame, blocks: int | None = None, broadcast_bytes: int = BROADCAST_BYTES
 ) -> CellBlocks:
@@ -147,7 +155,7 @@ def place_corpus(
     and is cleaned (unless ``edited_text`` is there) and counted in place. Its
     cells come from one text row, which bounds them.
     """
-    blocks = blocks or int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or default_blocks(corpus.sparkSession)
     column = "edited_text" if "edited_text" in corpus.columns else "full_text"
     texts = corpus.select(
         _block_of(F.col("doc_id"), F.lit(0), blocks).alias("block"), "doc_id", column
@@ -169,7 +177,7 @@ def place_cells(
     Documents are counted first; the cells of a large one are spread by word over
     several blocks. There are at most ``cells / document_cells`` large ones.
     """
-    blocks = blocks or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or default_blocks(cells.sparkSession)
     sizes = cells.groupBy("doc_id").count().where(F.col("count") > document_cells)
     split_docs = sizes.select(
         "doc_id", F.ceil(F.col("count") / F.lit(document_cells)).cast("int").alias("parts")
