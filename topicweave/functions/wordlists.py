@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
 # English stop words (the list the cleaning results rest on).
 ENGLISH_STOP_WORDS = """
 i me my myself we our ours ourselves you you're you've you'll you'd your yours
@@ -23,6 +19,35 @@ shan shan't shouldn shouldn't wasn wasn't weren weren't won won't wouldn
 wouldn't
 """.split()
 
+# Spanish stop words (the public list that Spark ML ships, in its order).
+SPANISH_STOP_WORDS = """
+de la que el en y a los del se las por un para con no una su al lo como más pero sus le
+ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien
+desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes
+algunos qué unos yo otro otras otra él tanto esa estos mucho quienes nada muchos cual
+poco ella estar estas algunas algo nosotros mi mis tú te ti tu tus ellas nosotras
+vosostros vosostras os mío mía míos mías tuyo tuya tuyos tuyas suyo suya suyos suyas
+nuestro nuestra nuestros nuestras vuestro vuestra vuestros vuestras esos esas estoy
+estás está estamos estáis están esté estés estemos estéis estén estaré estarás estará
+estaremos estaréis estarán estaría estarías estaríamos estaríais estarían estaba estabas
+estábamos estabais estaban estuve estuviste estuvo estuvimos estuvisteis estuvieron
+estuviera estuvieras estuviéramos estuvierais estuvieran estuviese estuvieses
+estuviésemos estuvieseis estuviesen estando estado estada estados estadas estad he has
+ha hemos habéis han haya hayas hayamos hayáis hayan habré habrás habrá habremos habréis
+habrán habría habrías habríamos habríais habrían había habías habíamos habíais habían
+hube hubiste hubo hubimos hubisteis hubieron hubiera hubieras hubiéramos hubierais
+hubieran hubiese hubieses hubiésemos hubieseis hubiesen habiendo habido habida habidos
+habidas soy eres es somos sois son sea seas seamos seáis sean seré serás será seremos
+seréis serán sería serías seríamos seríais serían era eras éramos erais eran fui fuiste
+fue fuimos fuisteis fueron fuera fueras fuéramos fuerais fueran fuese fueses fuésemos
+fueseis fuesen sintiendo sentido sentida sentidos sentidas siente sentid tengo tienes
+tiene tenemos tenéis tienen tenga tengas tengamos tengáis tengan tendré tendrás tendrá
+tendremos tendréis tendrán tendría tendrías tendríamos tendríais tendrían tenía tenías
+teníamos teníais tenían tuve tuviste tuvo tuvimos tuvisteis tuvieron tuviera tuvieras
+tuviéramos tuvierais tuvieran tuviese tuvieses tuviésemos tuvieseis tuviesen teniendo
+tenido tenida tenidos tenidas tened
+""".split()
+
 # Extra stop words of the cleaning step.
 CLEANING_EXTRA_STOP_WORDS = [
     "http", "https", "co", "vía", "rt", "así", "por", "tan", "si", "según",
@@ -54,28 +79,11 @@ SAD_EMOTICONS = [
 EMOTICONS = HAPPY_EMOTICONS + SAD_EMOTICONS
 
 
-@lru_cache(maxsize=1)
-def spanish_stop_words() -> tuple[str, ...]:
-    """Spark ML's Spanish stop list, read from the ML jar of this Spark."""
-    import pyspark
-    from pyspark import SparkContext
-
-    if SparkContext._active_spark_context is None:
-        jars = Path(pyspark.__file__).parent.joinpath("jars").glob("spark-mllib_*.jar")
-        for jar in jars:
-            with zipfile.ZipFile(jar) as z:
-                raw = z.read("org/apache/spark/ml/feature/stopwords/spanish.txt")
-            return tuple(w for w in raw.decode("utf-8").split("\n") if w)
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(StopWordsRemover.loadDefaultStopWords("spanish"))
-
-
 def cleaning_stop_words() -> list[str]:
-    return sorted({*ENGLISH_STOP_WORDS, *spanish_stop_words(), *CLEANING_EXTRA_STOP_WORDS})
+    return sorted({*ENGLISH_STOP_WORDS, *SPANISH_STOP_WORDS, *CLEANING_EXTRA_STOP_WORDS})
 
 
 def query_stop_words() -> list[str]:
     return sorted(
-        {*ENGLISH_STOP_WORDS, *spanish_stop_words(), *PUNCTUATION, *QUERY_EXTRA_STOP_WORDS}
+        {*ENGLISH_STOP_WORDS, *SPANISH_STOP_WORDS, *PUNCTUATION, *QUERY_EXTRA_STOP_WORDS}
     )

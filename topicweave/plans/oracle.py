@@ -388,8 +388,8 @@ def _em_residuals(iterations: list[int], tag: str = "e") -> tuple[list[str], lis
 
 def _ranked_docs(source: str, where: str = "") -> str:
     return (
-        "SELECT z, rank, doc_id, p, screen_name, full_text FROM (SELECT *, row_number() OVER"
-        f" (PARTITION BY z ORDER BY p DESC, doc_id) AS rank FROM ({source}) {where})"
+        "SELECT z, rank, doc_id, p, screen_name, full_text FROM (SELECT *, (row_number() OVER"
+        f" (PARTITION BY z ORDER BY p DESC, doc_id))::INT AS rank FROM ({source}) {where})"
         " JOIN corpus USING (doc_id) WHERE rank <= 5"
     )
 
@@ -435,7 +435,7 @@ def _hits(queries: str) -> str:
         MODEL,
         _fold(queries),
         tail="SELECT query_id, rank, doc_id, score, screen_name, full_text FROM (SELECT *,"
-        " row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank"
+        " (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank"
         f" FROM (SELECT query_id, doc_id, round({score}, 9) AS score FROM q{SEARCH_ITERATIONS},"
         f" {LAST_D} WHERE {score} > {SEARCH_THRESHOLD!r}::double)) JOIN corpus USING (doc_id)"
         f" WHERE rank <= {TOP_HITS}",
@@ -458,8 +458,8 @@ def statements() -> dict[str, str]:
     )
     asked = "SELECT item_id AS query_id, text AS query FROM benchmark"
     top = (
-        f"SELECT z, rank, word, p FROM (SELECT *, row_number() OVER (PARTITION BY z ORDER BY p DESC,"
-        f" word) AS rank FROM ({_unpivot(LAST_W, 'word', 9)})) WHERE rank <= 10"
+        f"SELECT z, rank, word, p FROM (SELECT *, (row_number() OVER (PARTITION BY z ORDER BY p DESC,"
+        f" word))::INT AS rank FROM ({_unpivot(LAST_W, 'word', 9)})) WHERE rank <= 10"
     )
     emoji = "regexp_replace(full_text, {}, '', 'g')"
     em_ctes, em_rows = _em_residuals(list(range(1, N_EM + 1)))
