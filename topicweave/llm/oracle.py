@@ -48,3 +48,24 @@ SELECT doc_id, size, source_size, target,
        (size * (whole + floor(part * (i + 1) + u0) - floor(part * i + u0)))::BIGINT AS taken
 FROM n
 """
+
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), x AS (
+  SELECT doc_id, i, lines[i] AS line,
+         translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)
+), r AS (
+  SELECT key, max(doc_id) AS holder FROM x WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), k AS (
+  SELECT x.doc_id, count(*) AS n_lines,
+         count(*) FILTER (holder IS NOT NULL AND holder <> x.doc_id) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY i)
+                  FILTER (holder IS NULL OR holder = x.doc_id), '') AS kept
+  FROM x LEFT JOIN r USING (key) GROUP BY x.doc_id
+)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM k
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import mixing, oracle, sharding
+from topicweave.llm import linededup, mixing, oracle, packing, sharding
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,17 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
+    return kept.select(
+        "doc_id",
+        "n_lines",
+        "n_dropped",
+        F.sha2(F.array_join("kept_lines", "\n").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select(
@@ -34,9 +45,13 @@ def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op8_shard": op8_shard}
+    return {"op1_mix": op1_mix, "op5_line_dedup": op5_line_dedup, "op8_shard": op8_shard, "op9_pack": op9_pack}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_mix": oracle.MIX}
+    return {"op1_mix": oracle.MIX, "op5_line_dedup": oracle.LINES}
