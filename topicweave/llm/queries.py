@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import fingerprint, linededup, mixing, oracle, packing, sharding
+from topicweave.llm import fingerprint, linededup, mixing, oracle, packing, sharding, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,12 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
@@ -54,7 +60,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op5_line_dedup": op5_line_dedup, "op8_shard": op8_shard, "op9_pack": op9_pack}
+    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op8_shard": op8_shard, "op9_pack": op9_pack}
 
 
 def statements() -> dict[str, str]:
