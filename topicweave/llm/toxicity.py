@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 SAMPLE = 2500
 SAMPLE_CHARS = 20_000
-WINDOW_WORDS = 8
+WINDOW_WORDS = 10
 LONGEST = 512
 GRAM = 5
 #: A gram counts as toxic if it is in this share of toxic rows, so many times commoner there
 #: than in ordinary rows, and so many standard deviations above what these let expect.
-GRAM_SHARE, GRAM_LIFT, GRAM_DEVIATIONS = 0.01, 5.0, 6.0
-TOXIC_BYTES, COMMON_BYTES = 640, 4096
+GRAM_SHARE, GRAM_LIFT, GRAM_DEVIATIONS = 0.01, 30.0, 6.0
+TOXIC_BYTES, COMMON_BYTES = 320, 4096
 CUT = 0.7
 
 
