@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import fingerprint, linededup, mixing, oracle, packing, sharding, toxicity
+from topicweave.llm import fingerprint, importance, linededup, mixing, oracle, packing, sharding, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    rows, _, _ = importance.draw(docs, importance.fit(docs, labels))
+    return rows.withColumnRenamed("drawn", "kept")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select(
@@ -60,7 +67,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op8_shard": op8_shard, "op9_pack": op9_pack}
+    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op8_shard": op8_shard, "op9_pack": op9_pack}
 
 
 def statements() -> dict[str, str]:
