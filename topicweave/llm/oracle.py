@@ -69,3 +69,80 @@ WITH l AS (
 )
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_dropped::BIGINT AS n_dropped, sha256(kept) AS kept_sha256 FROM k
 """
+
+
+def _quoted(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _js(counts: str, reference: str) -> str:
+    """Jensen-Shannon distance of a list of counts to a list of shares."""
+    c, r = f"({counts})[i] / list_sum({counts})", f"({reference})[i]"
+    part = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({c} + {r}) / 2)) ELSE 0.0::DOUBLE END"
+    both = f"({part.format(x=c, c=c, r=r)} + {part.format(x=r, c=c, r=r)}) / 2"
+    return (
+        f"CASE WHEN list_sum({counts}) > 0 THEN sqrt(greatest(0.0::DOUBLE, list_sum(list_transform("
+        f"range(1, len({counts}) + 1), lambda i: {both})))) END"
+    )
+
+
+def rules_sql() -> str:
+    from topicweave.llm import rules as r
+
+    rules = r.Rules()
+    listed = rules.listed
+    languages = sorted(rules.words)
+    strip = r"[\x20\x09-\x0D]+"
+    lose = lambda pattern: f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))::DOUBLE"
+    punctuation = r.PUNCTUATION.replace("'", "''")
+    sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i + 1}])" for i in range(n)) + "]"
+    nearest = lambda own, ref: "list_min([" + ", ".join(
+        _js(own, f"{ref}_{x}") for x in languages
+    ) + "])"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '{WORD}')) AS lines
+  FROM documents
+), h AS (
+  SELECT *, list_concat(c, [length(t) - list_sum(c)]) AS classes,
+         list_concat(f, [len(w) - list_sum(f)]) AS common
+  FROM (
+    SELECT *, [{lose(strip)}, {lose(r.SYMBOLS)}, {lose(punctuation)}, {lose(r.UPPER)}, {lose(r.DIGITS)}] AS c,
+           list_transform({_quoted(listed)}, lambda k:
+             len(list_filter(w, lambda x: lower(x) = k))::DOUBLE) AS f
+    FROM d)
+), refs AS MATERIALIZED (
+  SELECT lang, list_transform(a, lambda x: x / list_sum(a)) AS ca,
+         list_transform(b, lambda x: x / list_sum(b)) AS wb
+  FROM (SELECT lang, {sums("classes", len(r.CLASSES))} AS a, {sums("common", len(listed) + 1)} AS b
+        FROM h WHERE lang IN ({", ".join(f"'{x}'" for x in languages)}) GROUP BY lang)
+), wide AS MATERIALIZED (
+  SELECT {", ".join(f"any_value({c}) FILTER (lang = '{x}') AS {c}_{x}" for c in ("ca", "wb") for x in languages)}
+  FROM refs
+), tri AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT doc_id, count(DISTINCT k) AS n_repeat_words
+  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM tri WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT h.doc_id, len(w)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (classes[2])::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, length(t) AS n_chars,
+         {nearest("classes", "ca")} AS cd, {nearest("common", "wb")} AS wd
+  FROM h CROSS JOIN wide LEFT JOIN rep ON rep.doc_id = h.doc_id
+), v AS (
+  SELECT *, n_words < {rules.min_words}
+            OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
+         coalesce(n_chars >= {rules.class_guard} AND round(cd, 9) > {rules.max_class_distance}, false)
+         OR coalesce(n_words >= {rules.word_guard} AND round(wd, 9) > {rules.max_word_distance}, false) AS stray
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT stray AS kept FROM v
+"""

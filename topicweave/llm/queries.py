@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import fingerprint, importance, linededup, mixing, oracle, packing, sharding, toxicity
+from topicweave.llm import fingerprint, importance, linededup, mixing, oracle, packing, rules, sharding, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,14 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("drawn", "kept")
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(documents(spark, sf_dir, "doc_id", "text"))
     return rows.select(
@@ -67,8 +75,8 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op8_shard": op8_shard, "op9_pack": op9_pack}
+    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op7_rules": op7_rules, "op8_shard": op8_shard, "op9_pack": op9_pack}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_mix": oracle.MIX, "op5_line_dedup": oracle.LINES}
+    return {"op1_mix": oracle.MIX, "op5_line_dedup": oracle.LINES, "op7_rules": oracle.rules_sql()}

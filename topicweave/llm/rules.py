@@ -42,9 +42,9 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     #: Largest distance to the nearest language, and the least length for it to decide.
-    max_class_distance: float = 0.2
+    max_class_distance: float = 0.25
     class_guard: int = 100
-    max_word_distance: float = 0.6
+    max_word_distance: float = 0.45
     word_guard: int = 100
     words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
