@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.llm import hashing
 from topicweave.llm.common import numbered
 from topicweave.session import Scratch
 
@@ -40,52 +41,12 @@ ADDED = 1.0
 #: temperature) sets it against the Gumbel noise.
 NEUTRAL, SHARPNESS = 50.0, 500.0
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_BASE = 0x2545F4914F6CDD1D
-_rising: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_GAP = np.zeros(256, dtype=bool)
-_GAP[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, the tables doubling as needed."""
-    for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-        table = _rising[k]
-        while len(table) <= n:
-            table = np.concatenate([table, table * np.uint64(pow(base, len(table), 1 << 64))])
-        _rising[k] = table
-    return _rising[0], _rising[1]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M2
-    return x ^ (x >> np.uint64(29))
-
 
 def features(data: np.ndarray) -> np.ndarray:
     """Buckets of the words and word pairs of one text, given as UTF-8 bytes; A-Z lower-cased."""
-    if not len(data):
-        return np.zeros(0, dtype=np.int64)
-    gap = _GAP[data]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
-    starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, dtype=np.int64)
-    with np.errstate(over="ignore"):
-        up, down = _tables(len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((_LOWER[data].astype(np.uint64) + _M1) * up[: len(data)], out=sums[1:])
-        words = _mixed((sums[ends] - sums[starts]) * down[starts])
-        pairs = _mixed(words[:-1] * _M1 + words[1:])
-    return (np.concatenate([words, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def _bytes(column: pa.Array) -> Iterator[np.ndarray]:
-    for value in column:
-        raw = value.as_buffer() if value.is_valid else None
-        yield np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, dtype=np.uint8)
+    own = hashing.words(data)
+    pairs = hashing.runs(own, 2) if len(own) > 1 else own[:0]
+    return (np.concatenate([own, pairs]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 @dataclass
@@ -105,7 +66,7 @@ def _counts(docs: DataFrame, flags: list[str]) -> pd.DataFrame:
         held = np.zeros((len(names), BUCKETS), dtype=np.int64)
         for batch in batches:
             marks = [batch.column(i + 1).to_pylist() for i in range(len(flags))]
-            for r, data in enumerate(_bytes(batch.column(0))):
+            for r, data in enumerate(hashing.texts(batch.column(0))):
                 own = np.bincount(features(data), minlength=BUCKETS)
                 held[0] += own
                 for i, mark in enumerate(marks):
@@ -128,7 +89,7 @@ def _weights(docs: DataFrame, ratios: np.ndarray, keep: list[str]) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, w = [], []
-            for data in _bytes(batch.column(len(keep))):
+            for data in hashing.texts(batch.column(len(keep))):
                 own = features(data)
                 n.append(len(own))
                 w.append(float(np.round(ratios[own].sum(), 9)))

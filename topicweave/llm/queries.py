@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import fingerprint, importance, linededup, mixing, oracle, packing, rules, sharding, toxicity
+from topicweave.llm import fingerprint, importance, linededup, minhash, mixing, oracle, packing, rules, sharding, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,9 +74,13 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(documents(spark, sf_dir, "doc_id", "text")).drop("ta", "tb")
+
+
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op7_rules": op7_rules, "op8_shard": op8_shard, "op9_pack": op9_pack}
+    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op7_rules": op7_rules, "op8_shard": op8_shard, "op9_pack": op9_pack, "op10_minhash": op10_minhash}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_mix": oracle.MIX, "op5_line_dedup": oracle.LINES, "op7_rules": oracle.rules_sql()}
+    return {"op1_mix": oracle.MIX, "op5_line_dedup": oracle.LINES, "op7_rules": oracle.rules_sql(), "op10_minhash": oracle.NEAR}
