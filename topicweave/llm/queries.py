@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import fingerprint, importance, linededup, minhash, mixing, oracle, packing, rules, sharding, toxicity
+from topicweave.llm import fingerprint, importance, linededup, minhash, mixing, oracle, packing, repeats, rules, sharding, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir, "doc_id", "text")).drop("spans")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -79,7 +83,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op7_rules": op7_rules, "op8_shard": op8_shard, "op9_pack": op9_pack, "op10_minhash": op10_minhash}
+    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op3_repeats": op3_repeats, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op7_rules": op7_rules, "op8_shard": op8_shard, "op9_pack": op9_pack, "op10_minhash": op10_minhash}
 
 
 def statements() -> dict[str, str]:
