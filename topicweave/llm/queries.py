@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,8 +84,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry() -> dict[str, Query]:
-    return {"op1_mix": op1_mix, "op2_fingerprint": op2_fingerprint, "op3_repeats": op3_repeats, "op4_toxicity": op4_toxicity, "op5_line_dedup": op5_line_dedup, "op6_importance": op6_importance, "op7_rules": op7_rules, "op8_shard": op8_shard, "op9_pack": op9_pack, "op10_minhash": op10_minhash}
+    own = [
+        op1_mix, op2_fingerprint, op3_repeats, op4_toxicity, op5_line_dedup, op6_importance,
+        op7_rules, op8_shard, op9_pack, op10_minhash,
+    ]
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_mix": oracle.MIX, "op5_line_dedup": oracle.LINES, "op7_rules": oracle.rules_sql(), "op10_minhash": oracle.NEAR}
+    found = {
+        "op1_mix": oracle.MIX,
+        "op5_line_dedup": oracle.LINES,
+        "op7_rules": oracle.rules_sql(),
+        "op10_minhash": oracle.NEAR,
+    }
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
