@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicweave.llm import importance, linededup, minhash, mixing, packing
+from topicweave.llm.common import sealed
 from topicweave.session import Scratch
 
 
@@ -24,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others hold; a document without lines keeps its row."""
-    columns = docs.columns
+    docs, names, columns = sealed(docs, ["doc_id", "text", "n_chars"])
     marked = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     changed = F.col("n_dropped") > 0
     text = F.when(changed, F.array_join("kept_lines", "\n")).otherwise(F.col("text"))
@@ -32,12 +33,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in columns:
         length = F.length("text").cast("long")
         marked = marked.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return marked.select(*columns)
+    return marked.select(*names).toDF(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
-    columns = docs.columns
+    docs, names, columns = sealed(docs, ["doc_id", "text"])
     kept = minhash.link(docs).where("kept").select("doc_id", "ta", "tb").distinct()
     kept = kept.toDF("_doc", "_ta", "_tb")
     keyed = docs.withColumns(
@@ -50,7 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     once = Window.partitionBy("doc_id", "_a", "_b").orderBy("_b")
     one = keyed.join(kept, on, "left_semi").withColumn("_nth", F.row_number().over(once))
-    return one.where("_nth = 1").select(*columns)
+    return one.where("_nth = 1").select(*names).toDF(*columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,15 @@ def partitions_for(df: DataFrame, mb_each: int = 128) -> int:
     return max(shuffle_partitions(df.sparkSession), min(100_000, bounded // (mb_each << 20)))
 
 
+def sealed(docs: DataFrame, used: Sequence[str], results: Sequence[str] = ()):
+    """``docs`` with columns other than ``used`` under names no step uses, those names, and
+    the names to give back. A column named like a result is left out: the result takes its place.
+    """
+    docs = docs.drop(*results)
+    names = [c if c in used else f"_extra{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names, docs.columns
+
+
 def row_key(*columns: str | Column) -> list[Column]:
     """Two hashes of the whole row. Rows that agree in every column share the key."""
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]

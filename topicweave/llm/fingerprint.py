@@ -156,12 +156,20 @@ def likeness(a: Prefixes, b: Prefixes) -> float:
         ends_a, ends_b = a.n - last, b.n - last
         hash_a, at_a = anchors(a, first, ends_a)
         hash_b, at_b = anchors(b, first, ends_b)
-        shared, pick_a, pick_b = np.intersect1d(hash_a, hash_b, return_indices=True)
+        order = np.lexsort((at_b, hash_b))
+        hash_b, at_b = hash_b[order], at_b[order]
+        shared = np.isin(hash_a, hash_b)
+        hash_a, at_a = hash_a[shared], at_a[shared]
+        opens, closes = (np.searchsorted(hash_b, hash_a, side=s) for s in ("left", "right"))
         done_a = done_b = first
-        for k in np.argsort(at_a[pick_a]):
-            i, j = int(at_a[pick_a[k]]), int(at_b[pick_b[k]])
-            if i < done_a or j < done_b:
+        for i, low, high in zip(at_a.tolist(), opens.tolist(), closes.tolist(), strict=True):
+            if i < done_a:
                 continue
+            # The first equal window of b behind what is already matched.
+            low += int(np.searchsorted(at_b[low:high], done_b))
+            if low == high:
+                continue
+            j = int(at_b[low])
             right = min(extension(a, i, b, j), ends_a - i, ends_b - j)
             if right < WINDOW:
                 continue

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm import hashing
-from topicweave.llm.common import numbered
+from topicweave.llm.common import numbered, sealed
 from topicweave.session import Scratch
 
 BUCKETS = 10_000
@@ -188,7 +188,7 @@ def keep_drawn(docs: DataFrame, model: ImportanceModel, last: float, seed: int =
              "log_weight": [float(np.round(ratios[o].sum(), 9)) for o in own]}
         )
 
-    columns = docs.columns
+    docs, names, columns = sealed(docs, ["text"])
     weighed = docs.withColumn("_w", weigh(F.col("text").cast("binary")))
     key = _key("_w.log_weight", "_w.n_grams", F.xxhash64(F.lit(seed), F.col("text")))
-    return weighed.where((F.col("_w.n_grams") > 0) & (key >= F.lit(last))).select(*columns)
+    return weighed.where((F.col("_w.n_grams") > 0) & (key >= F.lit(last))).select(*names).toDF(*columns)

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicweave.llm.common import shuffle_partitions
+from topicweave.llm.common import sealed, shuffle_partitions
 from topicweave.session import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,7 +86,9 @@ def keep_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with ``kept_lines``, ``n_lines`` and ``n_dropped``."""
+    """``docs`` with ``kept_lines``, ``n_lines`` and ``n_dropped`` (such columns are replaced)."""
+    results = ["kept_lines", "n_lines", "n_dropped"]
+    docs, names, columns = sealed(docs, ["doc_id", "text"], results)
     marks = bitmaps.select(
         F.col("doc_id").alias("_doc"), F.col("_ta").alias("_ma"), F.col("_tb").alias("_mb"),
         F.col("dropped").alias("_dropped"),
@@ -113,4 +115,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
             "n_lines": F.size(lines).cast("long"),
             "n_dropped": (F.size(lines) - F.size("kept_lines")).cast("long"),
         }
-    ).select(*docs.columns, "kept_lines", "n_lines", "n_dropped")
+    ).select(*names, *results).toDF(*columns, *results)

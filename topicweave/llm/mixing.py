@@ -70,6 +70,10 @@ def source_targets(
     )
 
 
+def whole_row(docs: DataFrame) -> list[Column]:
+    return row_key(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def plan_copies(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -80,7 +84,7 @@ def plan_copies(
     """``doc_id, source, size, source_size, target, copies`` and the row key, per document."""
     scratch = Scratch(docs.sparkSession, "mix")
     sizes = scratch.write(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *row_key(*docs.columns)),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *whole_row(docs)),
         "sizes",
     )
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -109,16 +113,18 @@ def plan_copies(
 
 
 def emit(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as the plan says."""
+    """The mixture itself: each row of ``docs`` as often as the plan made from it says."""
     columns = docs.columns
+    names = [f"_extra{i}" for i in range(len(columns))]
     times = (
         plan.groupBy("_key_a", "_key_b")
         .agg(F.sum("copies").alias("_times"))
         .where("_times > 0")
     )
-    keyed = docs.select(*columns, *row_key(*columns)).dropDuplicates(["_key_a", "_key_b"])
+    keyed = docs.toDF(*names).select(*names, *row_key(*names)).dropDuplicates(["_key_a", "_key_b"])
     return (
         keyed.join(times, ["_key_a", "_key_b"])
         .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .select(*columns)
+        .select(*names)
+        .toDF(*columns)
     )

@@ -9,7 +9,7 @@ a least number of characters, or words, below which it decides nothing.
 A null or empty text has no words and fails the base rules. Documents without a language, or of
 one without a word list, enter no reference but are judged. If a reference is missing, its
 distance is absent and rejects nothing. Repeated rows are judged alike; extra columns are
-carried by :func:`judge`.
+carried by :func:`judge`; those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.llm.common import GAP
+from topicweave.llm.common import GAP, sealed
 
 # Common words of each language.
 COMMON_WORDS = {
@@ -34,6 +34,10 @@ SYMBOLS = r"[#*$%&|<>]"
 PUNCTUATION = r"[!\x22'()+,\-./:;=?@\[\\\]^_`{}~]"
 UPPER = r"\p{Lu}"
 DIGITS = "[0-9]"
+RESULTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    "class_distance", "word_distance", "base_failed", "kept",
+]
 CLASSES = ["white", "symbols", "punctuation", "upper", "digits", "others"]
 
 
@@ -203,6 +207,7 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[list[float], li
 def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
     """``docs`` with base counts, ``class_distance``, ``word_distance``, ``base_failed``, ``kept``."""
     rules = rules or Rules()
+    docs, names, columns = sealed(docs, ["text", "lang"], RESULTS)
     known = references(docs, rules)
 
     def nearest(column: str, which: int) -> Column:
@@ -223,4 +228,5 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         (F.col("n_words") >= rules.word_guard) & (F.col("word_distance") > rules.max_word_distance),
     ]
     stray = reduce(lambda a, b: a | b, [F.coalesce(s, F.lit(False)) for s in strays])
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~stray).drop("_classes", "_common")
+    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~stray)
+    return out.select(*names, *RESULTS).toDF(*columns, *RESULTS)
