@@ -12,7 +12,8 @@ No bucket is paired out. First each node of a bucket is tried against the bucket
 node that shares most buckets: one pair per node. What is linked becomes components, and
 a bucket that holds one component is done. In the others the leader, now compared with all,
 leaves; small ones try the pairs of different components; large ones are split by the members'
-other bands (a pair then agrees in two bands), and those that stay large go on leader by leader.
+other bands (a pair then agrees in two bands), and those that stay large go on with a fixed number
+of leaders a turn, compared with all and then taken out.
 So every pair of a bucket is tried unless its ends are already in one component.
 
 A null text or one without words has an empty set and is linked with nothing. With fewer than
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicweave.llm import hashing
@@ -38,8 +39,9 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: Deviations of the estimate below the threshold that a candidate may have.
 SLACK = 5.0
-#: Buckets with more members than this are not paired but split.
-SMALL = 64
+#: Buckets with more members than this are not paired but split; where that does not help, so
+#: many nodes at a time lead a bucket.
+SMALL, LEADING = 256, 64
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -293,13 +295,18 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
         found = few.select("key", F.col("node").alias("a"), "root").join(other, "key").where("a < b and root <> other")
         pairs = found.select("a", "b")
         if not many.isEmpty() and split:
-            top = leaders(many.select("key", "node"), popular)
-            led = many.join(top, "key")
-            own = led.where("node = leader").select("key", F.col("root").alias("own"))
+            first_ones = Window.partitionBy("key").orderBy(F.col("popularity").desc(), "node")
+            top = many.join(popular, "node").withColumn("nth", F.row_number().over(first_ones)).where(
+                F.col("nth") <= LEADING
+            )
+            top = scratch.write(
+                top.select("key", F.col("node").alias("leader"), F.col("root").alias("own")), f"leaders-{step}"
+            )
             pairs = pairs.union(
-                led.join(own, "key").where("root <> own").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+                many.join(top, "key").where("root <> own").select(F.col("leader").alias("a"), F.col("node").alias("b"))
             )
-            rest = led.where("node <> leader").select("key", "node")
+            led = top.select("key", F.col("leader").alias("node"))
+            rest = many.select("key", "node").join(led, ["key", "node"], "left_anti")
         elif not many.isEmpty():
             # Split by the members' other bands: a pair of theirs shares two keys.
             again = members.select("node", F.col("key").alias("second"))
