@@ -82,7 +82,7 @@ class TopicEngine:
             raise ValueError("Topics and iterations must be positive.")
         given = place_cells(cells) if cells is not None else None
         blocks = given or self.blocks
-        corpus = None if given else self.get_corpus()
+        corpus = self.get_corpus()
         if method == "EM":
             start = nmf_to_plsa(init) if init else None
             model = fit_em(blocks, n_topics, n_iters, start, corpus, keep_history)

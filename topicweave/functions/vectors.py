@@ -53,13 +53,35 @@ def _packed(width: int) -> Column:
     return F.expr("array(" + ", ".join(f"s{z}" for z in range(width)) + ")")
 
 
-def _sums(width: int, element: Element, first: str = "") -> list[Column]:
-    return [F.expr(f"sum({element(f'{first}{z}')}) AS s{z}") for z in range(width)]
+def _sums(width: int, element: Element) -> list[Column]:
+    return [F.expr(f"sum({element(str(z))}) AS s{z}") for z in range(width)]
 
 
-def _slab(k: int) -> int:
-    """Largest divisor of k that is still unrolled."""
-    return max(s for s in range(1, UNROLL + 1) if k % s == 0)
+def slabs(k: int) -> tuple[int, int]:
+    """Number of slabs and topics per slab, for k topics in slabs that are unrolled."""
+    count = -(-k // UNROLL)
+    return count, -(-k // count)
+
+
+def slab_sums(k: int, element: Element) -> list[Column]:
+    """Sums of a row's slab; the last slab may be shorter and repeats the last topic."""
+    _, width = slabs(k)
+    return [
+        F.expr(f"sum({element(f'least(slab * {width} + {z}, {k - 1})')}) AS s{z}")
+        for z in range(width)
+    ]
+
+
+def with_slabs(rows: DataFrame, k: int) -> DataFrame:
+    """A row once per slab of topics."""
+    return rows.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs(k)[0] - 1))))
+
+
+def joined_slabs(k: int) -> Column:
+    """The slabs' sums of a key as one array ``s``."""
+    width = slabs(k)[1]
+    parts = F.array_sort(F.collect_list(F.struct("slab", _packed(width).alias("s"))))
+    return F.slice(F.flatten(F.transform(parts, lambda p: p["s"])), 1, k).alias("s")
 
 
 def grouped_sums(rows: DataFrame, keys: list[str], k: int, element: Element) -> DataFrame:
@@ -70,11 +92,8 @@ def grouped_sums(rows: DataFrame, keys: list[str], k: int, element: Element) ->
     """
     if k <= UNROLL:
         return rows.groupBy(*keys).agg(*_sums(k, element)).select(*keys, _packed(k).alias("s"))
-    width = _slab(k)
-    slabs = rows.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(k // width - 1))))
-    summed = slabs.groupBy(*keys, "slab").agg(*_sums(width, element, f"slab * {width} + "))
-    parts = F.array_sort(F.collect_list(F.struct("slab", _packed(width).alias("s"))))
-    return summed.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda p: p["s"])).alias("s"))
+    summed = with_slabs(rows, k).groupBy(*keys, "slab").agg(*slab_sums(k, element))
+    return summed.groupBy(*keys).agg(joined_slabs(k))
 
 
 def column_sums(factor: DataFrame, name: str, k: int) -> DataFrame:

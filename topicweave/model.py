@@ -44,8 +44,16 @@ class TopicModel:
         words = self.words.withColumn("prior", literal(self.topic_prior))
         return words.select("word", weighted.alias("a"))
 
-    def reconstruct(self, cells: DataFrame) -> DataFrame:
-        """``sum_z P(z) P(w|z) P(d|z)`` on the cells asked for (``word, doc_id``)."""
-        joined = cells.select("word", "doc_id").join(self.weighted_words, "word")
-        joined = joined.join(self.docs.select("doc_id", F.col("p").alias("b")), "doc_id")
+    def with_cells(self, cells) -> DataFrame:
+        """Cells with ``a`` and ``b`` of their word and document. Placed cells (``CellBlocks``)
+        stay where they are; other frames (``word, doc_id``) are joined on word, then document.
+        """
+        docs = self.docs.select("doc_id", F.col("p").alias("b"))
+        if hasattr(cells, "joined"):
+            return cells.joined(self.weighted_words, docs, self.k)
+        return cells.select("word", "doc_id").join(self.weighted_words, "word").join(docs, "doc_id")
+
+    def reconstruct(self, cells) -> DataFrame:
+        """``sum_z P(z) P(w|z) P(d|z)`` on the cells asked for (see :meth:`with_cells`)."""
+        joined = self.with_cells(cells)
         return joined.select("word", "doc_id", F.expr(dot("a", "b", self.k)).alias("p"))

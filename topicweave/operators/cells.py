@@ -16,7 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import clean_text
-from topicweave.functions.vectors import UNROLL, Element, dot, grouped_sums
+from topicweave.functions.vectors import (
+    UNROLL,
+    Element,
+    dot,
+    grouped_sums,
+    joined_slabs,
+    slab_sums,
+    with_slabs,
+)
 from topicweave.operators.counts import word_counts
 
 # A factor at most this large is broadcast; a larger one is routed.
@@ -107,20 +115,20 @@ class CellBlocks:
     def both_share_sums(self, words: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         """:meth:`share_sums` of both sides in one pass: ``(side, word, doc_id, s)``."""
         shared = self.shares(words, docs, k)
+        side = F.when(F.col("by_doc") == 1, "docs").otherwise("words").alias("side")
         if k > UNROLL:
-            by_word = self._grouped(shared, "word", _share, k).select(
-                "word", F.lit(None).cast("long").alias("doc_id"), "s", F.lit("words").alias("side")
-            )
-            by_doc = self._grouped(shared, "doc_id", _share, k).select(
-                F.lit(None).cast("string").alias("word"), "doc_id", "s", F.lit("docs").alias("side")
+            keys = [F.col("word"), F.col("doc_id"), F.col("slab")]
+            both = [[keys[0], keys[2]], [keys[1], keys[2]]]
+            summed = with_slabs(shared, k).groupingSets(both, *keys).agg(
+                F.grouping("word").cast("int").alias("by_doc"), *slab_sums(k, _share)
             )
-            return by_word.unionByName(by_doc)
+            held = summed.groupBy("word", "doc_id", "by_doc").agg(joined_slabs(k))
+            return held.select("word", "doc_id", "s", side)
         sides = [[F.col("word")], [F.col("doc_id")]]
         grouped = shared.groupingSets(sides, F.col("word"), F.col("doc_id")).agg(
             F.grouping("word").cast("int").alias("by_doc"),
             *[F.expr(f"sum({_share(str(z))}) AS s{z}") for z in range(k)],
         )
-        side = F.when(F.col("by_doc") == 1, "docs").otherwise("words").alias("side")
         packed = F.array(*[F.col(f"s{z}") for z in range(k)]).alias("s")
         return grouped.select("word", "doc_id", packed, side)
 

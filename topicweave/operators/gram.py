@@ -103,7 +103,8 @@ def nnls_step(rows: np.ndarray, target: np.ndarray, g: np.ndarray) -> np.ndarray
     """Exact non-negative least squares by block principal pivoting.
 
     Rows that share a passive set are solved together. After three exchanges
-    without progress a row changes only its last wrong variable, which ends.
+    without progress a row changes only its last wrong variable, which ends unless
+    rounding stands in the way; rows still open then go on by coordinate descent.
     """
     n, k = target.shape
     ridge = g + np.eye(k) * 1e-14 * max(float(np.trace(g)), TINY)
@@ -117,7 +118,7 @@ def nnls_step(rows: np.ndarray, target: np.ndarray, g: np.ndarray) -> np.ndarray
         count = wrong.sum(axis=1)
         open_rows = np.flatnonzero(count)
         if not len(open_rows):
-            break
+            return np.maximum(x, TINY)
         better = count < best
         best = np.where(better, count, best)
         tries = np.where(better, 3, tries - 1)
@@ -136,4 +137,20 @@ def nnls_step(rows: np.ndarray, target: np.ndarray, g: np.ndarray) -> np.ndarray
             x[at] = solution
             y[at] = solution @ ridge - target[at]
             y[np.ix_(at, np.flatnonzero(chosen))] = 0.0
+    wrong = np.where(passive, x < -1e-14, y < -1e-14)
+    at = np.flatnonzero(wrong.any(axis=1))
+    x[at] = descended(np.maximum(x[at], 0.0), target[at], ridge)
     return np.maximum(x, TINY)
+
+
+def descended(rows: np.ndarray, target: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Non-negative minimiser by cyclic coordinate descent, until nothing moves."""
+    x = rows.copy()
+    scale = np.maximum(np.abs(target) / np.diag(g), TINY).max(initial=TINY)
+    while len(x):
+        before = x.copy()
+        for z in range(g.shape[0]):
+            x[:, z] = np.maximum(x[:, z] + (target[:, z] - x @ g[:, z]) / g[z, z], 0.0)
+        if np.abs(x - before).max() <= 1e-13 * scale:
+            break
+    return x

@@ -13,8 +13,12 @@ from topicweave.operators.gram import gram
 def _first_order(
     ratio: DataFrame, factor: DataFrame, other_sums: DataFrame, key: str, k: int
 ) -> DataFrame:
-    """``sum |min(f, grad)|`` with ``grad = other_sums - ratio`` per key."""
-    rows = factor.join(ratio, key).withColumn("m", other_sums.scalar())
+    """``sum |min(f, grad)|`` with ``grad = other_sums - ratio`` per row of the factor; a row
+    without a cell has ratio 0.
+    """
+    none = F.array_repeat(F.lit(0.0), k)
+    rows = factor.join(ratio, key, "left").withColumn("s", F.coalesce("s", none))
+    rows = rows.withColumn("m", other_sums.scalar())
     gap = total(k, lambda z: f"abs(least(f[{z}], m[{z}] - s[{z}]))")
     return rows.agg(F.expr(f"sum({gap})").alias("residual"))
 

@@ -53,11 +53,13 @@ def floored(model: TopicModel, scratch: Scratch) -> TopicModel:
     return TopicModel(floor(model.words, "word"), floor(model.docs, "doc_id"), model.topic_prior)
 
 
-def posterior(cells: DataFrame, model: TopicModel) -> DataFrame:
-    """``(word, doc_id, p)`` with the array ``p[z] = P(z|w,d)`` of every cell."""
+def posterior(cells: DataFrame | CellBlocks, model: TopicModel) -> DataFrame:
+    """``(word, doc_id, p)`` with the array ``p[z] = P(z|w,d)`` of every cell.
+
+    Placed cells are joined where they lie.
+    """
     k = model.k
-    joined = cells.select("word", "doc_id").join(model.weighted_words, "word")
-    joined = joined.join(model.docs.select("doc_id", F.col("p").alias("b")), "doc_id")
+    joined = model.with_cells(cells)
     totals = joined.withColumn("total", F.expr(dot("a", "b", k)))
     shares = build(k, lambda z: f"a[{z}] * b[{z}] / total")
     return totals.select("word", "doc_id", shares.alias("p"))
@@ -127,10 +129,10 @@ def fit_em(
     masses = column_sums(word_sums, "s", k).first()["m"]
     words = normalised(word_sums, "word", literal(masses), k, EPSILON)
     docs = normalised(doc_sums, "doc_id", literal(masses), k, EPSILON)
-    docs = scratch.settled(docs, "docs-p", k > UNROLL)
+    docs = scratch.write(_every_document(docs, corpus, "p", k), "docs-p")
     return TopicModel(
         words=scratch.settled(words, "words-p", k > UNROLL),
-        docs=_every_document(docs, corpus, "p", k),
+        docs=docs,
         topic_prior=[m / sum(masses) for m in masses],
         history=history,
     )

@@ -18,9 +18,9 @@ def _scored(factor: DataFrame, key: str) -> DataFrame:
 def top_words(words: DataFrame, n_top_words: int = 10) -> DataFrame:
     """``(z, rank, word, p)``: the n most likely words of every topic."""
     if words is None:
-        raise ValueError("No topic-term distribution was given.")
+        raise ValueError("There is no model to list words of.")
     if n_top_words <= 0:
-        raise ValueError("The number of top words must be positive.")
+        raise ValueError("Ask for one word per topic or more.")
     ranked = top_per_group(_scored(words, "word"), ["z"], [F.desc("p"), F.asc("word")], n_top_words)
     return ranked.select("z", "rank", "word", "p")
 

@@ -113,7 +113,7 @@ def search(
     word is known (otherwise such a query has no hits).
     """
     if not query:
-        raise ValueError("A query string must be provided.")
+        raise ValueError("An empty query has nothing to search for.")
     spark = model.words.sparkSession
     one = spark.createDataFrame([(0, query)], "query_id int, query string")
     folded = None if smooth else fold_in(model, one, n_iter).first()

@@ -6,6 +6,8 @@ topic. Each statement starts from the raw tables.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from topicweave.functions import text as tx
 from topicweave.functions.wordlists import (
     EMOTICONS,
@@ -19,6 +21,7 @@ from topicweave.plans.queries import (
     ACCOUNTS,
     EM_ITERATIONS,
     K,
+    MANY_TOPICS,
     NEWEST,
     NMF_ITERATIONS,
     SEARCH_TEXT,
@@ -38,6 +41,17 @@ def _list(values: list[str]) -> str:
     return "[" + ", ".join(_quote(v) for v in values) + "]"
 
 
+@contextmanager
+def _topics(k: int):
+    """Statements written inside have k topics."""
+    global Z
+    before, Z = Z, range(k)
+    try:
+        yield
+    finally:
+        Z = before
+
+
 def _cols(fn, sep: str = ", ") -> str:
     return sep.join(fn(z) for z in Z)
 
@@ -347,8 +361,8 @@ def _residual_row(method: str, iteration: int, w: str, h: str, tag: str) -> tupl
     )
     by_word = _cols(lambda z: f"sum(x / model * b{z}) AS v{z}")
     by_doc = _cols(lambda z: f"sum(x / model * a{z}) AS v{z}")
-    kw = _sum(lambda z: f"abs(least(p{z}, rh{z} - v{z}))")
-    kh = _sum(lambda z: f"abs(least(p{z}, cw{z} - v{z}))")
+    kw = _sum(lambda z: f"abs(least(p{z}, rh{z} - coalesce(v{z}, 0)))")
+    kh = _sum(lambda z: f"abs(least(p{z}, cw{z} - coalesce(v{z}, 0)))")
     cross = " + ".join(
         f"(SELECT sum(p{i} * p{j}) FROM {w}) * (SELECT sum(p{i} * p{j}) FROM {h})"
         for i in Z
@@ -360,9 +374,9 @@ def _residual_row(method: str, iteration: int, w: str, h: str, tag: str) -> tupl
         f" + (SELECT {_sum(lambda z: f'cw{z} * rh{z}')} FROM {tag}_t), 8) AS kl,"
         f" round(sqrt(greatest((SELECT sum(x * x - 2 * x * model) FROM {tag}_c) + {cross}, 0)), 8)"
         " AS frobenius,"
-        f" round((SELECT sum({kw}) FROM {w} JOIN (SELECT word, {by_word} FROM {tag}_c GROUP BY word)"
+        f" round((SELECT sum({kw}) FROM {w} LEFT JOIN (SELECT word, {by_word} FROM {tag}_c GROUP BY word)"
         f" USING (word), {tag}_t), 4) AS kkt_w,"
-        f" round((SELECT sum({kh}) FROM {h} JOIN (SELECT doc_id, {by_doc} FROM {tag}_c GROUP BY doc_id)"
+        f" round((SELECT sum({kh}) FROM {h} LEFT JOIN (SELECT doc_id, {by_doc} FROM {tag}_c GROUP BY doc_id)"
         f" USING (doc_id), {tag}_t), 4) AS kkt_h"
     )
     return f"{cells},\n{sums}", row
@@ -532,8 +546,7 @@ def statements() -> dict[str, str]:
             tail=_stacked(LAST_W, LAST_D),
         ),
         "plsa_weighted": _with(
-            CELLS.replace("docs AS MATERIALIZED (SELECT DISTINCT doc_id FROM corpus)",
-                          "docs AS MATERIALIZED (SELECT DISTINCT doc_id FROM cells)"),
+            CELLS,
             _cte("ones", "SELECT word, doc_id, 1.0::double AS n FROM cells"),
             _em(cells="ones"),
             tail=_stacked(LAST_W, LAST_D),
@@ -608,4 +621,12 @@ def statements() -> dict[str, str]:
     sql["nmf_compare"] = _with(
         CELLS, _em(n), kl, mu, *ctes, tail=" UNION ALL ".join(rows)
     )
+    with _topics(MANY_TOPICS):
+        sql["plsa_many_topics"] = _with(CELLS, _em(1), tail=_unpivot("w1", "word"))
+    with _topics(10):
+        sql["plsa_defaults"] = _with(
+            CELLS,
+            _em(20),
+            tail=" UNION ALL ".join(f"SELECT {z}::int AS z, round(p{z}, 9) AS p FROM z20" for z in Z),
+        )
     return sql

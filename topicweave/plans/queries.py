@@ -36,6 +36,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 K = 5
 EM_ITERATIONS = 3
+MANY_TOPICS = 40
 NMF_ITERATIONS = 2
 ACCOUNTS = ["src0", "src7", "src13"]
 NEWEST = 20
@@ -266,7 +267,7 @@ def plsa_posterior(spark, sf_dir):
     start = start_values(
         blocks_of(spark, sf_dir), documents(spark, sf_dir), K, Scratch(spark, "seed")
     )
-    shares = posterior(_cells(spark, sf_dir), start)
+    shares = posterior(blocks_of(spark, sf_dir), start)
     wide = [F.round(F.col("p")[z], 10).alias(f"p{z}") for z in range(K)]
     return shares.select("word", "doc_id", *wide)
 
@@ -283,6 +284,18 @@ def plsa_topic_prior(spark, sf_dir):
     return model_of(spark, sf_dir).topics.select("z", F.round("p", 10).alias("p"))
 
 
+def plsa_many_topics(spark, sf_dir):
+    """More topics than one unrolled slab holds; one iteration."""
+    model = fit_em(blocks_of(spark, sf_dir), MANY_TOPICS, 1, corpus=documents(spark, sf_dir))
+    return _long(model.words, "word")
+
+
+def plsa_defaults(spark, sf_dir):
+    """The default model: 10 topics, 20 iterations."""
+    model = fit_em(blocks_of(spark, sf_dir), 10, 20, corpus=documents(spark, sf_dir))
+    return model.topics.select("z", F.round("p", 9).alias("p"))
+
+
 def _hashed_start(spark, sf_dir) -> Factors:
     """A custom start (W, H): uniform values from another seed."""
     blocks = blocks_of(spark, sf_dir)
@@ -306,13 +319,13 @@ def plsa_weighted(spark, sf_dir):
     """EM on alternative weights: every cell counts once."""
     cells = _cells(spark, sf_dir).withColumn("n", F.lit(1.0))
     placed = place_cells(cells)
-    model = fit_em(placed, K, EM_ITERATIONS)
+    model = fit_em(placed, K, EM_ITERATIONS, corpus=documents(spark, sf_dir))
     placed.release()
     return _stacked(model)
 
 
 def plsa_reconstruct(spark, sf_dir):
-    values = model_of(spark, sf_dir).reconstruct(_cells(spark, sf_dir))
+    values = model_of(spark, sf_dir).reconstruct(blocks_of(spark, sf_dir))
     return values.select("word", "doc_id", F.round("p", 12).alias("p"))
 
 
@@ -455,6 +468,8 @@ def registry() -> dict[str, Query]:
         "plsa_word_topics": plsa_word_topics,
         "plsa_doc_topics": plsa_doc_topics,
         "plsa_topic_prior": plsa_topic_prior,
+        "plsa_many_topics": plsa_many_topics,
+        "plsa_defaults": plsa_defaults,
         "plsa_warm_start": plsa_warm_start,
         "plsa_weighted": plsa_weighted,
         "plsa_reconstruct": plsa_reconstruct,

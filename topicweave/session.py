@@ -41,7 +41,8 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="topicweave-")

@@ -91,7 +91,7 @@ def generate_corpus(
     statuses: DataFrame, accounts: list[str] | DataFrame, tweets_per_user: int = 200
 ) -> DataFrame:
     """Corpus of the newest statuses of the listed accounts, with cleaned text."""
-    rows = keep_accounts(statuses_to_corpus(statuses.dropDuplicates(["id"])), accounts)
+    rows = keep_accounts(statuses_to_corpus(statuses), accounts).dropDuplicates(["doc_id"])
     return with_edited_text(latest_per_account(rows, tweets_per_user)).select(*CORPUS_COLUMNS)
 
 
