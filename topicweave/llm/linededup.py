@@ -74,6 +74,7 @@ def keep_bitmaps(
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
         .where(F.col("n_docs") >= min_docs)
     )
+    found = scratch.write(found, "found")  # so the join below can split a hot line
     dropped = (
         lines.join(found, ["ha", "hb"])
         .where(~F.col("doc_id").eqNullSafe(F.col("holder")))

@@ -130,9 +130,11 @@ def bands(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "registers").mapInArrow(work, "node long, key long")
 
 
-def in_company(rows: DataFrame) -> DataFrame:
-    """Rows whose key occurs twice or more, with the number of its members."""
+def in_company(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Rows whose key occurs twice or more, with the number of its members. The counts are
+    written first, so that the join can split a hot key."""
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    counts = scratch.write(counts, f"counts-{name}")
     return rows.join(counts, "key")
 
 
@@ -249,7 +251,7 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
         ),
         "nodes",
     )
-    members = scratch.write(in_company(bands(nodes)), "members")
+    members = scratch.write(in_company(bands(nodes), scratch, "bands"), "members")
     popular = scratch.write(
         members.groupBy("node").agg(F.sum("members").alias("popularity")), "popular"
     )
@@ -311,9 +313,8 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
             # Split by the members' other bands: a pair of theirs shares two keys.
             again = members.select("node", F.col("key").alias("second"))
             both = many.select("node", "key").join(again, "node").where("key <> second")
-            rest = in_company(
-                both.select("node", F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")).distinct()
-            ).select("key", "node")
+            shared = F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")
+            rest = in_company(both.select("node", shared).distinct(), scratch, f"split-{step}").select("key", "node")
             split = True
         else:
             rest = rest.limit(0)

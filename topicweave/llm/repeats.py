@@ -338,6 +338,7 @@ def count_strings(snippets: DataFrame, length: int, scratch: Scratch) -> DataFra
         work, "one long, two long, doc long, mark int, pos long, low long"
     )
     twice = rows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    twice = scratch.write(twice, "strings")
     return (
         rows.join(twice, ["one", "two"])
         .groupBy("doc", "mark", "pos")
@@ -354,10 +355,11 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     scratch = Scratch(spark, "repeats")
     parts = partitions_for(docs, 64)
 
+    # Counts are written before each join: a join of two plain exchanges can be split where one
+    # gram has a great share of the rows; a join on top of the count could not.
     grams = anchor_rows(docs, length).groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
-    found = scratch.write(
-        anchor_rows(docs, length).join(grams.where("times > 1").drop("times"), "gram"), "found"
-    )
+    grams = scratch.write(grams.where("times > 1").drop("times"), "grams")
+    found = scratch.write(anchor_rows(docs, length).join(grams, "gram"), "found")
     contexts = scratch.write(
         found.groupBy("gram", "context").agg(
             F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "mark", "pos")).alias("row")
@@ -370,6 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     groups = contexts.groupBy("gram").agg(
         F.count(F.lit(1)).alias("kinds"), F.min("times").alias("fewest")
     ).where("kinds > 1 AND fewest = 1").select("gram", "kinds")
+    groups = scratch.write(groups, "groups")
     wanted = contexts.join(groups, "gram").select("gram", "kinds", "row.*")
 
     # The texts move once: both joins below read the same exchange.
