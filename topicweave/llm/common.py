@@ -23,11 +23,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def partitions_for(df: DataFrame, mb_each: int = 128) -> int:
     """Partitions for moving ``df`` whole: the session's number, or more where the
-    input files are so large that a partition would pass ``mb_each``.
+    input files are so large that a partition would pass ``mb_each``. Rows that come from
+    no file have no size that Spark knows (it then assumes the largest number).
     """
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bounded = min(estimate, 1 << 60)
-    return max(shuffle_partitions(df.sparkSession), min(100_000, bounded // (mb_each << 20)))
+    known = estimate if estimate < 1 << 60 else 0
+    return max(shuffle_partitions(df.sparkSession), min(100_000, known // (mb_each << 20)))
 
 
 def sealed(docs: DataFrame, used: Sequence[str], results: Sequence[str] = ()):

@@ -172,19 +172,15 @@ class Suffixes:
         return np.where(self.group[a] == self.group[b], less, self.group[a] < self.group[b])
 
     def order(self) -> np.ndarray:
-        """Merge sort, all merges of a level at once. Rows come sorted by group, so runs
-        need not grow beyond the largest group's span."""
-        n = len(self.group)
+        """Merge sort, all merges of a level at once."""
+        n, width = len(self.group), 1
         out = np.arange(n)
-        _, counts = np.unique(self.group, return_counts=True)
-        widest = int(counts.max()) if n else 0
-        width = 1
-        while width < n and (width < 2 * widest or width == 1):
+        while width < n:
             out = self._merged(out, width)
             width *= 2
-        return out if width >= n else self._merged(out, width, shift=True)
+        return out
 
-    def _merged(self, out: np.ndarray, width: int, shift: bool = False) -> np.ndarray:
+    def _merged(self, out: np.ndarray, width: int) -> np.ndarray:
         n = len(out)
         place = np.arange(n)
         run = place // width
