@@ -116,9 +116,8 @@ def test_near_duplicates(docs, rows, nothing):
 @pytest.mark.parametrize("small", [64, 3])
 def test_families_with_open_buckets(spark, small, monkeypatch):
     """Copies with growing edits, so that families hold near and not quite near pairs; also
-    with buckets split by further bands and led by one node after the other."""
-    monkeypatch.setattr(minhash, "SMALL", small)
-    monkeypatch.setattr(minhash, "LEADING", 2)
+    with buckets in several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", small)
     rng = random.Random(8)
     rows = []
     for _ in range(12):

@@ -8,13 +8,14 @@ probability 5e-6. A pair's registers then estimate its similarity, corrected for
 registers that collide by chance; pairs within five deviations of the threshold are confirmed on
 their full sets.
 
-No bucket is paired out. First each node of a bucket is tried against the bucket's leader, the
-node that shares most buckets: one pair per node. What is linked becomes components, and
-a bucket that holds one component is done. In the others the leader, now compared with all,
-leaves; small ones try the pairs of different components; large ones are split by the members'
-other bands (a pair then agrees in two bands), and those that stay large go on with a fixed number
-of leaders a turn, compared with all and then taken out.
-So every pair of a bucket is tried unless its ends are already in one component.
+Pairs of a bucket are not sent anywhere. First each node is tried against the bucket's leader,
+the node that shares most buckets: one pair per node. What is linked becomes components, and a
+bucket that holds one component is done. The members of the others meet in blocks of a fixed
+size with wider registers, four times as many; a task estimates the pairs of two blocks in
+place, each pair in the first band it shares, and hands on only those of different components
+that may reach the threshold. So every pair of a bucket is tried unless its ends are already in
+one component. What this costs grows with the square of a family only where its members
+share bands and yet no link.
 
 A null text or one without words has an empty set and is linked with nothing. With fewer than
 five words the whole sequence is one shingle. Rows with equal texts share a component.
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm import hashing
+from topicweave.llm.common import shuffle_partitions
 from topicweave.session import Scratch
 
 SHINGLE = 5
@@ -39,13 +41,12 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: Deviations of the estimate below the threshold that a candidate may have.
 SLACK = 5.0
-#: Buckets with more members than this are not paired but split; where that does not help, so
-#: many nodes at a time lead a bucket.
-SMALL, LEADING = 256, 64
+#: Registers of the second estimate, and members of a block.
+WIDE, BLOCK = 512, 512
 
 _rng = np.random.default_rng(20240607)
-_FACTORS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
+_FACTORS = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64)
 
 
 def shingles(data: np.ndarray) -> np.ndarray:
@@ -53,13 +54,13 @@ def shingles(data: np.ndarray) -> np.ndarray:
     return np.unique(hashing.runs(hashing.words(data), SHINGLE))
 
 
-def registers(members: np.ndarray) -> np.ndarray:
-    """The compressed registers of a non-empty set."""
-    least = np.full(REGISTERS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def registers(members: np.ndarray, count: int = REGISTERS) -> np.ndarray:
+    """The first compressed registers of a non-empty set."""
+    least = np.full(count, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(members), 512):
-            values = members[at : at + 512, None] * _FACTORS
-            values += _TERMS
+            values = members[at : at + 512, None] * _FACTORS[:count]
+            values += _TERMS[:count]
             np.minimum(least, values.min(axis=0), out=least)
     fraction, exponent = np.frexp(np.maximum(least, np.uint64(1)).astype(np.float64))
     zeros = np.clip(64 - exponent, 0, 63).astype(np.uint16)
@@ -138,9 +139,13 @@ def in_company(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return rows.join(counts, "key")
 
 
+def least_estimate(threshold: float, count: int) -> float:
+    return threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / count))
+
+
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimated similarity may reach the threshold."""
-    least = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / REGISTERS))
+    least = least_estimate(threshold, REGISTERS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +169,88 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(work, "a long, b long")
 
 
+def widened(bodies: DataFrame) -> DataFrame:
+    """``node, n, wide``: the wider registers."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(data) for data in hashing.texts(batch.column(1))]
+            wide = [registers(own, WIDE).astype("<u2").tobytes() for own in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(own) for own in sets], pa.int64()), pa.array(wide, pa.binary())],
+                names=["node", "n", "wide"],
+            )
+
+    return bodies.select("node", "body").mapInArrow(work, "node long, n long, wide binary")
+
+
+def pairs_of_blocks(
+    key: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one bucket between two blocks (or inside one) that may reach the threshold."""
+    words = np.ascontiguousarray(wide[:, :REGISTERS]).view("<u8")
+    keys = np.stack([band_keys(np.ascontiguousarray(w[:REGISTERS])) for w in wide])
+    one_block = own.min() == own.max()
+    first_block = np.arange(len(own)) if one_block else np.flatnonzero(own == own.min())
+    other = first_block if one_block else np.flatnonzero(own != own.min())
+    found_a, found_b = [], []
+    for at in range(0, len(first_block), 64):
+        rows = first_block[at : at + 64]
+        able = (root[rows, None] != root[None, other]) & (
+            np.minimum(n[rows, None], n[None, other]) >= threshold * np.maximum(n[rows, None], n[None, other])
+        )
+        if one_block:
+            able &= rows[:, None] < other[None, :]
+        i, j = np.nonzero(able)
+        i, j = rows[i], other[j]
+        for part in range(0, len(i), 20_000):
+            a, b = i[part : part + 20_000], j[part : part + 20_000]
+            # A pair belongs to the bucket of the first band it shares.
+            band = (words[a] == words[b]).argmax(axis=1)
+            mine = keys[a, band] == key
+            a, b = a[mine], b[mine]
+            near = estimate(wide[a], wide[b], n[a].astype(float), n[b].astype(float)) >= least_estimate(threshold, WIDE)
+            found_a.append(node[a[near]])
+            found_b.append(node[b[near]])
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def across_components(open_rows: DataFrame, wide: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs of different components in buckets ``key, node, root, members``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+
+        def settled() -> pa.RecordBatch:
+            own, node, root, n, raw = zip(*held, strict=True)
+            a, b = pairs_of_blocks(
+                place[0], np.array(own), np.array(node), np.array(root), np.array(n),
+                np.frombuffer(b"".join(raw), dtype="<u2").reshape(len(raw), WIDE), threshold,
+            )
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[:3] != place:
+                    if held:
+                        yield settled()
+                    place, held = row[:3], []
+                held.append(row[3:])
+        if held:
+            yield settled()
+
+    blocks = F.ceil(F.col("members") / BLOCK)
+    rows = open_rows.join(wide, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "own", "node", "root", "n", "wide",
+    )
+    place = ["key", "low", "high"]
+    dealt = met.repartition(shuffle_partitions(open_rows.sparkSession), *place).sortWithinPartitions(*place)
+    return dealt.mapInArrow(work, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
 
@@ -270,61 +357,27 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
         "bodies",
     )
 
-    def tried(pairs: DataFrame, name: str) -> DataFrame:
-        near = scratch.write(likely(pairs, nodes, threshold), f"likely-{name}")
-        return scratch.write(confirmed(near, bodies, percent).distinct(), f"links-{name}")
-
     first = leaders(members, popular)
     stars = members.join(first, "key").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    pairs = scratch.write(ordered(stars), "stars")
-    links = tried(pairs, "stars")
+    stars = scratch.write(ordered(stars), "stars")
+    near = scratch.write(likely(stars, nodes, threshold), "likely-stars")
+    links = scratch.write(confirmed(near, bodies, percent).distinct(), "links-stars")
     roots = components(links, scratch, "stars")
+
+    # Buckets that still hold several components; their leaders have been tried with all.
     rest = members.join(first, "key").where("node <> leader").select("key", "node")
-    step, split, tested = 0, False, pairs
-    while True:
-        step += 1
-        # Buckets that still hold several components.
-        placed = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        mixed = placed.groupBy("key").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")
-        ).where("low < high").select("key", "members")
-        open_rows = scratch.write(placed.join(mixed, "key"), f"open-{step}")
-        if open_rows.isEmpty():
-            break
-        few = open_rows.where(F.col("members") <= SMALL)
-        many = open_rows.where(F.col("members") > SMALL)
-        other = few.select("key", F.col("node").alias("b"), F.col("root").alias("other"))
-        found = few.select("key", F.col("node").alias("a"), "root").join(other, "key").where("a < b and root <> other")
-        pairs = found.select("a", "b")
-        if not many.isEmpty() and split:
-            first_ones = Window.partitionBy("key").orderBy(F.col("popularity").desc(), "node")
-            top = many.join(popular, "node").withColumn("nth", F.row_number().over(first_ones)).where(
-                F.col("nth") <= LEADING
-            )
-            top = scratch.write(
-                top.select("key", F.col("node").alias("leader"), F.col("root").alias("own")), f"leaders-{step}"
-            )
-            pairs = pairs.union(
-                many.join(top, "key").where("root <> own").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-            )
-            led = top.select("key", F.col("leader").alias("node"))
-            rest = many.select("key", "node").join(led, ["key", "node"], "left_anti")
-        elif not many.isEmpty():
-            # Split by the members' other bands: a pair of theirs shares two keys.
-            again = members.select("node", F.col("key").alias("second"))
-            both = many.select("node", "key").join(again, "node").where("key <> second")
-            shared = F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key")
-            rest = in_company(both.select("node", shared).distinct(), scratch, f"split-{step}").select("key", "node")
-            split = True
-        else:
-            rest = rest.limit(0)
-        rest = scratch.write(rest, f"rest-{step}")
-        pairs = scratch.write(ordered(pairs).join(tested, ["a", "b"], "left_anti"), f"pairs-{step}")
-        new = tried(pairs, str(step))
-        tested = tested.union(pairs)
-        if not new.isEmpty():
-            links = links.union(new)
-            roots = components(links, scratch, f"step{step}")
+    placed = rest.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    several = placed.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")
+    ).where("low < high").select("key", "members")
+    several = scratch.write(several, "several")
+    open_rows = scratch.write(placed.join(several, "key"), "open")
+    if not open_rows.isEmpty():
+        wanted = open_rows.select("node").distinct()
+        wide = scratch.write(widened(bodies.join(wanted, "node")), "wide")
+        near = scratch.write(ordered(across_components(open_rows, wide, threshold)), "likely-rest")
+        more = scratch.write(confirmed(near, bodies, percent).distinct(), "links-rest")
+        roots = components(links.union(more), scratch, "all")
 
     owned = nodes.join(roots, "node", "left").select(
         "sa", "sb", "n", "first_doc", F.coalesce("root", "node").alias("root")
