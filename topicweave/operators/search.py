@@ -146,6 +146,7 @@ def search_batch(
     top: int = TOP_HITS,
     threshold: float = THRESHOLD,
     n_iter: int = SEARCH_ITERATIONS,
+    allow_oov: bool = False,
 ) -> DataFrame:
     """:func:`search` for a table ``(query_id, query)``, without pairing all with all.
 
@@ -155,12 +156,20 @@ def search_batch(
     P(d|z) sums to one over the documents, so topic z holds fewer than ``K q[z] / t``
     documents above that bound and a query meets at most about ``2 K / t`` of them,
     however large the corpus. A pair is scored where ``q[z] p[z]`` is largest.
+
+    ``allow_oov`` also answers queries without a known word: all words then weigh the
+    same, so these queries share one answer, folded in once over the vocabulary.
     """
     if threshold <= 0:
         raise ValueError("A batch search needs a positive threshold.")
     k = model.k
     bound = threshold / k * (1 - 1e-9)
     folded = fold_in(model, queries, n_iter)
+    if allow_oov:
+        strangers = queries.where("query <> ''").select("query_id").distinct()
+        strangers = strangers.join(folded, "query_id", "left_anti")
+        shares = literal(fold_in_all_words(model, "", n_iter)).alias("q")
+        folded = folded.unionByName(strangers.select("query_id", F.lit(0).alias("matched"), shares))
     level = F.floor(F.log2("p_z")).cast("int")
     listed = (
         model.docs.select("doc_id", "p", F.posexplode("p").alias("z", "p_z"))

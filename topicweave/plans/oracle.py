@@ -25,6 +25,7 @@ from topicweave.plans.queries import (
     NEWEST,
     NMF_ITERATIONS,
     SEARCH_TEXT,
+    STRANGER,
 )
 
 Z = range(K)
@@ -412,15 +413,22 @@ def _long_docs() -> str:
     return _unpivot(LAST_D, "doc_id", 9)
 
 
-def _fold(queries: str) -> str:
-    """q0..qn: topic shares of the queries ``(query_id, query)``; qa: their words."""
+def _fold(queries: str, oov: bool = False) -> str:
+    """q0..qn: topic shares of the queries ``(query_id, query)``; qa: their words. With ``oov``
+    a query without a known word has all words alike."""
     values = _cols(lambda z: f"greatest(w.p{z}, {FLOOR}) * z.p{z} AS a{z}")
     parts = [
         _cte("asked", queries),
         _cte("terms", f"SELECT query_id, unnest({_query_words('query')}) AS word FROM asked"),
         _cte(
             "qa",
-            f"SELECT query_id, {values} FROM terms JOIN {LAST_W} w USING (word), {LAST_Z} z",
+            f"SELECT query_id, {values} FROM terms JOIN {LAST_W} w USING (word), {LAST_Z} z"
+            + (
+                f" UNION ALL SELECT query_id, {values} FROM asked, {LAST_W} w, {LAST_Z} z WHERE query_id"
+                f" NOT IN (SELECT query_id FROM terms JOIN {LAST_W} USING (word))"
+                if oov
+                else ""
+            ),
         ),
         _cte(
             "q0",
@@ -443,11 +451,11 @@ def _fold(queries: str) -> str:
     return ",\n".join(parts)
 
 
-def _hits(queries: str) -> str:
+def _hits(queries: str, oov: bool = False) -> str:
     score = _sum(lambda z: f"q{z} * p{z}")
     return _with(
         MODEL,
-        _fold(queries),
+        _fold(queries, oov),
         tail="SELECT query_id, rank, doc_id, score, screen_name, full_text FROM (SELECT *,"
         " (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank"
         f" FROM (SELECT query_id, doc_id, round({score}, 9) AS score FROM q{SEARCH_ITERATIONS},"
@@ -592,6 +600,7 @@ def statements() -> dict[str, str]:
         ),
         "search": _hits(f"SELECT 0::int AS query_id, {_quote(SEARCH_TEXT)} AS query"),
         "search_batch": _hits(asked),
+        "search_oov": _hits(f"{asked} UNION ALL SELECT -1, {_quote(STRANGER)}", oov=True),
     }
     n = NMF_ITERATIONS
     for name, update, order in [

@@ -40,6 +40,7 @@ MANY_TOPICS = 40
 NMF_ITERATIONS = 2
 ACCOUNTS = ["src0", "src7", "src13"]
 NEWEST = 20
+STRANGER = "qqzzqq xxyyxx"
 SEARCH_TEXT = "tion of the inea Edonre"
 
 _blocks: dict[tuple[str, str], CellBlocks] = {}
@@ -440,6 +441,14 @@ def search_batch_query(spark, sf_dir):
     return search_batch(model, corpus, benchmark(spark, sf_dir), threshold=1e-3)
 
 
+def search_oov(spark, sf_dir):
+    """Batch search where one more query has no word of the vocabulary."""
+    model, corpus = model_of(spark, sf_dir), documents(spark, sf_dir)
+    stranger = spark.range(1).select((F.col("id") - 1).alias("query_id"), F.lit(STRANGER).alias("query"))
+    asked = benchmark(spark, sf_dir).unionByName(stranger)
+    return search_batch(model, corpus, asked, threshold=1e-3, allow_oov=True)
+
+
 def registry() -> dict[str, Query]:
     return {
         "corpus_projection": corpus_projection,
@@ -496,4 +505,5 @@ def registry() -> dict[str, Query]:
         "fold_in": fold_in_query,
         "search": search_query,
         "search_batch": search_batch_query,
+        "search_oov": search_oov,
     }
