@@ -12,8 +12,8 @@ Pairs of a bucket are not sent anywhere. First each node is tried against the bu
 the node that shares most buckets: one pair per node. What is linked becomes components, and a
 bucket that holds one component is done. The members of the others meet in blocks of a fixed
 size with wider registers, four times as many; a task estimates the pairs of two blocks in
-place, each pair in the first band it shares, and hands on only those of different components
-that may reach the threshold. So every pair of a bucket is tried unless its ends are already in
+place, each pair in the first band it shares, confirms those of different components that may
+reach the threshold, and hands on one link where it joins two of them. So every pair of a bucket is tried unless its ends are already in
 one component. What this costs grows with the square of a family only where its members
 share bands and yet no link.
 
@@ -41,8 +41,8 @@ REGISTERS, BAND = 128, 4
 MANTISSA = 10
 #: Deviations of the estimate below the threshold that a candidate may have.
 SLACK = 5.0
-#: Registers of the second estimate, and members of a block.
-WIDE, BLOCK = 512, 512
+#: Registers of the second estimate, and most members and shingles of a block.
+WIDE, BLOCK, BLOCK_SHINGLES = 512, 512, 2_000_000
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,30 +170,52 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def widened(bodies: DataFrame) -> DataFrame:
-    """``node, n, wide``: the wider registers."""
+    """``node, n, wide, body``: the wider registers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(data) for data in hashing.texts(batch.column(1))]
             wide = [registers(own, WIDE).astype("<u2").tobytes() for own in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(own) for own in sets], pa.int64()), pa.array(wide, pa.binary())],
-                names=["node", "n", "wide"],
+                [batch.column(0), pa.array([len(own) for own in sets], pa.int64()), pa.array(wide, pa.binary()),
+                 batch.column(1)],
+                names=["node", "n", "wide", "body"],
             )
 
-    return bodies.select("node", "body").mapInArrow(work, "node long, n long, wide binary")
+    return bodies.select("node", "body").mapInArrow(work, "node long, n long, wide binary, body binary")
 
 
-def pairs_of_blocks(
-    key: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray, threshold: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one bucket between two blocks (or inside one) that may reach the threshold."""
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the threshold."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def links_of_blocks(
+    key: int, own: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, wide: np.ndarray,
+    bodies: list[bytes], percent: int,
+) -> list[tuple[int, int]]:
+    """Links of one bucket between two blocks (or inside one) that join components."""
+    threshold = percent / 100
     words = np.ascontiguousarray(wide[:, :REGISTERS]).view("<u8")
     keys = np.stack([band_keys(np.ascontiguousarray(w[:REGISTERS])) for w in wide])
     one_block = own.min() == own.max()
     first_block = np.arange(len(own)) if one_block else np.flatnonzero(own == own.min())
     other = first_block if one_block else np.flatnonzero(own != own.min())
-    found_a, found_b = [], []
+    sets: dict[int, np.ndarray] = {}
+    joined = {r: r for r in root.tolist()}
+    links = []
+
+    def top(r: int) -> int:
+        while joined[r] != r:
+            joined[r] = r = joined[joined[r]]
+        return r
+
+    def members(k: int) -> np.ndarray:
+        if k not in sets:
+            sets[k] = shingles(np.frombuffer(bodies[k], dtype=np.uint8))
+        return sets[k]
+
     for at in range(0, len(first_block), 64):
         rows = first_block[at : at + 64]
         able = (root[rows, None] != root[None, other]) & (
@@ -210,25 +232,28 @@ def pairs_of_blocks(
             mine = keys[a, band] == key
             a, b = a[mine], b[mine]
             near = estimate(wide[a], wide[b], n[a].astype(float), n[b].astype(float)) >= least_estimate(threshold, WIDE)
-            found_a.append(node[a[near]])
-            found_b.append(node[b[near]])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                one, two = top(int(root[x])), top(int(root[y]))
+                if one != two and alike(members(x), members(y), percent):
+                    joined[one] = two
+                    links.append((int(node[x]), int(node[y])))
+    return links
 
 
-def across_components(open_rows: DataFrame, wide: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs of different components in buckets ``key, node, root, members``."""
+def across_components(open_rows: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Links between different components in buckets ``key, node, root, members``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held = None, []
 
         def settled() -> pa.RecordBatch:
-            own, node, root, n, raw = zip(*held, strict=True)
-            a, b = pairs_of_blocks(
+            own, node, root, n, raw, bodies = zip(*held, strict=True)
+            links = links_of_blocks(
                 place[0], np.array(own), np.array(node), np.array(root), np.array(n),
-                np.frombuffer(b"".join(raw), dtype="<u2").reshape(len(raw), WIDE), threshold,
+                np.frombuffer(b"".join(raw), dtype="<u2").reshape(len(raw), WIDE), list(bodies), percent,
             )
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            a, b = zip(*links, strict=True) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -240,14 +265,21 @@ def across_components(open_rows: DataFrame, wide: DataFrame, threshold: float) -
         if held:
             yield settled()
 
-    blocks = F.ceil(F.col("members") / BLOCK)
-    rows = open_rows.join(wide, "node").withColumn("own", F.pmod(F.xxhash64("node"), blocks))
-    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "own", "node", "root", "n", "wide",
+    size = open_rows.join(wide.select("node", "n"), "node").groupBy("key").agg(F.sum("n").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    rows = open_rows.join(size, "key").withColumn("blocks", blocks).withColumn(
+        "own", F.pmod(F.xxhash64("node"), F.col("blocks"))
+    )
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root"
     )
     place = ["key", "low", "high"]
-    dealt = met.repartition(shuffle_partitions(open_rows.sparkSession), *place).sortWithinPartitions(*place)
+    dealt = (
+        met.join(wide, "node")
+        .select(*place, "own", "node", "root", "n", "wide", "body")
+        .repartition(shuffle_partitions(open_rows.sparkSession), *place)
+        .sortWithinPartitions(*place)
+    )
     return dealt.mapInArrow(work, "a long, b long")
 
 
@@ -262,9 +294,7 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
             for k, (a, data) in enumerate(zip(batch.column(0).to_pylist(), b_texts, strict=True)):
                 if a != last:
                     last, held = a, shingles(next(hashing.texts(batch.column(2)[k : k + 1])))
-                other = shingles(data)
-                common = len(np.intersect1d(held, other, assume_unique=True))
-                ok.append(100 * common >= percent * (len(held) + len(other) - common))
+                ok.append(alike(held, shingles(data), percent))
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"]
             )
@@ -375,8 +405,7 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not open_rows.isEmpty():
         wanted = open_rows.select("node").distinct()
         wide = scratch.write(widened(bodies.join(wanted, "node")), "wide")
-        near = scratch.write(ordered(across_components(open_rows, wide, threshold)), "likely-rest")
-        more = scratch.write(confirmed(near, bodies, percent).distinct(), "links-rest")
+        more = scratch.write(ordered(across_components(open_rows, wide, percent)), "links-rest")
         roots = components(links.union(more), scratch, "all")
 
     owned = nodes.join(roots, "node", "left").select(
