@@ -89,3 +89,19 @@ def test_strays_go_and_clean_stay(spark):
 
     js = 0.5 * math.log2(1 / 0.75) + 0.5 * (0.5 * math.log2(0.5 / 0.75) + 0.5 * math.log2(0.5 / 0.25))
     assert d == pytest.approx(math.sqrt(js))
+
+
+def test_no_common_words(spark):
+    import random
+
+    draw = random.Random(3)
+    invent = lambda: "".join(draw.choice("bcdfglmnprst") + draw.choice("aeiou") for _ in range(draw.randint(2, 4)))
+    common = rules.COMMON_WORDS["en"]
+    clean = lambda n: " ".join(draw.choice(common) if draw.random() < 0.21 else invent() for _ in range(n))
+    rows = [(i, clean(300), "en") for i in range(40)]
+    rows += [(50, " ".join(invent() for _ in range(300)), "en"), (51, " ".join(invent() for _ in range(99)), "en")]
+    judged = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    out = {r.doc_id: r for r in judged.collect()}
+    assert all(out[i].kept for i in range(40))
+    assert not out[50].kept and not out[50].base_failed and out[50].class_distance < 0.25
+    assert out[51].kept  # below the guard, distances decide nothing

@@ -48,7 +48,9 @@ class Rules:
     #: Largest distance to the nearest language, and the least length for it to decide.
     max_class_distance: float = 0.25
     class_guard: int = 100
-    max_word_distance: float = 0.45
+    #: For words, below what a text without any listed word gets (0.331 and more where a fifth
+    #: of a reference's words are listed): the least dense place between ordinary texts and those.
+    max_word_distance: float = 0.27
     word_guard: int = 100
     words: dict[str, list[str]] = field(default_factory=lambda: COMMON_WORDS)
 
