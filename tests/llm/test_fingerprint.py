@@ -37,6 +37,55 @@ def test_likeness():
     assert fp.likeness(of(text), of("".join(rng.permutation(list("".join(map(chr, range(300, 3300)))))))) == 0
 
 
+def _of(text):
+    return fp.Prefixes(fp.codes(text))
+
+
+def test_likeness_of_moved_spans():
+    rng = np.random.default_rng(2)
+    parts = ["".join(chr(c) for c in rng.integers(97, 123, n)) for n in (100, 3000, 900)]
+    a = "".join(parts)
+    for order in ((1, 2, 0), (2, 1, 0), (0, 2, 1), (1, 0, 2)):
+        b = "".join(parts[k] for k in order)
+        assert fp.likeness(_of(a), _of(b)) == 1
+    line = "".join(chr(c) for c in rng.integers(97, 123, 80))
+    x, y = (line + a + "!" * 80), ("?" * 80 + a + line)
+    assert fp.likeness(_of(x), _of(y)) == (len(a) + 80) / len(x)
+
+
+def test_likeness_of_short_runs():
+    rng = np.random.default_rng(3)
+    runs = ["".join(chr(c) for c in rng.integers(97, 123, 40)) for _ in range(60)]
+    for n in (3, 60):
+        a, b = "#####".join(runs[:n]), "$$$$$".join(runs[:n])
+        assert fp.likeness(_of(a), _of(b)) == 40 * n / len(a)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), max_size=8), st.lists(st.integers(0, 5), max_size=8), st.integers(0, 9))
+def test_likeness_counts_all_windows(first, second, seed):
+    rng = np.random.default_rng(seed)
+    parts = ["".join(chr(c) for c in rng.integers(97, 99, n)) for n in (1, 20, 24, 30, 47, 60)]
+    a, b = ("".join(parts[k] for k in own) for own in (first, second))
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    last = 0
+    while last < min(len(a), len(b)) - start and a[-1 - last] == b[-1 - last]:
+        last += 1
+    middles = [t[start : len(t) - last] for t in (a, b)]
+    grams = [{t[i : i + fp.WINDOW] for i in range(len(t) - fp.WINDOW + 1)} for t in middles]
+    counts = []
+    for t in middles:
+        hit = set()
+        for i in range(len(t) - fp.WINDOW + 1):
+            if t[i : i + fp.WINDOW] in grams[0] & grams[1]:
+                hit.update(range(i, i + fp.WINDOW))
+        counts.append(len(hit))
+    expected = (start + last + min(counts)) / max(len(a), len(b)) if a or b else 1
+    assert fp.likeness(_of(a), _of(b)) == expected == fp.likeness(_of(b), _of(a))
+
+
 def test_documents(docs, rows, nothing):
     out = fp.fingerprints(docs).collect()
     assert len(out) == len(rows)

@@ -7,8 +7,9 @@ of the offsets' difference) and the longest common extension at two places is fo
 search. The fingerprint is the length and the closing entries: equal texts have equal ones.
 
 Likeness of two fingerprints (0 to 1): the code points of spans common to both over the length
-of the longer. The spans are the common prefix, the common suffix and, between them, extensions
-to both sides of equal windows picked by their hash. Two empty texts have likeness 1.
+of the longer. The spans are the common prefix, the common suffix and, between them, all of
+``WINDOW`` code points or more, in any order; what they cover is counted in both texts and the
+smaller count taken. Two empty texts have likeness 1.
 
 A null text is empty. Documents follow one another by ascending ``doc_id``, nulls last, equal
 ids by text hash; after the last comes the first, so a single document follows itself. An
@@ -30,9 +31,8 @@ from topicweave.llm.common import partitions_for
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1380512911)
+#: Shortest span that counts between the common prefix and suffix.
 WINDOW = 24
-#: One window in so many is an anchor of the search between prefix and suffix.
-ANCHOR_EVERY = 16
 
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64) for _ in PRIMES]
 
@@ -116,33 +116,67 @@ def extension_left(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
-def anchors(a: Prefixes, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of ``a[start:end]`` whose hash, moved to a common place, is 0 modulo
-    ``ANCHOR_EVERY``: hashes and positions."""
-    count = end - start - WINDOW + 1
-    if count <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    p = np.uint64(PRIMES[0])
-    sums = a.sums[0][start : end + 1]
-    raw = (sums[WINDOW:] - sums[:count]) % p
+def window_hashes(a: Prefixes, k: int, at: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that start at ``at``, moved to a common place, by the k-th base."""
+    p = np.uint64(PRIMES[k])
+    raw = (a.sums[k][at + WINDOW] - a.sums[k][at]) % p
     # base**(-i) brings position i to position 0
-    moved = raw * _inverse_powers(start + count)[start : start + count] % p
-    at = np.flatnonzero(moved % np.uint64(ANCHOR_EVERY) == 0)
-    return moved[at], at + start
+    return raw * _inverse_powers(k, a.n)[at] % p
 
 
-_inverse: list[np.ndarray] = [np.ones(1, dtype=np.uint64)]
+_inverse: list[np.ndarray] = [np.ones(1, dtype=np.uint64) for _ in PRIMES]
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    p, table = PRIMES[0], _inverse[0]
-    back = pow(BASES[0], -1, p)
+def _inverse_powers(k: int, n: int) -> np.ndarray:
+    p, table = PRIMES[k], _inverse[k]
+    back = pow(BASES[k], -1, p)
     while len(table) <= n:
         table = np.concatenate([table, table * np.uint64(pow(back, len(table), p)) % np.uint64(p)])
-    _inverse[0] = table
+    _inverse[k] = table
     return table
 
 
+def covered(at: np.ndarray) -> int:
+    """Code points under the windows that start at the ascending positions ``at``."""
+    return int(np.minimum(np.diff(at), WINDOW).sum()) + WINDOW if len(at) else 0
+
+
+def common_between(a: Prefixes, b: Prefixes, start: int, last: int) -> int:
+    """Code points of spans of ``WINDOW`` or more common to both texts without their first
+    ``start`` and last ``last``, wherever they stand; of the two sides' counts the smaller.
+
+    Such a span is a run of equal windows, so all windows are compared. A table of the first
+    base's hashes leaves those that may be equal; the hashes of both bases settle these.
+    """
+    ends = [t.n - last - WINDOW + 1 for t in (a, b)]
+    if min(ends) <= start:
+        return 0
+    at = [np.arange(start, end) for end in ends]
+    one = [window_hashes(t, 0, own) for t, own in zip((a, b), at, strict=True)]
+    mask = np.uint64((1 << (8 * max(map(len, at))).bit_length()) - 1)
+    slots = [(h & mask).astype(np.int64) for h in one]
+    for own, other in ((0, 1), (1, 0)):
+        seen = np.zeros(int(mask) + 1, dtype=bool)
+        seen[slots[other]] = True
+        maybe = seen[slots[own]]
+        at[own], one[own], slots[own] = at[own][maybe], one[own][maybe], slots[own][maybe]
+    if not len(at[0]) or not len(at[1]):
+        return 0
+    both = [
+        h << np.uint64(31) | window_hashes(t, 1, own)
+        for t, own, h in zip((a, b), at, one, strict=True)
+    ]
+    kinds = [np.unique(h) for h in both]
+    equal = np.intersect1d(*kinds, assume_unique=True)
+    if not len(equal):
+        return 0
+    counts = []
+    for own, h in zip(at, both, strict=True):
+        place = np.minimum(np.searchsorted(equal, h), len(equal) - 1)
+        counts.append(covered(own[equal[place] == h]))
+    return min(counts)
+
+
 def likeness(a: Prefixes, b: Prefixes) -> float:
     longest, shortest = max(a.n, b.n), min(a.n, b.n)
     if not longest:
@@ -153,29 +187,7 @@ def likeness(a: Prefixes, b: Prefixes) -> float:
     last = min(extension_left(a, a.n, b, b.n), shortest - first)
     common = first + last
     if common < shortest:
-        ends_a, ends_b = a.n - last, b.n - last
-        hash_a, at_a = anchors(a, first, ends_a)
-        hash_b, at_b = anchors(b, first, ends_b)
-        order = np.lexsort((at_b, hash_b))
-        hash_b, at_b = hash_b[order], at_b[order]
-        shared = np.isin(hash_a, hash_b)
-        hash_a, at_a = hash_a[shared], at_a[shared]
-        opens, closes = (np.searchsorted(hash_b, hash_a, side=s) for s in ("left", "right"))
-        done_a = done_b = first
-        for i, low, high in zip(at_a.tolist(), opens.tolist(), closes.tolist(), strict=True):
-            if i < done_a:
-                continue
-            # The first equal window of b behind what is already matched.
-            low += int(np.searchsorted(at_b[low:high], done_b))
-            if low == high:
-                continue
-            j = int(at_b[low])
-            right = min(extension(a, i, b, j), ends_a - i, ends_b - j)
-            if right < WINDOW:
-                continue
-            left = min(extension_left(a, i, b, j), i - done_a, j - done_b)
-            common += left + right
-            done_a, done_b = i + right, j + right
+        common += common_between(a, b, first, last)
     return common / longest
 
 
