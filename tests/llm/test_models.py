@@ -92,3 +92,32 @@ def test_importance_edges(docs, labels, nothing):
     assert n == every.where("drawn").count() == every.where("n_grams > 0").count()
     empty = importance.fit(nothing, labels)
     assert importance.draw(nothing, empty)[0].count() == 0
+
+
+def _toxic_world(n_words, wrong, rows=toxicity.SAMPLE, seed=5):
+    import random
+
+    draw = random.Random(seed)
+    invent = lambda: "".join(draw.choice("bcdfglmnprstvz") + draw.choice("aeiou") for _ in range(draw.randint(2, 5)))
+    plain, bad = [invent() for _ in range(2000)], [invent() for _ in range(n_words)]
+
+    def text(toxic):
+        words = [plain[min(1999, int(draw.expovariate(0.004)))] for _ in range(80)]
+        for _ in range(4 if toxic else 0):
+            words[draw.randrange(len(words))] = draw.choice(bad)
+        return " ".join(words)
+
+    labelled = [[text(True) for _ in range(rows)], [text(False) for _ in range(rows)]]
+    k = int(wrong * rows)
+    swapped = [labelled[0][k:] + labelled[1][:k], labelled[1][k:] + labelled[0][:k]]
+    for part in swapped:
+        draw.shuffle(part)
+    return swapped, [[text(t) for _ in range(400)] for t in (True, False)]
+
+
+@pytest.mark.parametrize("n_words, wrong, least", [(10, 0.04, 0.9), (200, 0.0, 0.8), (200, 0.04, 0.7)])
+def test_toxic_vocabulary(n_words, wrong, least):
+    taught, unseen = _toxic_world(n_words, wrong)
+    model = toxicity.fit(*taught)
+    hits = [sum(model.score(t) >= toxicity.CUT for t in part) / len(part) for part in unseen]
+    assert hits[0] >= least and hits[1] <= 0.06

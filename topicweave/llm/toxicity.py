@@ -4,7 +4,7 @@ Two zstandard dictionaries are learned, on toxic and on ordinary labelled text.
 windows of ``WINDOW_WORDS`` words are compressed with either one; a window is toxic to the
 degree that the toxic dictionary makes it shorter. Both dictionaries end with the same ordinary
 content (from zstandard's trainer), so windows of ordinary words cost the same with either; in
-front of it stand, of the same length, toxic segments or more ordinary ones. Toxic segments
+front of it stand, of the same length, toxic segments (all that are found) or more ordinary ones. They
 are chosen as a cover trainer does, by the character grams they cover, grams weighing as much
 as they are commoner in toxic documents. Thresholds are calibrated on labelled rows that the
 dictionaries have not seen: a logistic fit over the largest gain of a window, the share and
@@ -36,10 +36,11 @@ SAMPLE_CHARS = 20_000
 WINDOW_WORDS = 10
 LONGEST = 512
 GRAM = 5
-#: A gram counts as toxic if it is in this share of toxic rows, so many times commoner there
-#: than in ordinary rows, and so many standard deviations above what these let expect.
-GRAM_SHARE, GRAM_LIFT, GRAM_DEVIATIONS = 0.01, 30.0, 6.0
-TOXIC_BYTES, COMMON_BYTES = 320, 4096
+#: A gram counts as toxic if it is so many times commoner in toxic rows than in ordinary rows,
+#: and its likelihood ratio against what these let expect is at least so much (Poisson). Wrong
+#: labels give toxic words a background among ordinary rows.
+GRAM_LIFT, GRAM_RATIO = 4.0, 30.0
+COMMON_BYTES = 4096
 CUT = 0.7
 
 
@@ -65,15 +66,20 @@ def _gram_rows(texts: list[str]) -> Counter:
     return rows
 
 
-def toxic_segments(toxic: list[str], ordinary: list[str], size: int) -> bytes:
-    """Segments of toxic text, the commonest last, each covering a toxic gram anew."""
+def toxic_grams(toxic: list[str], ordinary: list[str]) -> tuple[set[str], Counter]:
+    """Grams significantly commoner in toxic rows, and the toxic rows that hold each gram."""
     in_toxic, in_ordinary = _gram_rows(toxic), _gram_rows(ordinary)
-    least = max(2, GRAM_SHARE * len(toxic))
     marks = set()
     for gram, n in in_toxic.items():
         expected = len(toxic) * (in_ordinary[gram] + 1) / max(1, len(ordinary))
-        if n >= max(least, GRAM_LIFT * expected, expected + GRAM_DEVIATIONS * expected**0.5):
+        ratio = 2 * (n * np.log(n / expected) - n + expected)
+        if n >= GRAM_LIFT * expected and ratio >= GRAM_RATIO:
             marks.add(gram)
+    return marks, in_toxic
+
+
+def toxic_segments(toxic: list[str], marks: set[str], in_toxic: Counter) -> bytes:
+    """Segments of toxic text, the commonest last, each covering a toxic gram anew; all of them."""
     segments: Counter = Counter()
     for text in toxic:
         found = set()
@@ -86,16 +92,14 @@ def toxic_segments(toxic: list[str], ordinary: list[str], size: int) -> bytes:
                 s for s in "".join(c if h else "\0" for c, h in zip(padded, hit, strict=True)).split("\0") if s
             )
         segments.update(found)
-    chosen, covered, used = [], set(), 0
+    chosen, covered = [], set()
     for segment, _ in sorted(segments.items(), key=lambda s: (-s[1], s[0])):
         own = [segment[i : i + GRAM] for i in range(len(segment) - GRAM + 1)]
         best = max(own, key=lambda g: (in_toxic[g], g))
-        raw = segment.encode("utf-8", "surrogatepass")
-        if best in covered or used + len(raw) > size:
+        if best in covered:
             continue
-        chosen.append(raw)
+        chosen.append(segment.encode("utf-8", "surrogatepass"))
         covered.update(own)
-        used += len(raw)
     return b"".join(reversed(chosen))
 
 
@@ -180,12 +184,17 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     # Odd rows calibrate, even rows teach; a class of one row does both.
     teach = [texts[::2] for texts in (toxic, ordinary)]
     check = [texts[1::2] or texts for texts in (toxic, ordinary)]
-    lines = [w for text in teach[1] for w in windows(text)[:40]] or [b" "]
+    marks, in_toxic = toxic_grams(*teach)
+    front = toxic_segments(teach[0], marks, in_toxic)
+    # Toxic words of wrongly labelled rows must not enter what both dictionaries share.
+    clean = [
+        " ".join(w for w in text.lower().split() if marks.isdisjoint(_grams(w))) for text in teach[1]
+    ]
+    lines = [w for text in clean for w in windows(text)[:40]] or [b" "]
     common = _trained(lines[::2], COMMON_BYTES)
-    front = toxic_segments(*teach, TOXIC_BYTES)
     # b" " keeps both dictionaries long enough for the library to take them
     pad = b" " * 16
-    rest = (_trained(lines[1::2] or lines, TOXIC_BYTES) + pad * 64)[: len(front)]
+    rest = _trained(lines[1::2] or lines, max(256, len(front)))[: len(front)].ljust(len(front))
     model = ToxicityModel(pad + front + common, pad + rest + common, prior)
     x = np.array([model.features(t) for texts in check for t in texts])
     y = np.repeat([1.0, 0.0], [len(c) for c in check])
