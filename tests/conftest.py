@@ -44,24 +44,3 @@ def corpus(spark):
     from topicweave.sources.corpus import with_edited_text
 
     return with_edited_text(rows)
-
-
-def dense(corpus):
-    """Brute-force counts: (words, doc ids, matrix)."""
-    import re
-
-    import numpy as np
-
-    rows = corpus.select("doc_id", "edited_text").orderBy("doc_id").collect()
-    tokens = {r.doc_id: re.findall(r"\w{2,}", r.edited_text.lower()) for r in rows}
-    words = sorted({w for t in tokens.values() for w in t})
-    docs = [r.doc_id for r in rows]
-    x = np.array([[tokens[d].count(w) for d in docs] for w in words], dtype=float)
-    return words, docs, x
-
-
-def matrix(factor, key, names, column="p"):
-    import numpy as np
-
-    held = {r[key]: r[column] for r in factor.collect()}
-    return np.array([held[n] for n in names])

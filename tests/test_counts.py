@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import dense
+from dense_counts import dense
 from topicweave.operators.cells import place_cells, place_corpus
 from topicweave.operators.counts import (
     joint_distribution,

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import matrix
+from dense_counts import matrix
 from topicweave.model import TopicModel
 from topicweave.operators import report, search as srch
 

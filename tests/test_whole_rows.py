@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from conftest import dense, matrix
+from dense_counts import dense, matrix
 from topicweave.engine import TopicEngine
 from topicweave.functions.vectors import slabs
 from topicweave.operators.cells import place_cells
