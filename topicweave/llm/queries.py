@@ -54,7 +54,7 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang"))
+    judged = rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang"), carry=["doc_id"])
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept",

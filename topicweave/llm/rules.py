@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import GAP, sealed
+from topicweave.session import Scratch
 
 # Common words of each language.
 COMMON_WORDS = {
@@ -30,6 +31,7 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su".split(),
     "fr": "de la le et les des en un du une que est pour qui dans par au sur".split(),
 }
+WHITE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 PUNCTUATION = r"[!\x22'()+,\-./:;=?@\[\\\]^_`{}~]"
 UPPER = r"\p{Lu}"
@@ -68,25 +70,28 @@ def _length_of(text: Column, pattern: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))
 
 
-def class_counts(text: Column, symbols: Column, white: Column) -> Column:
-    """Characters per class, in the order of ``CLASSES``."""
-    parts = [white, symbols, _length_of(text, PUNCTUATION), _length_of(text, UPPER), _length_of(text, DIGITS)]
-    return let(
-        F.array(*[p.cast("double") for p in parts]),
-        lambda c: F.concat(c, F.array(F.length(text).cast("double") - _total(c))),
-    )
+def class_counts(text: Column, marks: Column) -> Column:
+    """Characters per class, in the order of ``CLASSES``; ``marks`` is the text without others."""
+    patterns = [WHITE, SYMBOLS, PUNCTUATION, UPPER]
+    rest = F.length(marks)
+    parts = [_length_of(marks, p) for p in patterns]
+    digits = rest - reduce(lambda a, x: a + x, parts)
+    counts = [*parts, digits, F.length(text) - rest]
+    return F.array(*[c.cast("double") for c in counts])
 
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def word_counts(lowered: Column, listed: list[str]) -> Column:
-    """Occurrences of each listed word: the words found become one letter each, and the
-    letters are counted by taking them away."""
+def word_counts(words: Column, listed: list[str]) -> Column:
+    """Occurrences of each listed word, in any case: the words found become one letter each,
+    and the letters are counted by taking them away."""
     letters = {w: chr(0x4E00 + i) for i, w in enumerate(listed)}
     code = F.create_map(*[F.lit(x) for pair in letters.items() for x in pair])
-    found = F.transform(F.filter(lowered, lambda w: w.isin(listed)), lambda w: F.element_at(code, w))
+    longest = max(map(len, listed))
+    short = F.transform(F.filter(words, lambda w: F.length(w) <= longest), F.lower)
+    found = F.transform(F.filter(short, lambda w: w.isin(listed)), lambda w: F.element_at(code, w))
     return let(
         F.array_join(found, ""),
         lambda s: F.array(
@@ -95,17 +100,17 @@ def word_counts(lowered: Column, listed: list[str]) -> Column:
     )
 
 
-def repeated_words(words: Column) -> Column:
-    """Words covered by 3-word windows that occur twice or more in the text."""
+def windows_of(words: Column) -> Column:
+    """A hash of each 3-word window, in order."""
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size(words) - 3),
+        lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+    )
+    return F.when(F.size(words) >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    def covered(w: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(w) - 3),
-            lambda i: F.struct(
-                F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")
-            ),
-        )
-        return let(F.sort_array(windows), of_sorted)
+
+def repeated_words(windows: Column) -> Column:
+    """Words covered by the windows that occur twice or more among a text's 3-word windows."""
 
     def of_sorted(p: Column) -> Column:
         def twice(s: Column, j: Column) -> Column:
@@ -122,7 +127,8 @@ def repeated_words(words: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(words) >= 3, covered(words)).otherwise(0)
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(placed, of_sorted)
 
 
 def distance(counts: Column, reference: list[float]) -> Column:
@@ -132,85 +138,85 @@ def distance(counts: Column, reference: list[float]) -> Column:
     def part(x: Column, m: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
 
+    def of_bin(p: Column, r: Column) -> Column:
+        # a bin the text lacks adds half the reference's share
+        both = let((p + r) / 2, lambda m: (part(p, m) + part(r, m)) / 2)
+        return F.when(p == 0, r / 2).otherwise(both)
+
     def of_share(total: Column) -> Column:
-        terms = F.zip_with(
-            counts, q, lambda c, r: (part(c / total, (c / total + r) / 2) + part(r, (c / total + r) / 2)) / 2
-        )
-        return F.sqrt(F.greatest(F.lit(0.0), _total(terms)))
+        shares = F.transform(counts, lambda c: c / total)
+        return F.sqrt(F.greatest(F.lit(0.0), _total(F.zip_with(shares, q, of_bin))))
 
     return let(_total(counts), lambda t: F.when(t > 0, of_share(t)))
 
 
-def measured(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``docs`` with the base counts and both histograms (``_classes``, ``_common``)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.array_remove(F.split(F.col("_text"), GAP), "")
-    kept_lines = F.filter(F.split(F.col("_text"), "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
-    symbols = _length_of(F.col("_text"), SYMBOLS)
-    white = _length_of(F.col("_text"), r"[\x20\x09-\x0D]")
-    lowered = F.array_remove(F.split(F.lower("_text"), GAP), "")
-    return (
-        docs.withColumn("_text", text)
-        .withColumn(
-            "_m",
-            let(
-                words,
-                lambda w: F.struct(
-                    F.size(w).cast("long").alias("n_words"),
-                    repeated_words(w).cast("long").alias("n_repeat_words"),
-                ),
-            ),
-        )
-        .withColumn("_lines", let(kept_lines, lambda x: F.size(x) - F.size(F.array_distinct(x))))
-        .withColumn("_white", white)
-        .withColumn("_symbols", symbols)
-        .select(
-            *docs.columns,
-            F.col("_m.n_words").alias("n_words"),
-            (F.length("_text") - F.col("_white")).cast("long").alias("word_chars"),
-            F.col("_symbols").cast("long").alias("n_symbols"),
-            F.col("_lines").cast("long").alias("n_dup_lines"),
-            F.col("_m.n_repeat_words").alias("n_repeat_words"),
-            class_counts(F.col("_text"), F.col("_symbols"), F.col("_white")).alias("_classes"),
-            word_counts(lowered, rules.listed).alias("_listed"),
+def measured(docs: DataFrame, rules: Rules, carry: list[str]) -> DataFrame:
+    """The columns of ``carry`` with the base counts and both histograms (``_classes``,
+    ``_common``). Steps that use a value several times are projections of their own, so that
+    each value is computed once.
+    """
+    text, words, windows = F.col("_text"), F.col("_words"), F.col("_windows")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    marks = F.regexp_replace(text, f"[^{WHITE}{SYMBOLS}{PUNCTUATION}{UPPER}{DIGITS}]+", "")
+    distinct = F.size(F.array_distinct(windows))
+    out = (
+        docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+        .withColumns({"_words": F.array_remove(F.split(text, GAP), ""), "_lines": lines, "_marks": marks})
+        .withColumns(
+            {
+                "_windows": windows_of(words),
+                "_listed": word_counts(words, rules.listed),
+                "_classes": class_counts(text, F.col("_marks")),
+                "_n_dup": F.size("_lines") - F.size(F.array_distinct("_lines")),
+            }
         )
-        .withColumn(
-            "_common", F.concat("_listed", F.array(F.col("n_words").cast("double") - _total(F.col("_listed"))))
-        )
-        .drop("_listed")
+        .withColumn("_n_twice", F.size("_windows") - distinct)
     )
-
-
-def references(docs: DataFrame, rules: Rules) -> dict[str, tuple[list[float], list[float]]]:
-    """Histograms of each listed language over all its documents, as shares."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lowered = F.array_remove(F.split(F.lower(text), GAP), "")
-    white = _length_of(text, r"[\x20\x09-\x0D]")
-    rows = docs.where(F.col("lang").isin(list(rules.words))).select(
+    # most texts repeat no window; the places are sorted only where one does
+    repeated = F.when(F.col("_n_twice") > 0, repeated_words(windows)).otherwise(0)
+    others = F.size(words).cast("double") - _total(F.col("_listed"))
+    return out.select(
+        *carry,
         "lang",
-        class_counts(text, _length_of(text, SYMBOLS), white).alias("c"),
-        let(lowered, lambda w: F.concat(word_counts(w, rules.listed), F.array(F.size(w).cast("double")))).alias("w"),
+        F.size(words).cast("long").alias("n_words"),
+        (F.length(text) - F.col("_classes")[0]).cast("long").alias("word_chars"),
+        F.col("_classes")[1].cast("long").alias("n_symbols"),
+        F.col("_n_dup").cast("long").alias("n_dup_lines"),
+        repeated.cast("long").alias("n_repeat_words"),
+        "_classes",
+        F.concat("_listed", F.array(others)).alias("_common"),
     )
+
+
+def references(rows: DataFrame, rules: Rules) -> dict[str, tuple[list[float], list[float]]]:
+    """Histograms of each listed language over all its measured rows, as shares."""
     n_words = len(rules.listed) + 1
-    sums = rows.groupBy("lang").agg(
-        *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES))],
-        *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n_words)],
+    sums = rows.where(F.col("lang").isin(list(rules.words))).groupBy("lang").agg(
+        *[F.sum(F.col("_classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))],
+        *[F.sum(F.col("_common")[i]).alias(f"w{i}") for i in range(n_words)],
     )
     found = {}
     for r in sums.collect():  # one row per listed language
         classes = [r[f"c{i}"] for i in range(len(CLASSES))]
         common = [r[f"w{i}"] for i in range(n_words)]
-        common[-1] -= sum(common[:-1])
         if sum(classes) and sum(common):
             found[r["lang"]] = tuple([x / sum(h) for x in h] for h in (classes, common))
     return found
 
 
-def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """``docs`` with base counts, ``class_distance``, ``word_distance``, ``base_failed``, ``kept``."""
+def judge(docs: DataFrame, rules: Rules | None = None, carry: list[str] | None = None) -> DataFrame:
+    """``docs`` with base counts, ``class_distance``, ``word_distance``, ``base_failed``, ``kept``.
+
+    Texts are measured once; the counts and histograms are written with the columns to
+    ``carry`` (all of ``docs`` unless named), and references and verdicts read those rows.
+    """
     rules = rules or Rules()
     docs, names, columns = sealed(docs, ["text", "lang"], RESULTS)
-    known = references(docs, rules)
+    if carry is not None:
+        names, columns = zip(*[(n, c) for n, c in zip(names, columns) if c in carry], strict=True)
+    held = measured(docs, rules, [n for n in names if n != "lang"])
+    out = Scratch(docs.sparkSession, "rules").write(held, "measured")
+    known = references(out, rules)
 
     def nearest(column: str, which: int) -> Column:
         each = [distance(F.col(column), own[which]) for own in known.values()]
@@ -218,7 +224,6 @@ def judge(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
             return F.lit(None).cast("double")
         return each[0] if len(each) == 1 else F.least(*each)
 
-    out = measured(docs, rules)
     out = out.withColumns(
         {"class_distance": F.round(nearest("_classes", 0), 9), "word_distance": F.round(nearest("_common", 1), 9)}
     )
