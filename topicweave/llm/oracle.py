@@ -172,3 +172,24 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach.b) AS compone
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 GROUP BY d.doc_id, n.n
 """
+
+TOPK = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::HUGEINT) AS w
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), part AS (
+  SELECT r, vec_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM v
+), score AS (
+  SELECT q.r AS qa, c.r AS ca, sum(q.x * c.x) AS s
+  FROM part q JOIN part c ON q.i = c.i WHERE q.vec_id % 100 = 0 GROUP BY 1, 2
+), ranked AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, coalesce(s, 0)::BIGINT AS score,
+         row_number() OVER (PARTITION BY q.r ORDER BY coalesce(s, 0) DESC, c.vec_id NULLS LAST)::INTEGER AS rank
+  FROM v q JOIN v c ON q.r <> c.r LEFT JOIN score ON qa = q.r AND ca = c.r
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
