@@ -1,27 +1,31 @@
 """Token ids by the public word-end BPE, with each distinct word encoded once per worker.
 
 White space only separates words for this tokenizer, so the ids of a text are the ids of its
-white-space separated chunks in order. Chunks of printable ASCII and Latin-1 letters go
-straight to the BPE model; any other chunk goes through the whole tokenizer.
+white-space separated chunks in order. A text of printable ASCII and Latin-1 letters is split
+into lower-cased pieces (words, digits, runs of signs), which go straight to the BPE model. Any
+other text is taken by chunks, and those with other characters go through the whole tokenizer.
+A worker keeps the ids of short pieces and chunks, so many at most: its store is bounded in bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
-
 DEFAULT_FILE = "word_bpe_49k.json"
-#: Distinct chunks kept by a worker; when full, the store is emptied and fills again.
+#: Distinct pieces, and chunks, kept by a worker; a full store is emptied and fills again.
 KEPT_WORDS = 400_000
+#: Longer ones are not kept.
+KEPT_LENGTH = 64
 #: Texts are split at white space into stretches of about so many characters.
 STRETCH = 1 << 20
 
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# The characters the shortcut handles, and the file's own splitting pattern.
+_PLAIN = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-z0-9ß-öø-ÿ]+")
 _GAP = re.compile(r"[ \t\n\r]")
 _ODD = re.compile(r"[\x1c-\x1f]")
 
@@ -43,6 +47,10 @@ def _byte_letters() -> dict[int, str]:
     }
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordTokenizer:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,38 +60,51 @@ class WordTokenizer:
         self.whole.encode_special_tokens = True  # their strings are ordinary text
         self.model = self.whole.model
         self.letters = _byte_letters()
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.translate(self.letters)
+        return _packed([t.id for t in self.model.tokenize(letters)])
+
+    def _plain(self, text: str) -> bytes:
+        return self._joined(_PIECES.findall(text.lower()), self.pieces, self._piece)
 
-    def _learn(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> bytes:
         if _PLAIN.fullmatch(chunk):
-            low = chunk.lower()
-            pieces = _PIECES.findall(low)
-            if not low.isascii():
-                pieces = [p.translate(self.letters) for p in pieces]
-            ids = [t.id for p in pieces for t in self.model.tokenize(p)]
-        else:
-            ids = self.whole.encode(chunk, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(self.known) >= KEPT_WORDS:
-            self.known.clear()
-        self.known[chunk] = found
+            return self._plain(chunk)
+        return _packed(self.whole.encode(chunk, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _joined(words: list[str], known: dict[str, bytes], ids_of: Callable[[str], bytes]) -> bytes:
+        """Ids of all words in order; those that are not known yet are encoded once."""
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:
+            new = set(words).difference(known)
+        known.update((w, ids_of(w)) for w in new)
+        found = b"".join([known[w] for w in words])
+        for w in new:
+            if len(w) > KEPT_LENGTH:
+                del known[w]
+        if len(known) > KEPT_WORDS:
+            known.clear()
         return found
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of the stretches of a text, as little-endian 32-bit numbers."""
-        known, at = self.known, 0
+        at = 0
         while at < len(text):
             end = len(text)
             if end - at > STRETCH:
                 gap = _GAP.search(text, at + STRETCH)
                 end = gap.start() if gap else end
             part = text[at:end] if at or end < len(text) else text
-            chunks = [c for c in _GAP.split(part) if c] if _ODD.search(part) else part.split()
-            try:
-                yield b"".join([known[c] for c in chunks])
-            except KeyError:
-                get = known.get
-                yield b"".join([get(c) or self._learn(c) for c in chunks])
+            if _PLAIN.fullmatch(part):
+                yield self._plain(part)
+            else:
+                chunks = [c for c in _GAP.split(part) if c] if _ODD.search(part) else part.split()
+                yield self._joined(chunks, self.chunks, self._chunk)
             at = end
 
 
