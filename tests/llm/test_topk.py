@@ -43,12 +43,10 @@ def vectors(rng, n, dims=12):
 
 
 @pytest.mark.parametrize("block,pass_bytes", [(2048, 1 << 20), (7, 700)])
-def test_equals_brute_force(spark, monkeypatch, block, pass_bytes):
-    monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "GROUP", 3)
+def test_equals_brute_force(spark, block, pass_bytes):
     rows = vectors(random.Random(2), 450)
     random.Random(3).shuffle(rows)
-    assert answer(spark, rows, pass_bytes=pass_bytes) == brute(rows)
+    assert answer(spark, rows, pass_bytes=pass_bytes, block=block, group=3) == brute(rows)
 
 
 def test_sparse_terms_and_few_candidates(spark):

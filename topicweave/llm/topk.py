@@ -113,15 +113,16 @@ class Best:
 class Pass:
     """The queries of one pass, sparse, grouped for the blocks."""
 
-    def __init__(self, table: pa.Table) -> None:
+    def __init__(self, table: pa.Table, block: int, group: int) -> None:
+        self.block = block
         self.rows = table["row"].to_numpy()
         self.ids = table["vec_id"].to_numpy()
         weights = table["weights"].combine_chunks()
         self.largest, self.groups = 0.0, []
-        for at in range(0, len(self.rows), GROUP):
-            row, term, weight = _flat(weights.slice(at, GROUP))
+        for at in range(0, len(self.rows), group):
+            row, term, weight = _flat(weights.slice(at, group))
             self.largest = max(self.largest, _largest(weight))
-            self.groups.append((at, min(GROUP, len(self.rows) - at), postings(row, term, weight)))
+            self.groups.append((at, min(group, len(self.rows) - at), postings(row, term, weight)))
         self.order = np.argsort(self.rows)
 
     def search(self, batch: pa.RecordBatch, best: Best) -> None:
@@ -161,8 +162,8 @@ def _merged(queries: Pass, k: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(queries.rows), k)
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                queries.search(batch.slice(at, BLOCK), best)
+            for at in range(0, batch.num_rows, queries.block):
+                queries.search(batch.slice(at, queries.block), best)
         for q, found in enumerate(best.found):
             if found is not None:
                 score, vec_id, absent = found
@@ -181,7 +182,13 @@ def _merged(queries: Pass, k: int):
 
 
 def top_k(
-    vectors: DataFrame, asked: Column, k: int = 10, scale: int = SCALE, pass_bytes: int = PASS_BYTES
+    vectors: DataFrame,
+    asked: Column,
+    k: int = 10,
+    scale: int = SCALE,
+    pass_bytes: int = PASS_BYTES,
+    block: int = BLOCK,
+    group: int = GROUP,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the rows for which ``asked`` (over ``vec_id``) holds."""
     spark = vectors.sparkSession
@@ -205,7 +212,7 @@ def top_k(
     for turn in range(passes):
         own = queries.where(F.col("pass") == turn) if passes > 1 else queries
         # at most per_pass queries: pass_bytes of components
-        sent = Pass(own.select("row", "vec_id", "weights").toArrow())
+        sent = Pass(own.select("row", "vec_id", "weights").toArrow(), block, group)
         scratch.write(candidates.mapInArrow(_merged(sent, k), _FOUND), f"found/pass={turn}")
     if passes:
         found = spark.read.schema(_FOUND).parquet(f"{scratch.path}/found")
