@@ -193,3 +193,40 @@ WITH v AS MATERIALIZED (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+PHRASES = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), total AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM piece GROUP BY lang
+), occurrence AS (
+  SELECT lang, w[i : i + s - 1] AS g
+  FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM piece, (VALUES (1), (2), (3)) AS v(s))
+), f AS MATERIALIZED (
+  SELECT lang, g, count(*) AS f FROM occurrence GROUP BY lang, g HAVING count(*) >= 10
+), candidate AS MATERIALIZED (
+  SELECT lang, g, f AS a FROM f WHERE len(g) > 1
+), cut AS (
+  SELECT c.lang, c.g, a, k, x.f AS l, y.f AS r,
+         (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidate) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k]
+  JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS nth FROM cut
+), inside AS (
+  SELECT lang, g, max(a) AS longer
+  FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM candidate WHERE len(g) = 3) GROUP BY lang, g
+), ranked AS (
+  SELECT c.lang, array_to_string(c.g, ' ') AS phrase, c.a, l, r, score,
+         row_number() OVER (PARTITION BY c.lang
+                            ORDER BY score DESC, c.a DESC, encode(array_to_string(c.g, ' '))) AS rank
+  FROM lowest c LEFT JOIN inside i ON i.lang = c.lang AND i.g = c.g
+  WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 50 * c.a)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import fingerprint, importance, linededup, minhash, mixing, oracle, packing, repeats, rules, sharding, topk, toxicity
+from topicweave.llm import collocations, fingerprint, importance, linededup, minhash, mixing, oracle, packing, repeats, rules, sharding, topk, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,10 +88,15 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
 def registry() -> dict[str, Query]:
     own = [
         op1_mix, op2_fingerprint, op3_repeats, op4_toxicity, op5_line_dedup, op6_importance,
         op7_rules, op8_shard, op9_pack, op10_minhash, op11_topk,
+        op13_collocations,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -103,5 +108,6 @@ def statements() -> dict[str, str]:
         "op7_rules": oracle.rules_sql(),
         "op10_minhash": oracle.NEAR,
         "op11_topk": oracle.TOPK,
+        "op13_collocations": oracle.PHRASES,
     }
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
