@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicweave.llm import collocations, fingerprint, importance, linededup, minhash, mixing, oracle, packing, repeats, rules, sharding, topk, toxicity
+from topicweave.llm import alignment, collocations, fingerprint, importance, linededup, minhash, mixing, oracle, packing, repeats, rules, sharding, topk, toxicity
 from topicweave.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +88,10 @@ def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
 
@@ -96,7 +100,7 @@ def registry() -> dict[str, Query]:
     own = [
         op1_mix, op2_fingerprint, op3_repeats, op4_toxicity, op5_line_dedup, op6_importance,
         op7_rules, op8_shard, op9_pack, op10_minhash, op11_topk,
-        op13_collocations,
+        op12_alignment, op13_collocations,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
