@@ -7,7 +7,7 @@ from topicweave.engine import TopicEngine
 from topicweave.operators.cells import place_cells, place_corpus
 from topicweave.operators.counts import term_counts
 from topicweave.operators.factors import EPSILON, TINY
-from topicweave.operators.gram import nnls_step
+from topicweave.operators.gram import active_set_step, nnls_step, warm_set_step
 from topicweave.operators.metrics import residuals
 from topicweave.operators.nmf import METHODS, Factors, fit_nmf, nmf_to_plsa, start_factors
 from topicweave.operators.plsa import fit_em, posterior, start_values
@@ -118,7 +118,7 @@ def nmf_dense(x, w, h, n_iter, method):
     return w, h
 
 
-@pytest.mark.parametrize("method", ["sklearn", "nimfa_MU", "simple_MU", "Lin_PG", "HALS", "ANLS_AS_GROUP"])
+@pytest.mark.parametrize("method", ["sklearn", "nimfa_MU", "simple_MU", "HALS", "ANLS_BLOCKPIVOT", "ANLS_AS_NUMPY", "ANLS_AS_GROUP"])
 def test_nmf_equals_dense_computation(spark, corpus, blocks, counts, method):
     words, docs, x = counts
     x = x / x.sum()
@@ -162,14 +162,67 @@ def test_em_likelihood_never_falls(corpus, blocks):
     assert values == sorted(values)
 
 
-def test_nnls_is_exact():
+SOLVERS = [nnls_step, active_set_step, warm_set_step]
+
+
+def kkt(x, target, g):
+    """Largest violation of the optimality conditions, relative to the problem's own scale."""
+    root = np.sqrt(np.diag(g))
+    x = np.where(x > TINY, x, 0.0)  # the floor stands for zero
+    y = (x @ g - target) / root / np.abs(target / root).max()
+    x = x * root / np.abs(target / root).max()
+    return np.abs(np.minimum(x, y)).max()
+
+
+@pytest.mark.parametrize("solver", SOLVERS)
+@pytest.mark.parametrize("scale", [1.0, 1e-3])
+def test_nnls_is_exact(solver, scale):
     rng = np.random.default_rng(1)
-    h = rng.random((30, 4))
-    x = rng.normal(size=(50, 30))
-    got = nnls_step(np.zeros((50, 4)), x @ h, h.T @ h)
-    gradient = got @ (h.T @ h) - x @ h
-    assert (got >= 0).all()
-    assert np.abs(np.minimum(got, gradient)).max() < 1e-8
+    h = rng.random((30, 6)) * np.array([1, 1e-2, 1, 10, 1, 1])
+    x = rng.normal(size=(200, 30)) * scale
+    got = solver(rng.random((200, 6)) * scale, x @ h, h.T @ h)
+    assert (got >= 0).all() and (got > TINY).any(axis=0).all()
+    assert kkt(got, x @ h, h.T @ h) < 1e-9
+
+
+@pytest.mark.parametrize("solver", SOLVERS)
+def test_nnls_keeps_its_scale(solver):
+    """The same problem in units of 1e-12, and exact optimum by trying all passive sets."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    h, x = rng.random((12, 4)), rng.normal(size=(40, 12))
+    g, t = h.T @ h, x @ h
+    small = solver(np.zeros((40, 4)), t * 1e-6, g * 1e-12) * 1e-6
+    assert small == pytest.approx(solver(np.zeros((40, 4)), t, g), abs=2e-12)
+    for row, own in zip(t, solver(rng.random((40, 4)), t, g)):
+        best, held = 0.0, np.zeros(4)
+        for chosen in product([False, True], repeat=4):
+            p = np.array(chosen)
+            sol = np.zeros(4)
+            if p.any():
+                sol[p] = np.linalg.solve(g[np.ix_(p, p)], row[p])
+            if (sol >= 0).all() and 0.5 * sol @ g @ sol - sol @ row < best:
+                best, held = 0.5 * sol @ g @ sol - sol @ row, sol
+        assert own == pytest.approx(held, abs=1e-9)
+
+
+@pytest.mark.parametrize("solver", SOLVERS)
+def test_nnls_ends_on_dependent_topics(solver):
+    """Equal, nearly equal, summed and empty topics: optimal values, and an end."""
+    rng = np.random.default_rng(9)
+    base = rng.random((25, 3))
+    near = base[:, 0] * (1 + 1e-9 * rng.random(25))
+    h = np.column_stack([base, base[:, 0], near, base[:, 1] + base[:, 2], np.zeros(25)])
+    for scale in (1.0, 1e-6):
+        x = rng.normal(size=(300, 25)) * scale
+        g, t = h.T @ h * scale, x @ h
+        got = solver(np.abs(rng.normal(size=(300, 7))), t, g)
+        want = nnls_step(np.zeros((300, 3)), x @ base, base.T @ base * scale)
+        value = lambda f, gram, s: (0.5 * (f @ gram) * f - f * s).sum(axis=1)
+        assert (got >= 0).all()
+        low = value(got, g, t)
+        assert low == pytest.approx(value(want, base.T @ base * scale, x @ base), abs=1e-7 * np.abs(low).max())
 
 
 def test_svd_equals_dense(blocks, counts):

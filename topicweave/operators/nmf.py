@@ -18,14 +18,16 @@ from topicweave.model import TopicModel
 from topicweave.operators.cells import CellBlocks
 from topicweave.operators.factors import TINY, seed_vector
 from topicweave.operators.gram import (
+    active_set_step,
     gram,
     hals_step,
     map_rows,
     multiplicative_step,
     nnls_step,
-    projected_gradient_step,
+    warm_set_step,
 )
 from topicweave.operators.metrics import residuals
+from topicweave.operators.projected import Progress, descended, gradient_square, step_rows
 from topicweave.session import Scratch
 
 # Method names and the factor each one renews first.
@@ -33,10 +35,10 @@ METHODS = {
     "sklearn": ("divergence", "words"),
     "nimfa_MU": ("divergence", "docs"),
     "simple_MU": (multiplicative_step, "docs"),
-    "Lin_PG": (projected_gradient_step, "words"),
+    "Lin_PG": ("projected", "words"),
     "ANLS_BLOCKPIVOT": (nnls_step, "docs"),
-    "ANLS_AS_NUMPY": (nnls_step, "docs"),
-    "ANLS_AS_GROUP": (nnls_step, "docs"),
+    "ANLS_AS_NUMPY": (active_set_step, "docs"),
+    "ANLS_AS_GROUP": (warm_set_step, "docs"),
     "HALS": (hals_step, "docs"),
 }
 METRICS = ("kullback-leibler", "frobenius")
@@ -70,6 +72,45 @@ def start_factors(
     return Factors(scratch.write(words, "w-start"), scratch.write(docs, "h-start"), k)
 
 
+def _products(
+    blocks: CellBlocks, factors: Factors, side: str, scratch: Scratch
+) -> DataFrame:
+    """``(key, s)``: products of X with the other side's factor."""
+    k = factors.k
+    key = "word" if side == "words" else "doc_id"
+    if side == "words":
+        sums = blocks.product_sums(factors.docs.withColumnRenamed("f", "b"), k, key)
+    else:
+        sums = blocks.product_sums(factors.words.withColumnRenamed("f", "a"), k, key)
+    sums = scratch.settled(sums, f"{side}-sums", k > UNROLL)
+    return sums.select(key, build(k, lambda z: f"s[{z}] / {blocks.total!r}D").alias("s"))
+
+
+class _Projected:
+    """Half-steps by projected gradient with a line search."""
+
+    def __init__(self, blocks: CellBlocks, factors: Factors, scratch: Scratch, tolerance: float) -> None:
+        self.blocks, self.scratch = blocks, scratch
+        self.progress = Progress(tolerance)
+        self.ready = {side: self._rows(factors, side, -1) for side in ("words", "docs")}
+        self.progress.begin({side: gradient_square(*r) for side, r in self.ready.items()})
+
+    def _rows(self, factors: Factors, side: str, turn: int):
+        key = "word" if side == "words" else "doc_id"
+        mine, other = (
+            (factors.words, factors.docs) if side == "words" else (factors.docs, factors.words)
+        )
+        sums = _products(self.blocks, factors, side, self.scratch)
+        rows = self.scratch.slot(step_rows(mine, sums, key, factors.k), f"{side}-rows", turn)
+        return rows, gram(other, "f", factors.k)
+
+    def renewed(self, factors: Factors, side: str, turn: int) -> DataFrame:
+        # at the start both sides' rows are known; the second side's go stale with the first step
+        rows = self.ready.pop(side, None) if turn == 0 and side == "words" else None
+        rows, g = rows or self._rows(factors, side, turn)
+        return descended(rows, "word" if side == "words" else "doc_id", g, side, self.progress)
+
+
 def _half_step(
     blocks: CellBlocks, factors: Factors, side: str, update, shared: bool, scratch: Scratch
 ) -> DataFrame:
@@ -81,17 +122,12 @@ def _half_step(
     if shared:
         a = factors.words.withColumnRenamed("f", "a")
         b = factors.docs.withColumnRenamed("f", "b")
-        sums = blocks.share_sums(a, b, k, key)
+        sums = scratch.settled(blocks.share_sums(a, b, k, key), f"{side}-sums", k > UNROLL)
+        sums = sums.select(key, build(k, lambda z: f"s[{z}] / {blocks.total!r}D").alias("s"))
     else:
-        sums = blocks.product_sums(
-            other.withColumnRenamed("f", "b" if side == "words" else "a"), k, key
-        )
-    sums = scratch.settled(sums, f"{side}-sums", k > UNROLL)
+        sums = _products(blocks, factors, side, scratch)
     # rows without a cell (documents without a counted word) have sums of zero
-    zeros = F.array(*[F.lit(0.0)] * k)
-    scaled = build(k, lambda z: f"s[{z}] / {blocks.total!r}D")
-    sums = sums.select(key, scaled.alias("s"))
-    rows = mine.join(sums, key, "left").withColumn("s", F.coalesce("s", zeros))
+    rows = step_rows(mine, sums, key, k)
     if shared:
         shares = build(k, lambda z: f"greatest(s[{z}] / greatest(m[{z}], {TINY!r}D), {TINY!r}D)")
         mass = column_sums(other, "f", k).scalar()
@@ -110,8 +146,11 @@ def fit_nmf(
     corpus: DataFrame | None = None,
     keep_history: bool = False,
     scratch: Scratch | None = None,
+    tolerance: float = 1e-5,
 ) -> Factors:
-    """Alternate half-steps for a fixed number of iterations."""
+    """Alternate half-steps for a number of iterations. ``Lin_PG`` ends earlier once the norm of
+    the projected gradient falls below ``tolerance`` times that of the first gradient.
+    """
     if method not in METHODS:
         raise ValueError(f"Unknown method {method!r}; choose from {sorted(METHODS)}.")
     if metric not in METRICS:
@@ -123,13 +162,18 @@ def fit_nmf(
     order = ["words", "docs"] if first == "words" else ["docs", "words"]
     factors = start or start_factors(blocks, corpus, k, scratch)
     history = None
+    projected = None
+    if update == "projected" and n_iter:
+        projected = _Projected(blocks, factors, scratch, tolerance)
     for turn in range(n_iter):
         for side in order:
-            renewed = scratch.slot(
-                _half_step(blocks, factors, side, update, update == "divergence", scratch),
-                side,
-                turn,
-            )
+            if projected:
+                renewed = projected.renewed(factors, side, turn)
+            else:
+                renewed = _half_step(
+                    blocks, factors, side, update, update == "divergence", scratch
+                )
+            renewed = scratch.slot(renewed, side, turn)
             words = renewed if side == "words" else factors.words
             docs = renewed if side == "docs" else factors.docs
             factors = Factors(words, docs, k)
@@ -139,6 +183,8 @@ def fit_nmf(
             row = row.select(F.lit(method).alias("method"), F.lit(turn + 1).alias("iter"), "*")
             row = scratch.write(row, f"history/iter={turn + 1}").select(row.columns)
             history = row if history is None else history.unionByName(row)
+        if projected and projected.progress.settled:
+            break
     return Factors(factors.words, factors.docs, k, history)
 
 

@@ -16,6 +16,7 @@ from topicweave.functions.wordlists import (
     query_stop_words,
 )
 from topicweave.operators.factors import EPSILON, TINY
+from topicweave.operators.projected import BETA, ENOUGH, TRIALS, TURNS
 from topicweave.operators.search import SEARCH_ITERATIONS, TOP_HITS
 from topicweave.plans.queries import (
     ACCOUNTS,
@@ -277,6 +278,7 @@ def _square_half(side: str, mine: str, other: str, out: str, update: str) -> str
     dot = lambda names, z: "(" + " + ".join(f"{names[j]} * g{j}_{z}" for j in Z) + ")"
     old = [f"p{z}" for z in Z]
     keep = ", ".join([f"s{z}" for z in Z] + [f"g{i}_{j}" for i, j in pairs])
+    ctes: list[str] = []
     if update == "mu":
         new = _cols(
             lambda z: f"greatest(p{z} * s{z} / greatest({dot(old, z)}, {FLOOR}), {FLOOR}) AS q{z}"
@@ -289,14 +291,7 @@ def _square_half(side: str, mine: str, other: str, out: str, update: str) -> str
             rows = f"SELECT {carried}, {keep}, greatest({step}, {FLOOR}) AS p{z} FROM ({rows})"
         body = f"SELECT {key}, {_cols(lambda z: f'p{z} AS q{z}')} FROM ({rows})"
     else:
-        trace = "greatest(" + " + ".join(f"g{z}_{z}" for z in Z) + f", {FLOOR})"
-        for _ in range(10):
-            new = _cols(
-                lambda z: f"greatest(p{z} - (1.0::double / {trace}) * ({dot(old, z)} - s{z}), 0.0) AS q{z}"
-            )
-            back = _cols(lambda z: f"q{z} AS p{z}")
-            rows = f"SELECT {key}, {back}, {keep} FROM (SELECT {key}, {new}, {keep} FROM ({rows}))"
-        body = f"SELECT {key}, {_cols(lambda z: f'greatest(p{z}, {FLOOR}) AS q{z}')} FROM ({rows})"
+        ctes, body = _least_squares(rows, key, out)
     return ",\n".join(
         [
             _cte(
@@ -304,11 +299,163 @@ def _square_half(side: str, mine: str, other: str, out: str, update: str) -> str
                 f"SELECT {key}, {sums} FROM cells JOIN {other} o USING ({other_key}) GROUP BY {key}",
             ),
             _cte(f"{out}_g", f"SELECT {grams} FROM {other}"),
+            *ctes,
             _cte(out, f"SELECT {key}, {_cols(lambda z: f'q{z} AS p{z}')} FROM ({body})"),
         ]
     )
 
 
+def _least_squares(rows: str, key: str, out: str) -> tuple[list[str], str]:
+    """Non-negative least squares by trying every passive set: the best feasible solution wins.
+
+    The inverse of a set's Gram matrix follows from that of the set without its last topic.
+    """
+    ctes = [_cte(f"{out}_b", rows)]
+    solutions = [
+        f"SELECT {key}, 0.0::double AS value, [{', '.join(['0.0::double'] * K)}] AS x FROM {out}_b"
+    ]
+    for bits in range(1, 1 << K):
+        own = [z for z in Z if bits >> z & 1]
+        before, m = own[:-1], own[-1]
+        parent = sum(1 << z for z in before)
+        # u = inverse x column, rest = what the column adds of its own
+        u = {z: "(" + (" + ".join(f"i.v{z}_{j} * g{j}_{m}" for j in before) or "0") + ")" for z in before}
+        rest = f"(g{m}_{m} - ({' + '.join(f'g{z}_{m} * {u[z]}' for z in before) or '0'}))"
+        values = [f"i.v{x}_{y} + {u[x]} * {u[y]} / {rest} AS v{x}_{y}" for x in before for y in before]
+        values += [f"-{u[x]} / {rest} AS v{x}_{m}, -{u[x]} / {rest} AS v{m}_{x}" for x in before]
+        values.append(f"1.0::double / {rest} AS v{m}_{m}")
+        source = f"{out}_g" + (f", {out}_i{parent} i" if before else "")
+        ctes.append(_cte(f"{out}_i{bits}", f"SELECT {', '.join(values)} FROM {source}"))
+        x = [
+            "(" + " + ".join(f"i.v{z}_{j} * b.s{j}" for j in own) + ")" if z in own else "0.0::double"
+            for z in Z
+        ]
+        solutions.append(
+            f"SELECT {key}, {' + '.join(f'x[{z + 1}] * s{z}' for z in own)} AS value, x FROM"
+            f" (SELECT b.*, [{', '.join(x)}] AS x FROM {out}_b b, {out}_i{bits} i) WHERE list_min(x) >= 0"
+        )
+    best = f"SELECT {key}, arg_max(x, value) AS x FROM ({' UNION ALL '.join(solutions)}) GROUP BY {key}"
+    body = f"SELECT {key}, {_cols(lambda z: f'greatest(x[{int(z) + 1}], {FLOOR}) AS q{z}')} FROM ({best})"
+    return ctes, body
+
+
+def _gradient(z: int) -> str:
+    return "(" + " + ".join(f"p{j} * g{j}_{z}" for j in Z) + f" - s{z})"
+
+
+def _searched_rows(side: str, mine: str, other: str, out: str) -> list[str]:
+    """{out}_r0: factor rows with their products; {out}_g: the other side's Gram matrix."""
+    key, other_key = _sides(side)
+    sums = _cols(lambda z: f"sum(n / (SELECT total FROM size) * o.p{z}) AS s{z}")
+    grams = ", ".join(f"sum(p{i} * p{j}) AS g{i}_{j}" for i in Z for j in Z)
+    held = _cols(lambda z: f"p{z}, coalesce(s{z}, 0) AS s{z}")
+    return [
+        _cte(
+            f"{out}_s",
+            f"SELECT {key}, {sums} FROM cells JOIN {other} o USING ({other_key}) GROUP BY {key}",
+        ),
+        _cte(f"{out}_g", f"SELECT {grams} FROM {other}"),
+        _cte(f"{out}_r0", f"SELECT {key}, {held} FROM {mine} LEFT JOIN {out}_s USING ({key})"),
+    ]
+
+
+def _search_half(side: str, mine: str, other: str, out: str, limit: str) -> str:
+    """A side by projected gradient with a line search; {out}_a10 holds how it went.
+
+    Every turn sums slope and curvature for all step lengths it may take, ascending.
+    """
+    key, _ = _sides(side)
+    first, beta = TRIALS - 1, BETA
+    steps = [f"alpha / {beta**n!r}" for n in range(first, 0, -1)]
+    steps += [f"alpha * {beta**n!r}" for n in range(TRIALS)]
+    parts = _searched_rows(side, mine, other, out)
+    parts.append(
+        _cte(
+            f"{out}_a0",
+            f"SELECT 1.0::double AS alpha, false AS ended, 0 AS turns, 0.0::double AS square, 0.0::double AS step",
+        )
+    )
+    for t in range(TURNS):
+        grads = _cols(lambda z: f"{_gradient(int(z))} AS d{z}")
+        keep = _cols(lambda z: f"p{z}, s{z}")
+        parts.append(_cte(f"{out}_d{t}", f"SELECT {key}, {keep}, {grads} FROM {out}_r{t}, {out}_g"))
+        free = _sum(lambda z: f"sum(CASE WHEN d{z} < 0 OR p{z} > {FLOOR} THEN d{z} * d{z} ELSE 0 END)")
+        tried = (
+            f"SELECT unnest([{', '.join(steps)}]) AS a, unnest([0.0::double, {', '.join(steps[:-1])}]) AS b,"
+            f" unnest(range(1, {len(steps) + 1})) AS j FROM {out}_a{t}"
+        )
+        moves = _cols(lambda z: f"greatest(p{z} - a * d{z}, {FLOOR}) - p{z} AS m{z}")
+        changed = _sum(
+            lambda z: f"(greatest(p{z} - a * d{z}, {FLOOR}) <> greatest(p{z} - b * d{z}, {FLOOR}))::int"
+        )
+        slope = _sum(lambda z: f"d{z} * m{z}")
+        bend = " + ".join(f"m{i} * g{i}_{j} * m{j}" for i in Z for j in Z)
+        parts.append(
+            _cte(
+                f"{out}_t{t}",
+                f"SELECT list({1 - ENOUGH!r}::double * slope + 0.5::double * bend < 0 ORDER BY j) AS e,"
+                f" list(moved ORDER BY j) AS m FROM (SELECT j, sum({slope}) AS slope, sum({bend}) AS bend,"
+                f" sum({changed}) AS moved FROM (SELECT *, {moves} FROM {out}_d{t}, ({tried})), {out}_g GROUP BY j)",
+            )
+        )
+        up = [
+            (f"NOT e[{first + 1 + n}] OR m[{first + 1 + n}] = 0", f"alpha * {beta ** (n - 1)!r}", f"alpha * {beta**n!r}")
+            for n in range(1, TRIALS)
+        ]
+        down = [(f"e[{first + 1 - n}]", f"alpha / {beta**n!r}", f"alpha / {beta**n!r}") for n in range(1, TRIALS)]
+
+        def chosen(which: int, more: str, less: str) -> str:
+            longer = " ".join(f"WHEN {c[0]} THEN {c[which]}" for c in up)
+            shorter = " ".join(f"WHEN {c[0]} THEN {c[which]}" for c in down)
+            return (
+                f"CASE WHEN e[{first + 1}] THEN CASE {longer} ELSE {more} END"
+                f" ELSE CASE {shorter} ELSE {less} END END"
+            )
+
+        step = chosen(1, f"alpha * {beta**first!r}", "0.0")
+        following = chosen(2, f"alpha * {beta**TRIALS!r}", f"alpha / {beta**TRIALS!r}")
+        parts.append(
+            _cte(
+                f"{out}_a{t + 1}",
+                f"SELECT CASE WHEN over THEN alpha ELSE {following} END AS alpha, over AS ended,"
+                " turns + CASE WHEN over THEN 0 ELSE 1 END AS turns,"
+                " CASE WHEN ended THEN square ELSE now END AS square,"
+                f" CASE WHEN over THEN 0.0 ELSE {step} END AS step FROM (SELECT *,"
+                f" ended OR sqrt(now) < ({limit}) AS over FROM {out}_a{t}, {out}_t{t},"
+                f" (SELECT {free} AS now FROM {out}_d{t}))",
+            )
+        )
+        new = _cols(lambda z: f"greatest(p{z} - step * d{z}, {FLOOR}) AS p{z}, s{z}")
+        parts.append(_cte(f"{out}_r{t + 1}", f"SELECT {key}, {new} FROM {out}_d{t}, {out}_a{t + 1}"))
+    parts.append(_cte(out, f"SELECT {key}, {_cols(lambda z: f'p{z}')} FROM {out}_r{TURNS}"))
+    return ",\n".join(parts)
+
+
+def _nmf_searched(tag: str = "f") -> str:
+    """Projected gradient with a line search, words first. The sides' limits start at a
+    thousandth of the first gradient and fall tenfold when a side has nothing to do."""
+    parts = [_nmf_start(), *_searched_rows("W", "fw0", "fh0", "bw"), *_searched_rows("H", "fh0", "fw0", "bh")]
+    square = _sum(lambda z: f"{_gradient(int(z))} * {_gradient(int(z))}")
+    both = " + ".join(f"(SELECT sum({square}) FROM {x}_r0, {x}_g)" for x in ("bw", "bh"))
+    parts.append(_cte("first", f"SELECT sqrt({both}) AS norm"))
+    now = {"W": "fw0", "H": "fh0"}
+    limit = {side: "SELECT 0.001::double * norm FROM first" for side in "WH"}
+    for i in range(1, NMF_ITERATIONS + 1):
+        for side in "WH":
+            out = f"{tag}{side.lower()}{i}"
+            parts.append(_search_half(side, now[side], now["H" if side == "W" else "W"], out, limit[side]))
+            parts.append(
+                _cte(
+                    f"{out}_l",
+                    f"SELECT ({limit[side]}) / CASE WHEN turns = 0 THEN 10.0::double ELSE 1.0::double END"
+                    f" AS l FROM {out}_a{TURNS}",
+                )
+            )
+            limit[side] = f"SELECT l FROM {out}_l"
+            now[side] = out
+    return ",\n".join(parts)
+
+
 def _nmf(update: str, order: str, start: str | None = None, tag: str = "f") -> str:
     parts = [part for part in [_nmf_start() if start is None else start] if part]
     now = {"W": "fw0", "H": "fh0"}
@@ -609,11 +756,16 @@ def statements() -> dict[str, str]:
         ("nmf_kl_frobenius", "mu", "WH"),
         ("nmf_frobenius", "mu", "HW"),
         ("nmf_hals", "hals", "HW"),
-        ("nmf_pg", "pg", "WH"),
+        ("nmf_anls", "anls", "HW"),
+        ("nmf_anls_active", "anls", "HW"),
+        ("nmf_anls_grouped", "anls", "HW"),
     ]:
         sql[name] = _with(
             CELLS, _nmf(update, order), _to_plsa(f"fw{n}", f"fh{n}"), tail=_stacked("nw", "nd")
         )
+    sql["nmf_pg"] = _with(
+        CELLS, _nmf_searched(), _to_plsa(f"fw{n}", f"fh{n}"), tail=_stacked("nw", "nd")
+    )
     sql["nmf_custom_start"] = _with(
         CELLS,
         _nmf("kl", "WH", _nmf_start(scaled=False, prefixes=("W", "H"))),

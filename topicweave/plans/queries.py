@@ -497,6 +497,8 @@ def registry() -> dict[str, Query]:
         "nmf_hals": _factorised("HALS"),
         "nmf_pg": _factorised("Lin_PG"),
         "nmf_anls": _factorised("ANLS_BLOCKPIVOT"),
+        "nmf_anls_active": _factorised("ANLS_AS_NUMPY"),
+        "nmf_anls_grouped": _factorised("ANLS_AS_GROUP"),
         "nmf_custom_start": nmf_custom_start,
         "nmf_to_plsa": nmf_to_plsa_query,
         "nmf_compare": nmf_compare,
