@@ -11,7 +11,6 @@ from topicweave.operators.gram import active_set_step, nnls_step, warm_set_step
 from topicweave.operators.metrics import residuals
 from topicweave.operators.nmf import METHODS, Factors, fit_nmf, nmf_to_plsa, start_factors
 from topicweave.operators.plsa import fit_em, posterior, start_values
-from topicweave.operators.svd import truncated_svd
 from topicweave.session import Scratch
 
 K = 3
@@ -225,18 +224,6 @@ def test_nnls_ends_on_dependent_topics(solver):
         assert low == pytest.approx(value(want, base.T @ base * scale, x @ base), abs=1e-7 * np.abs(low).max())
 
 
-def test_svd_equals_dense(blocks, counts):
-    _, _, x = counts
-    want = np.linalg.svd(x / x.sum(), compute_uv=False)[:4]
-    got = truncated_svd(blocks, 4)
-    assert got.sigma == pytest.approx(want.tolist(), rel=1e-6)
-    assert sum(s * s for s in got.sigma) <= ((x / x.sum()) ** 2).sum() + 1e-12
-    v = np.array([r.f for r in got.words.collect()])
-    u = np.array([r.f for r in got.docs.collect()])
-    assert v.T @ v == pytest.approx(np.eye(4), abs=1e-6)
-    assert u.T @ u == pytest.approx(np.eye(4), abs=1e-6)
-
-
 def test_many_topics_equal_dense_computation(spark, corpus, blocks, counts):
     words, docs, x = counts
     k = 40  # beyond the unrolled size

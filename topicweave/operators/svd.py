@@ -1,14 +1,18 @@
-"""Truncated singular value decomposition by block subspace iteration.
+"""Truncated singular value decomposition by block Lanczos with a residual bound.
 
-Uses the same cell sums as the models: ``X V`` is a sum per document, ``X' U`` a
-sum per word. Only k x k matrices reach the driver.
+Uses the same cell sums as the models: ``X V`` is a sum per document, ``X' U`` a sum per word.
+The basis lives in the word rows, one array each; only matrices of the basis' width reach the
+driver. Every singular triple comes with a bound on its error, and the turns end when all wanted
+bounds are small enough.
 """
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +21,32 @@ from topicweave.operators.factors import seed_vector
 from topicweave.operators.gram import gram, map_rows
 from topicweave.session import Scratch
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+TOLERANCE = 1e-8
+MAX_TURNS = 60
+#: Widths the basis may grow to before it is pressed together.
+BASIS_WIDTHS = 6
+
 
 @dataclass(frozen=True)
 class Decomposition:
-    """``X ~ U diag(sigma) V'``: words ``(word, f)`` hold V, docs ``(doc_id, f)`` hold U."""
+    """``X ~ U diag(sigma) V'``: words ``(word, f)`` hold V, docs ``(doc_id, f)`` hold U.
+
+    ``bounds`` has, per value, the norm of ``X'X v - sigma^2 v`` relative to the largest
+    ``sigma^2``: some square of a true singular value lies at most so far away.
+    """
 
     words: DataFrame
     docs: DataFrame
     sigma: list[float]
+    bounds: list[float]
+    turns: int
+    tolerance: float
+
+    @property
+    def converged(self) -> bool:
+        return all(b <= self.tolerance for b in self.bounds)
 
     @property
     def spectrum(self) -> DataFrame:
@@ -33,43 +55,124 @@ class Decomposition:
         return one.select(F.posexplode(values).alias("i", "sigma"))
 
 
-def _whitening(g: np.ndarray) -> np.ndarray:
-    """``T`` with ``(F T)' (F T) = I`` for ``F'F = g``; dependent columns become 0."""
+def _whitening(g: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """``T, S`` with ``(F T)'(F T) = I`` and ``F = F T S`` for ``F'F = g``. Directions whose
+    square is below ``floor``, or lost to rounding, are left out."""
     values, vectors = np.linalg.eigh(g)
-    keep = values > max(values.max(), 0.0) * 1e-15
-    scale = np.where(keep, 1.0 / np.sqrt(np.where(keep, values, 1.0)), 0.0)
-    return vectors * scale
+    keep = values > max(floor, values.max(initial=0.0) * 1e-14)
+    root = np.sqrt(values[keep])
+    return vectors[:, keep] / root, root[:, None] * vectors[:, keep].T
+
+
+class _Basis:
+    """Orthonormal columns over the words, and ``T = V' X'X V`` in units of counts."""
+
+    def __init__(self, blocks: CellBlocks, width: int, scratch: Scratch) -> None:
+        self.blocks, self.scratch = blocks, scratch
+        self.turn = 0
+        centred = F.transform(seed_vector("v", F.col("word"), width), lambda u: u - 0.5)
+        words = blocks.cells.select("word").distinct().select("word", centred.alias("f"))
+        words = scratch.write(words, "v-start")
+        for _ in range(2):  # the second time against rounding
+            t, _ = _whitening(gram(words, "f", words.select(F.size("f")).first()[0]))
+            words = scratch.slot(map_rows(words, "word", ["f"], lambda f, t=t: f @ t, "f"), "v", self._next())
+        self.words = words
+        self.size = self.last = t.shape[1]
+        self.t = np.zeros((self.size, self.size))
+
+    def _next(self) -> int:
+        self.turn += 1
+        return self.turn
+
+    def product(self, columns: np.ndarray) -> DataFrame:
+        """``(doc_id, s)``: X times the combinations of basis vectors."""
+        v = map_rows(self.words, "word", ["f"], lambda f: f @ columns, "a")
+        return self.blocks.product_sums(v, columns.shape[1], "doc_id")
+
+    def grow(self) -> np.ndarray:
+        """Add the next block. Returns S with ``X'X V_last = V C + V_new S``."""
+        m, b = self.size, self.last
+        docs = self.product(np.eye(m)[:, m - b :]).withColumnRenamed("s", "b")
+        docs = self.scratch.slot(docs, "u", self._next())
+        images = self.blocks.product_sums(docs, b, "word")
+        both = self.scratch.slot(self.words.join(images, "word"), "both", self._next())
+
+        def crossed(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+            """Gram matrix of the basis and ``(W - V c) t``."""
+            x = map_rows(
+                both, "word", ["f", "s"], lambda f, s: np.hstack([f, (s - f @ c) @ t]), "x"
+            )
+            return gram(x, "x", m + t.shape[1])
+
+        t, s = np.eye(b), np.eye(b)
+        c = crossed(np.zeros((m, b)), t)[:m, m:]
+        scale = np.linalg.norm(c)
+        for _ in range(2):  # orthogonal to the basis, then among themselves, then both again
+            g = crossed(c, t)
+            more, inner = g[:m, m:], g[m:, m:]
+            c = c + more @ s
+            new, back = _whitening(inner - more.T @ more, (1e-15 * scale) ** 2 if t.shape[1] == b else 0.0)
+            t, s = t @ new, back @ s
+            if not t.shape[1]:
+                break
+        self.t[:, m - b :] = c
+        self.t[m - b :, :] = c.T
+        self.pending = both, c, t
+        return s
+
+    def ritz(self) -> tuple[np.ndarray, np.ndarray]:
+        values, vectors = np.linalg.eigh((self.t + self.t.T) / 2)
+        return values[::-1], vectors[:, ::-1]
+
+    def extend(self, s: np.ndarray, keep: np.ndarray | None) -> None:
+        """Take the new block in; with ``keep`` the old basis is replaced by these combinations."""
+        both, c, t = self.pending
+        m, b, new = self.size, self.last, t.shape[1]
+        old = np.eye(m) if keep is None else keep
+        rows = map_rows(
+            both, "word", ["f", "s"], lambda f, s: np.hstack([f @ old, (s - f @ c) @ t]), "f"
+        )
+        self.words = self.scratch.slot(rows, "v", self._next())
+        inner, link = old.T @ self.t @ old, s @ old[m - b :]
+        self.t = np.block([[inner, link.T], [link, np.zeros((new, new))]])
+        self.size, self.last = old.shape[1] + new, new
 
 
 def truncated_svd(
-    blocks: CellBlocks, k: int, n_iter: int = 6, extra: int = 5, scratch: Scratch | None = None
+    blocks: CellBlocks,
+    k: int,
+    max_turns: int = MAX_TURNS,
+    extra: int = 5,
+    scratch: Scratch | None = None,
+    tolerance: float = TOLERANCE,
 ) -> Decomposition:
-    """Largest k singular values and vectors of ``X = n / total``."""
+    """Largest k singular values and vectors of ``X = n / total``.
+
+    A turn reads the cells twice. The basis is orthogonalised against all of itself, so no
+    value appears twice; when it gets too wide it is replaced by its best combinations.
+    """
     scratch = scratch or Scratch(blocks.cells.sparkSession, "svd")
     width = min(k + extra, blocks.n_words, blocks.n_docs)
-    centred = F.transform(seed_vector("v", F.col("word"), width), lambda u: u - 0.5)
-    words = blocks.cells.select("word").distinct().select("word", centred.alias("f"))
-    words = scratch.write(words, "v-start")
-    docs = None
-    for turn in range(n_iter):
-        t = _whitening(gram(words, "f", width))
-        v = map_rows(words, "word", ["f"], lambda f, t=t: f @ t, "a")
-        docs = scratch.slot(
-            blocks.product_sums(v, width, "doc_id").withColumnRenamed("s", "f"), "u", turn
-        )
-        t = _whitening(gram(docs, "f", width))
-        u = map_rows(docs, "doc_id", ["f"], lambda f, t=t: f @ t, "b")
-        words = scratch.slot(
-            blocks.product_sums(u, width, "word").withColumnRenamed("s", "f"), "v", turn
-        )
-    # words now hold X' U (times total) for orthonormal U = docs t
-    values, vectors = np.linalg.eigh(gram(words, "f", width))
-    top = np.argsort(values)[::-1][: min(k, width)]
-    norm = np.sqrt(np.maximum(values[top], 0.0))
-    rotate = vectors[:, top]
-    safe = np.where(norm > 0, norm, 1.0)
+    basis = _Basis(blocks, width, scratch)
+    for turn in range(1, max_turns + 1):
+        s = basis.grow()
+        values, vectors = basis.ritz()
+        errors = np.linalg.norm(s @ vectors[basis.size - basis.last :], axis=0) if len(s) else np.zeros(basis.size)
+        bounds = errors / max(values[0], 1e-300)
+        wanted = min(k, basis.size)
+        if turn == max_turns or not len(s) or (bounds[:wanted] <= tolerance).all():
+            break
+        pressed = basis.size + len(s) > BASIS_WIDTHS * width
+        basis.extend(s, vectors[:, :width] if pressed else None)
+    top = vectors[:, :wanted]
+    norm = np.sqrt(np.maximum(values[:wanted], 0.0))
+    safe = np.where(norm > norm[0] * 1e-12, norm, 1.0)
+    docs = scratch.write(basis.product(top).withColumnRenamed("s", "f"), "u-last")
     return Decomposition(
-        words=map_rows(words, "word", ["f"], lambda f: (f @ rotate) / safe, "f"),
-        docs=map_rows(docs, "doc_id", ["f"], lambda f: f @ (t @ rotate), "f"),
-        sigma=[float(s) / blocks.total for s in norm],
+        words=map_rows(basis.words, "word", ["f"], lambda f: f @ top, "f"),
+        docs=map_rows(docs, "doc_id", ["f"], lambda f: f / safe, "f"),
+        sigma=[float(x) / blocks.total for x in norm],
+        bounds=[float(x) for x in bounds[:wanted]],
+        turns=turn,
+        tolerance=tolerance,
     )

@@ -33,6 +33,7 @@ Z = range(K)
 EPS = f"{EPSILON!r}::double"
 FLOOR = f"{TINY!r}::double"
 SEARCH_THRESHOLD = 1e-3
+LANCZOS_STEPS = 24
 
 
 def _quote(text: str) -> str:
@@ -545,6 +546,76 @@ def _em_residuals(iterations: list[int], tag: str = "e") -> tuple[list[str], lis
     return ctes, rows
 
 
+# --- singular values ------------------------------------------------------------
+
+
+def _lanczos(steps: int = LANCZOS_STEPS) -> str:
+    """l0..: orthonormal vectors over the documents, one at a time; tri: the tridiagonal matrix.
+
+    A vector's image is made orthogonal to all vectors before it, twice.
+    """
+    parts = [
+        _cte(
+            "x0",
+            "SELECT doc_id, (doc_id * 7919 % 1009)::double / 1009 - 0.5 AS x FROM (SELECT DISTINCT doc_id FROM cells)",
+        ),
+        _cte("l0", "SELECT doc_id, x / (SELECT sqrt(sum(x * x)) FROM x0) AS x FROM x0"),
+    ]
+    for j in range(steps):
+        known = " UNION ALL ".join(f"SELECT {i} AS i, doc_id, x FROM l{i}" for i in range(j + 1))
+        image = (
+            f"SELECT doc_id, sum(n / (SELECT total FROM size) * y) AS x FROM cells JOIN (SELECT word,"
+            f" sum(n / (SELECT total FROM size) * x) AS y FROM cells JOIN l{j} USING (doc_id) GROUP BY word)"
+            " USING (word) GROUP BY doc_id"
+        )
+        parts += [_cte(f"k{j}", known), _cte(f"i{j}_0", image)]
+        for turn in (1, 2):
+            before = f"i{j}_{turn - 1}"
+            share = f"SELECT i, sum(k.x * b.x) AS c FROM k{j} k JOIN {before} b USING (doc_id) GROUP BY i"
+            own = f"SELECT doc_id, sum(k.x * c) AS y FROM k{j} k JOIN ({share}) USING (i) GROUP BY doc_id"
+            parts.append(
+                _cte(f"i{j}_{turn}", f"SELECT b.doc_id, b.x - y AS x FROM {before} b JOIN ({own}) USING (doc_id)")
+            )
+        parts.append(
+            _cte(
+                f"t{j}",
+                f"SELECT (SELECT sum(b.x * l.x) FROM i{j}_0 b JOIN l{j} l USING (doc_id)) AS a,"
+                f" (SELECT sqrt(sum(x * x)) FROM i{j}_2) AS b",
+            )
+        )
+        parts.append(_cte(f"l{j + 1}", f"SELECT doc_id, x / (SELECT b FROM t{j}) AS x FROM i{j}_2"))
+    rows = " UNION ALL ".join(
+        f"SELECT {j} AS j, a, {f'(SELECT b * b FROM t{j - 1})' if j else '0.0::double'} AS b FROM t{j}"
+        for j in range(steps)
+    )
+    parts.append(_cte("tri", rows))
+    return ",\n".join(parts)
+
+
+def _spectrum(k: int) -> str:
+    """The k largest singular values by bisection: the signs of the pivots of the tridiagonal
+    matrix less x count the values below x."""
+    pivot = "(v.a - middle) - v.b / CASE WHEN acc.q = 0 THEN 1e-300 ELSE acc.q END"
+    below = (
+        "list_reduce(all_rows, lambda acc, v: {'a': v.a, 'b': v.b, "
+        f"'q': {pivot}, 'n': acc.n + CASE WHEN {pivot} < 0 THEN 1 ELSE 0 END}}).n"
+    )
+    rows = (
+        "SELECT list_prepend({'a': 0.0::double, 'b': 0.0::double, 'q': 1.0::double, 'n': 0},"
+        " list({'a': a, 'b': b, 'q': 0.0::double, 'n': 0} ORDER BY j)) AS all_rows FROM tri"
+    )
+    return (
+        "SELECT i, round(sqrt(low), 12) AS sigma FROM ("
+        "WITH RECURSIVE held AS MATERIALIZED (" + rows + "), halved AS ("
+        f" SELECT unnest(range(0, {k}))::int AS i, 0.0::double AS low,"
+        " (SELECT 2 * (max(a) + 2 * sqrt(max(b))) FROM tri) AS high, 0 AS turn"
+        " UNION ALL SELECT i, CASE WHEN keep THEN middle ELSE low END, CASE WHEN keep THEN high ELSE middle END,"
+        f" turn + 1 FROM (SELECT *, {below} <= {LANCZOS_STEPS} - 1 - i AS keep"
+        " FROM (SELECT *, (low + high) / 2 AS middle FROM halved, held WHERE turn < 80))"
+        ") SELECT i, low FROM halved WHERE turn = 80)"
+    )
+
+
 # --- statements -----------------------------------------------------------------
 
 
@@ -763,6 +834,7 @@ def statements() -> dict[str, str]:
         sql[name] = _with(
             CELLS, _nmf(update, order), _to_plsa(f"fw{n}", f"fh{n}"), tail=_stacked("nw", "nd")
         )
+    sql["svd_spectrum"] = _with(CELLS, _lanczos(), tail=_spectrum(K))
     sql["nmf_pg"] = _with(
         CELLS, _nmf_searched(), _to_plsa(f"fw{n}", f"fh{n}"), tail=_stacked("nw", "nd")
     )

@@ -415,7 +415,8 @@ def nmf_compare(spark, sf_dir):
 
 
 def svd_spectrum(spark, sf_dir):
-    return truncated_svd(blocks_of(spark, sf_dir), K).spectrum
+    spectrum = truncated_svd(blocks_of(spark, sf_dir), K).spectrum
+    return spectrum.select("i", F.round("sigma", 12).alias("sigma"))
 
 
 # --- search -------------------------------------------------------------------
