@@ -80,6 +80,33 @@ def test_smooth_fold_in_equals_dense(model):
     assert got == pytest.approx(fold_dense(weights, 4).tolist())
 
 
+ASKED = {1: ("apple", [1, 0, 0, 0]), 2: ("engine pear", [0, 0, 1, 1]), 3: ("zzz", [0, 0, 0, 0]), 4: ("apple zzz", [1, 0, 0, 0])}
+
+
+@pytest.mark.parametrize("values", [250_000, 4])
+def test_smooth_fold_in_of_a_table(spark, model, values):
+    """All queries at once, and in blocks of few queries."""
+    queries = spark.createDataFrame([(i, t) for i, (t, _) in ASKED.items()], "query_id int, query string")
+    folded = {r.query_id: r for r in srch.fold_in_smooth(model, queries, 6, values).collect()}
+    assert sorted(folded) == sorted(ASKED)
+    for i, (_, held) in ASKED.items():
+        weights = np.where(np.array(held) > 0, 1.0, 1e-12)
+        assert folded[i].q == pytest.approx(fold_dense(weights, 6).tolist())
+        assert folded[i].matched == sum(held)
+    assert srch.fold_in_smooth(model, queries.where("query_id > 9")).count() == 0
+
+
+def test_smooth_batch_equals_single_searches(spark, model, texts):
+    queries = spark.createDataFrame([(2, "engine pear"), (3, "zzz"), (5, "")], "query_id int, query string")
+    got = srch.search_batch(model, texts, queries, threshold=1e-3, n_iter=3, smooth=True)
+    rows = got.orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in rows} == {2, 3}
+    for i in (2, 3):
+        one = srch.search(model, texts, ASKED[i][0], threshold=1e-3, n_iter=3, smooth=True)
+        own = [(r.doc_id, r.score) for r in rows if r.query_id == i]
+        assert own == [(r.doc_id, pytest.approx(r.score, abs=2e-9)) for r in one.orderBy("rank").collect()]
+
+
 @pytest.mark.parametrize("threshold", [1e-2, 1e-3, 2e-2])
 @pytest.mark.parametrize("limit", [0, 1 << 30])
 def test_batch_search_equals_brute_force(spark, model, texts, threshold, limit, monkeypatch):

@@ -54,6 +54,52 @@ def test_write_then_read_corpus(spark, corpus, tmp_path):
     )
 
 
+def _file(folder, name, texts):
+    folder.mkdir(exist_ok=True)
+    lines = ["created_at\tfull_text\tscreen_name\tedited_text", *[f"d\t{t}\ta\t" for t in texts]]
+    (folder / name).write_text("\n".join(lines) + "\n")
+
+
+def _ids(corpus):
+    return {r.full_text: r.doc_id for r in corpus.collect()}
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_ids_follow_files_and_places(spark, tmp_path, multi_line, monkeypatch):
+    """Also where Spark packs small files into tasks by size, or cuts a large one."""
+    folder = tmp_path / "in"
+    sizes = {"c.csv": 3, "a.csv": 700, "b.csv": 40, "d.csv": 0, "e.csv": 1}
+    for name, n in sizes.items():
+        _file(folder, name, [f"{name} {i}" for i in range(n)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = _ids(src.read_corpus(spark, str(folder), multi_line=multi_line))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [f"{name} {i}" for name in sorted(sizes) for i in range(sizes[name])]
+    assert got == {t: i for i, t in enumerate(want)}
+    monkeypatch.setattr(src, "SENT_BLOCKS", 0)
+    assert _ids(src.read_corpus(spark, str(folder), multi_line=multi_line)) == got
+
+
+def test_added_files_keep_the_other_ids(spark, tmp_path):
+    folder, manifest = tmp_path / "in", str(tmp_path / "files")
+    read = lambda: _ids(src.read_corpus(spark, str(folder), manifest=manifest))
+    _file(folder, "m.csv", ["m0", "m1"])
+    _file(folder, "p.csv", ["p0"])
+    first = read()
+    assert first == {"m0": 0, "m1": 1, "p0": 2} and read() == first
+    _file(folder, "a.csv", ["a0", "a1"])
+    _file(folder, "z.csv", ["z0"])
+    assert read() == first | {"a0": 3, "a1": 4, "z0": 5}
+    (folder / "p.csv").unlink()
+    _file(folder, "b.csv", ["b0"])
+    assert read() == {"m0": 0, "m1": 1, "a0": 3, "a1": 4, "z0": 5, "b0": 6}
+    _file(folder, "m.csv", ["m0", "m1", "m2"])
+    with pytest.raises(ValueError):
+        read()
+
+
 def test_generate_corpus(spark, tmp_path):
     pages = [statuses(30)[:20], statuses(30)[19:]]
     for i, page in enumerate(pages):

@@ -7,7 +7,7 @@ from dense_counts import dense, matrix
 from topicweave.engine import TopicEngine
 from topicweave.functions.vectors import slabs
 from topicweave.operators.cells import place_cells
-from topicweave.operators.gram import descended, nnls_step
+from topicweave.operators.gram import active_set, nnls_step
 from topicweave.operators.metrics import residuals
 from topicweave.operators.plsa import fit_em
 from topicweave.operators.search import search_batch
@@ -49,7 +49,7 @@ def test_least_squares_leave_no_row_open(solve):
     for k in (2, 5, 12):
         base = rng.normal(size=(3 * k, k)) + 1.0
         g, target = base.T @ base, rng.normal(size=(200, k)) * 10
-        x = nnls_step(np.zeros_like(target), target, g) if solve == "pivots" else descended(np.zeros_like(target), target, g)
+        x = nnls_step(np.zeros_like(target), target, g) if solve == "pivots" else active_set(target, g)
         slope = x @ g - target
         assert (x >= 0).all() and slope.min() > -1e-6
         assert np.abs(np.where(x > 1e-9, slope, 0)).max() < 1e-5

@@ -29,8 +29,9 @@ class TopicEngine:
         self.release()
         self.corpus = corpus if "edited_text" in corpus.columns else with_edited_text(corpus)
 
-    def read_from_csv(self, path: str, sep: str = "\t") -> None:
-        self.set_corpus(read_corpus(self.spark, path, sep))
+    def read_from_csv(self, path: str, sep: str = "\t", manifest: str | None = None) -> None:
+        """Read a delimited corpus; ``manifest`` keeps ids stable while files are added."""
+        self.set_corpus(read_corpus(self.spark, path, sep, manifest=manifest))
 
     def generate_corpus(
         self,

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from topicweave.functions.vectors import dot, grouped_sums, literal
 from topicweave.model import TopicModel
 from topicweave.operators.cells import BROADCAST_BYTES
 from topicweave.operators.factors import TINY
+from topicweave.operators.gram import _arrays, _matrix
 from topicweave.operators.ranking import top_per_group
 from topicweave.operators.report import with_documents
+from topicweave.session import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -25,6 +28,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEARCH_ITERATIONS = 70
 TOP_HITS = 5
 THRESHOLD = 1e-2
+# Numbers of a block of queries that go to every word, and weights held at once there.
+STATE_VALUES = 250_000
+SMOOTH_VALUES = 4_000_000
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -33,14 +39,15 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words).alias("word"))
 
 
-def _fold(matrix: np.ndarray, n_iter: int) -> np.ndarray:
-    """P(z|q) of one query from rows ``P(z) P(w|z)`` of its words; uniform start."""
-    k = matrix.shape[1]
-    q = np.full(k, 1.0 / k)
+def _folded(rows: np.ndarray, sizes: np.ndarray, n_iter: int) -> np.ndarray:
+    """P(z|q) of many queries from the rows ``P(z) P(w|z)`` of their words, one query's rows
+    after the other's; uniform start."""
+    starts = np.cumsum(sizes) - sizes
+    q = np.full((len(sizes), rows.shape[1]), 1.0 / rows.shape[1])
     for _ in range(n_iter):
-        share = matrix * q
-        mass = (share / share.sum(axis=1, keepdims=True)).sum(axis=0)
-        q = np.maximum(mass / mass.sum(), TINY)
+        share = rows * np.repeat(q, sizes, axis=0)
+        mass = np.add.reduceat(share / share.sum(axis=1, keepdims=True), starts, axis=0)
+        q = np.maximum(mass / mass.sum(axis=1, keepdims=True), TINY)
     return q
 
 
@@ -59,36 +66,95 @@ def fold_in(model: TopicModel, queries: DataFrame, n_iter: int = SEARCH_ITERATIO
 
     def fold_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            folded = [_fold(np.asarray(a).reshape(-1, k), n_iter) for a in frame["a"]]
-            yield pd.DataFrame(
-                {"query_id": frame["query_id"], "matched": frame["matched"], "q": folded}
-            )
+            if len(frame):
+                rows = np.concatenate(list(frame["a"])).reshape(-1, k)
+                folded = list(_folded(rows, frame["matched"].to_numpy(), n_iter))
+                yield pd.DataFrame(
+                    {"query_id": frame["query_id"], "matched": frame["matched"], "q": folded}
+                )
 
     return grouped.mapInPandas(fold_all, f"query_id {key}, matched int, q array<double>")
 
 
+def _smooth_sums(asked: DataFrame, q: np.ndarray) -> DataFrame:
+    """``(place, s)``: for each query the sum over all words of ``n a[z] / (a . q)``, where n is
+    1 for each time the word is asked for, else 1e-12. Words come with the places of the
+    queries that ask for them."""
+    n_queries, k = q.shape
+    step = max(1, SMOOTH_VALUES // n_queries)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_queries, k))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                a = _matrix(part, "a")
+                who = part.column("who")
+                sizes = np.asarray(who.value_lengths().fill_null(0))
+                weights = np.full((len(a), n_queries), TINY)
+                row = np.repeat(np.arange(len(a)), sizes)
+                place = who.flatten().to_numpy(zero_copy_only=False)
+                weights[row, place] = 0.0
+                np.add.at(weights, (row, place), 1.0)
+                total += (weights / (a @ q.T)).T @ a
+        places = pa.array(np.arange(n_queries, dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([places, _arrays(total)], ["place", "s"])
+
+    rows = asked.select("a", "who").mapInArrow(partial, "place int, s array<double>")
+    return grouped_sums(rows, ["place"], k, lambda z: f"s[{z}]")
+
+
+def fold_in_smooth(
+    model: TopicModel,
+    queries: DataFrame,
+    n_iter: int = SEARCH_ITERATIONS,
+    state_values: int = STATE_VALUES,
+) -> DataFrame:
+    """``(query_id, matched, q)``: topic shares of every query over the whole vocabulary.
+
+    Words outside a query weigh 1e-12, so a query without a known word has an answer too. A
+    turn is one pass over the words for all queries of a block: the shares of a block's
+    queries (about ``state_values`` numbers) go to the words, and their sums come back.
+    """
+    spark, k = queries.sparkSession, model.k
+    scratch = Scratch(spark, "fold-in")
+    key = queries.schema["query_id"].dataType.simpleString()
+    ids = scratch.write(queries.select("query_id").distinct(), "ids")
+    blocks = max(1, -(-ids.count() * k // state_values))
+    words = scratch.write(model.floored_words(TINY), "words")
+    terms = scratch.write(terms_of(queries), "terms")
+    schema = f"query_id {key}, matched int, q array<double>"
+    for block in range(blocks):
+        own = ids.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        names = [r["query_id"] for r in own.collect()]  # state_values / k of them on average
+        if not names:
+            continue
+        places = spark.createDataFrame(list(enumerate(names)), f"place int, query_id {key}")
+        asking = terms.join(F.broadcast(places), "query_id").groupBy("word")
+        asking = asking.agg(F.collect_list("place").alias("who"))
+        asked = scratch.write(words.join(asking, "word", "left"), f"asked-{block}")
+        counts = asked.select(F.explode("who").alias("place")).groupBy("place").count()
+        matched = {r["place"]: r["count"] for r in counts.collect()}  # a row per query
+        q = np.full((len(names), k), 1.0 / k)
+        for _ in range(n_iter):
+            mass = np.zeros_like(q)
+            for row in _smooth_sums(asked, q).collect():  # a row per query
+                mass[row["place"]] = row["s"]
+            mass *= q
+            q = np.maximum(mass / mass.sum(axis=1, keepdims=True), TINY)
+        rows = [(n, matched.get(i, 0), q[i].tolist()) for i, n in enumerate(names)]
+        scratch.write(spark.createDataFrame(rows, schema), f"folded/block={block}")
+    if ids.isEmpty():
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{scratch.path}/folded").select("query_id", "matched", "q")
+
+
 def fold_in_all_words(
     model: TopicModel, query: str, n_iter: int = SEARCH_ITERATIONS
 ) -> list[float]:
-    """P(z|q) of one query over the whole vocabulary.
-
-    Words outside the query weigh 1e-12, so a query without a known word still has
-    an answer. Each iteration is one aggregate over the words.
-    """
-    k = model.k
-    spark = model.words.sparkSession
-    terms = terms_of(spark.createDataFrame([(0, query)], "query_id int, query string"))
-    wanted = terms.select("word", F.lit(1.0).alias("n"))
-    words = model.floored_words(TINY).join(wanted, "word", "left")
-    words = words.select("a", F.coalesce("n", F.lit(TINY)).alias("n")).persist()
-    q = [1.0 / k] * k
-    for _ in range(n_iter):
-        shared = words.withColumn("q", literal(q)).withColumn("d", F.expr(dot("a", "q", k)))
-        shared = shared.withColumn("one", F.lit(0))
-        mass = grouped_sums(shared, ["one"], k, lambda z: f"n * a[{z}] * q[{z}] / d").first()["s"]
-        q = [max(m / sum(mass), TINY) for m in mass]
-    words.unpersist()
-    return q
+    """P(z|q) of one query by :func:`fold_in_smooth`."""
+    one = model.words.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    return list(fold_in_smooth(model, one, n_iter).first()["q"])
 
 
 def _ranked(hits: DataFrame, corpus: DataFrame, at_most: int) -> DataFrame:
@@ -147,6 +213,7 @@ def search_batch(
     threshold: float = THRESHOLD,
     n_iter: int = SEARCH_ITERATIONS,
     allow_oov: bool = False,
+    smooth: bool = False,
 ) -> DataFrame:
     """:func:`search` for a table ``(query_id, query)``, without pairing all with all.
 
@@ -158,14 +225,18 @@ def search_batch(
     however large the corpus. A pair is scored where ``q[z] p[z]`` is largest.
 
     ``allow_oov`` also answers queries without a known word: all words then weigh the
-    same, so these queries share one answer, folded in once over the vocabulary.
+    same, so these queries share one answer, folded in once over the vocabulary. ``smooth``
+    folds every query that is not empty over the whole vocabulary.
     """
     if threshold <= 0:
         raise ValueError("A batch search needs a positive threshold.")
     k = model.k
     bound = threshold / k * (1 - 1e-9)
-    folded = fold_in(model, queries, n_iter)
-    if allow_oov:
+    if smooth:
+        folded = fold_in_smooth(model, queries.where("query <> ''"), n_iter)
+    else:
+        folded = fold_in(model, queries, n_iter)
+    if allow_oov and not smooth:
         strangers = queries.where("query <> ''").select("query_id").distinct()
         strangers = strangers.join(folded, "query_id", "left_anti")
         shares = literal(fold_in_all_words(model, "", n_iter)).alias("q")

@@ -631,33 +631,37 @@ def _long_docs() -> str:
     return _unpivot(LAST_D, "doc_id", 9)
 
 
-def _fold(queries: str, oov: bool = False) -> str:
-    """q0..qn: topic shares of the queries ``(query_id, query)``; qa: their words. With ``oov``
-    a query without a known word has all words alike."""
+def _fold(queries: str, oov: bool = False, smooth: bool = False) -> str:
+    """q0..qn: topic shares of the queries ``(query_id, query)``; qa: their words with weight n.
+    With ``oov`` a query without a known word has all words alike, with ``smooth`` every query
+    has all words, those it doesn't hold at 1e-12."""
     values = _cols(lambda z: f"greatest(w.p{z}, {FLOOR}) * z.p{z} AS a{z}")
+    words = f"SELECT query_id, 1.0::double AS n, {values} FROM terms JOIN {LAST_W} w USING (word), {LAST_Z} z"
+    if oov:
+        words += (
+            f" UNION ALL SELECT query_id, 1.0::double AS n, {values} FROM asked, {LAST_W} w, {LAST_Z} z"
+            f" WHERE query_id NOT IN (SELECT query_id FROM terms JOIN {LAST_W} USING (word))"
+        )
+    if smooth:
+        words = (
+            f"SELECT a.query_id, CASE WHEN t.word IS NULL THEN {FLOOR} ELSE 1.0::double END AS n, {values}"
+            f" FROM (SELECT DISTINCT query_id FROM asked) a CROSS JOIN {LAST_W} w CROSS JOIN {LAST_Z} z"
+            " LEFT JOIN terms t ON t.word = w.word AND t.query_id = a.query_id"
+        )
     parts = [
         _cte("asked", queries),
         _cte("terms", f"SELECT query_id, unnest({_query_words('query')}) AS word FROM asked"),
-        _cte(
-            "qa",
-            f"SELECT query_id, {values} FROM terms JOIN {LAST_W} w USING (word), {LAST_Z} z"
-            + (
-                f" UNION ALL SELECT query_id, {values} FROM asked, {LAST_W} w, {LAST_Z} z WHERE query_id"
-                f" NOT IN (SELECT query_id FROM terms JOIN {LAST_W} USING (word))"
-                if oov
-                else ""
-            ),
-        ),
+        _cte("qa", words),
         _cte(
             "q0",
-            "SELECT query_id, count(*)::int AS matched, "
+            "SELECT query_id, (count(*) FILTER (n = 1))::int AS matched, "
             + _cols(lambda z: f"{1.0 / K!r}::double AS q{z}")
             + " FROM qa GROUP BY query_id",
         ),
     ]
     for i in range(SEARCH_ITERATIONS):
         den = _sum(lambda z: f"a{z} * q{z}")
-        sums = _cols(lambda z: f"sum(a{z} * q{z} / {den}) AS s{z}")
+        sums = _cols(lambda z: f"sum(n * a{z} * q{z} / {den}) AS s{z}")
         new = _cols(lambda z: f"greatest(s{z} / {_sum(lambda y: f's{y}')}, {FLOOR}) AS q{z}")
         parts.append(
             _cte(
@@ -669,11 +673,18 @@ def _fold(queries: str, oov: bool = False) -> str:
     return ",\n".join(parts)
 
 
-def _hits(queries: str, oov: bool = False) -> str:
+def _long_shares(queries: str, smooth: bool = False) -> str:
+    tail = " UNION ALL ".join(
+        f"SELECT query_id, matched, {z}::int AS z, round(q{z}, 8) AS q FROM q{SEARCH_ITERATIONS}" for z in Z
+    )
+    return _with(MODEL, _fold(queries, smooth=smooth), tail=tail)
+
+
+def _hits(queries: str, oov: bool = False, smooth: bool = False) -> str:
     score = _sum(lambda z: f"q{z} * p{z}")
     return _with(
         MODEL,
-        _fold(queries, oov),
+        _fold(queries, oov, smooth),
         tail="SELECT query_id, rank, doc_id, score, screen_name, full_text FROM (SELECT *,"
         " (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank"
         f" FROM (SELECT query_id, doc_id, round({score}, 9) AS score FROM q{SEARCH_ITERATIONS},"
@@ -717,6 +728,8 @@ def statements() -> dict[str, str]:
             CORPUS,
             tail=f"SELECT *, {_clean('full_text')} AS edited_text FROM ({_newest(ACCOUNTS)})",
         ),
+        "corpus_files": "SELECT row_number() OVER (ORDER BY lang IS DISTINCT FROM 'en', doc_id) - 1 AS doc_id,"
+        " doc_id AS source_id, coalesce(text, '') AS full_text, source AS screen_name FROM documents",
         "stream_ingest": f"SELECT *, {_clean('full_text')} AS edited_text FROM ({docs})",
         "clean_text": f"SELECT doc_id, {_clean('full_text')} AS edited_text FROM ({docs})",
         "clean_conversations": f"SELECT doc_id, {_clean('full_text')} AS edited_text FROM ({talks})",
@@ -808,14 +821,9 @@ def statements() -> dict[str, str]:
             CELLS, _nmf_start(), _to_plsa("fw0", "fh0"), tail=_stacked("nw", "nd")
         ),
         "query_terms": f"SELECT query_id, unnest({_query_words('query')}) AS word FROM ({asked})",
-        "fold_in": _with(
-            MODEL,
-            _fold(asked),
-            tail=" UNION ALL ".join(
-                f"SELECT query_id, matched, {z}::int AS z, round(q{z}, 8) AS q FROM q{SEARCH_ITERATIONS}"
-                for z in Z
-            ),
-        ),
+        "fold_in": _long_shares(asked),
+        "fold_in_smooth": _long_shares(asked, smooth=True),
+        "search_smooth": _hits(asked, smooth=True),
         "search": _hits(f"SELECT 0::int AS query_id, {_quote(SEARCH_TEXT)} AS query"),
         "search_batch": _hits(asked),
         "search_oov": _hits(f"{asked} UNION ALL SELECT -1, {_quote(STRANGER)}", oov=True),

@@ -26,7 +26,7 @@ from topicweave.operators.nmf import (
     start_factors,
 )
 from topicweave.operators.plsa import fit_em, posterior, start_values
-from topicweave.operators.search import fold_in, search, search_batch, terms_of
+from topicweave.operators.search import fold_in, fold_in_smooth, search, search_batch, terms_of
 from topicweave.operators.svd import truncated_svd
 from topicweave.session import Scratch
 from topicweave.sources import corpus as src
@@ -168,6 +168,37 @@ def generated_corpus(spark, sf_dir):
     return made.select("doc_id", "full_text", "screen_name", "edited_text")
 
 
+def _written(docs: DataFrame, path: str) -> None:
+    """A corpus folder whose files are in the order of the ids; the id stands in created_at."""
+    rows = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(
+        F.col("doc_id").cast("string").alias("created_at"),
+        "full_text",
+        "screen_name",
+        F.lit("").alias("edited_text"),
+    )
+    src.write_corpus(rows, path)
+
+
+def corpus_files(spark, sf_dir):
+    """A corpus read from delimited files, then again with more files: the first keep their ids."""
+    scratch = Scratch(spark, "files")
+    docs = documents(spark, sf_dir)
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    docs = docs.join(table, "doc_id")
+    later = F.coalesce(F.col("lang") != "en", F.lit(True))
+    files, manifest = f"{scratch.path}/corpus", f"{scratch.path}/manifest"
+    _written(docs.where(~later), f"{files}/z-first")
+    src.read_corpus(spark, f"{files}/*", scratch=scratch, manifest=manifest)
+    _written(docs.where(later), f"{files}/a-later")
+    read = src.read_corpus(spark, f"{files}/*", scratch=Scratch(spark, "again"), manifest=manifest)
+    return read.select(
+        "doc_id",
+        F.col("created_at").cast("long").alias("source_id"),
+        F.coalesce("full_text", F.lit("")).alias("full_text"),
+        "screen_name",
+    )
+
+
 def stream_ingest(spark, sf_dir):
     """Documents land twice as JSON dumps; the stream stores each id once, cleaned."""
     scratch = Scratch(spark, "ingest")
@@ -426,13 +457,26 @@ def query_terms(spark, sf_dir):
     return terms_of(benchmark(spark, sf_dir))
 
 
-def fold_in_query(spark, sf_dir):
-    folded = fold_in(model_of(spark, sf_dir), benchmark(spark, sf_dir))
+def _long_shares(folded: DataFrame) -> DataFrame:
     return folded.select("query_id", "matched", F.posexplode("q").alias("z", "q")).select(
         "query_id", "matched", "z", F.round("q", 8).alias("q")
     )
 
 
+def fold_in_query(spark, sf_dir):
+    return _long_shares(fold_in(model_of(spark, sf_dir), benchmark(spark, sf_dir)))
+
+
+def fold_in_smooth_query(spark, sf_dir):
+    """Every query over the whole vocabulary."""
+    return _long_shares(fold_in_smooth(model_of(spark, sf_dir), benchmark(spark, sf_dir)))
+
+
+def search_smooth(spark, sf_dir):
+    model, corpus = model_of(spark, sf_dir), documents(spark, sf_dir)
+    return search_batch(model, corpus, benchmark(spark, sf_dir), threshold=1e-3, smooth=True)
+
+
 def search_query(spark, sf_dir):
     return search(model_of(spark, sf_dir), documents(spark, sf_dir), SEARCH_TEXT, threshold=1e-3)
 
@@ -459,6 +503,7 @@ def registry() -> dict[str, Query]:
         "corpus_union": corpus_union,
         "status_dedup": status_dedup,
         "generated_corpus": generated_corpus,
+        "corpus_files": corpus_files,
         "stream_ingest": stream_ingest,
         "clean_text": clean_text,
         "clean_conversations": clean_conversations,
@@ -506,7 +551,9 @@ def registry() -> dict[str, Query]:
         "svd_spectrum": svd_spectrum,
         "query_terms": query_terms,
         "fold_in": fold_in_query,
+        "fold_in_smooth": fold_in_smooth_query,
         "search": search_query,
         "search_batch": search_batch_query,
         "search_oov": search_oov,
+        "search_smooth": search_smooth,
     }

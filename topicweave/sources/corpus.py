@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicweave.functions.text import as_text, clean_text
@@ -13,19 +14,94 @@ from topicweave.schemas import CORPUS_COLUMNS, CORPUS_FILE, CREATED_AT_FORMAT, S
 from topicweave.session import Scratch
 
 
+#: Up to so many file blocks their first numbers are sent to the rows.
+SENT_BLOCKS = 100_000
+
+
+def _numbered_blocks(blocks: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``file, block, first``: where the ids of each block of a file begin.
+
+    Files of ``known`` (``file, first, rows``) keep their place; others follow by path. A known
+    file whose rows have changed can't keep it.
+    """
+    files = blocks.groupBy("file").agg(F.sum("rows").alias("rows"))
+    if known is None:
+        placed, end = None, F.lit(0)
+    else:
+        old = known.select("file", F.col("first").alias("at"), F.col("rows").alias("were"))
+        both = files.join(old, "file").persist()
+        changed = both.where("rows <> were").select("file").first()
+        if changed:
+            raise ValueError(f"{changed['file']} has other rows than when it was numbered.")
+        placed = both.select("file", "at")
+        files = files.join(old, "file", "left_anti")
+        end = F.lit(known.agg(F.max(F.col("first") + F.col("rows"))).first()[0] or 0)
+    # one row per file or block, not per line
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = files.select("file", (end + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("at"))
+    starts = fresh if placed is None else placed.unionByName(fresh)
+    inside = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        blocks.withColumn("before", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+        .join(starts, "file")
+        .select("file", "block", "least", "rows", "at", (F.col("at") + F.col("before")).alias("first"))
+    )
+
+
 def read_corpus(
-    spark: SparkSession, path: str, sep: str = "\t", scratch: Scratch | None = None
+    spark: SparkSession,
+    path: str,
+    sep: str = "\t",
+    scratch: Scratch | None = None,
+    manifest: str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a delimited corpus with header; texts may be quoted and span lines.
 
-    Rows of a file have no key, so each gets a ``doc_id`` in file order. The rows
-    are written once with it, which fixes the ids and spares reparsing.
+    Rows of a file have no key, so each gets a ``doc_id``: gapless from 0, by file path and
+    place inside the file, however Spark packs files into tasks. ``manifest`` names a folder
+    that keeps the files' numbers: files read before keep their ids when others are added, and
+    new files follow. Without ``multi_line`` large files are read in pieces by several tasks
+    (texts then hold no line breaks). The rows are written once with their ids.
     """
+    scratch = scratch or Scratch(spark, "corpus")
     rows = spark.read.schema(CORPUS_FILE).csv(
-        path, sep=sep, header=True, multiLine=True, quote='"', escape='"'
+        path, sep=sep, header=True, multiLine=multi_line, quote='"', escape='"'
+    )
+    # a block of a file is read by one task in order, so its rows are consecutive there
+    rows = rows.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    rows = scratch.write(rows, "rows")
+    blocks = rows.groupBy(F.col("_file").alias("file"), F.col("_block").alias("block")).agg(
+        F.count("*").alias("rows"), F.min("_at").alias("least")
     )
-    numbered = rows.select(F.monotonically_increasing_id().alias("doc_id"), "*")
-    return (scratch or Scratch(spark, "corpus")).write(numbered, "rows")
+    kept = _kept_files(spark, manifest) if manifest else None
+    places = scratch.write(_numbered_blocks(blocks, kept), "places")
+    if manifest:
+        files = places.groupBy("file").agg(F.min("at").alias("first"), F.sum("rows").alias("rows"))
+        if kept is not None:
+            files = files.join(kept.select("file"), "file", "left_anti")
+        files.write.mode("append").parquet(manifest)
+    places = places.select("file", "block", "least", "first")
+    if places.count() <= SENT_BLOCKS:
+        places = F.broadcast(places)
+    on = (F.col("_file") == F.col("file")) & (F.col("_block") == F.col("block"))
+    doc_id = F.col("first") + F.col("_at") - F.col("least")
+    return rows.join(places, on).select(doc_id.alias("doc_id"), *CORPUS_FILE.fieldNames())
+
+
+def _kept_files(spark: SparkSession, manifest: str) -> DataFrame | None:
+    """The files numbered so far, if any."""
+    try:
+        return spark.read.schema("file string, first long, rows long").parquet(manifest)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def read_statuses(spark: SparkSession, path: str) -> DataFrame:
