@@ -108,14 +108,16 @@ def test_units_and_stretches(both, monkeypatch):
     """Ids by units and by stretches are those of the whole text."""
     monkeypatch.setattr(alignment, "STRETCH", 40)
     monkeypatch.setattr(alignment, "KEPT_UNITS", 30)
-    a, b = alignment.byte_level(alignment.path_of(alignment.A_FILE)), alignment.pieces(alignment.path_of(alignment.B_FILE))
+    a, b = alignment.ByteLevel(alignment.path_of(alignment.A_FILE)), alignment.Pieces(alignment.path_of(alignment.B_FILE))
+    assert a.fast is not None and b.by_units
     rng = random.Random(6)
-    for _ in range(300):
-        text = "".join(rng.choice(["a", "The", "of", " ", " ", "  ", "\n", "\t", "é", "'s", ".", "12", "漢", "straße", "\r\n"]) for _ in range(rng.randrange(1, 90)))
+    own = ["a", "The", "of", " ", " ", "  ", "\n", "\t", "é", "'s", ".", "12", "漢", "straße", "\r\n", "\xa0", "\x1c", "ԱՅ", "😀", "a" * 600]
+    for _ in range(400):
+        text = "".join(rng.choice(own) for _ in range(rng.randrange(1, 90)))
         x, y = token_bytes(both, text)
         parts = list(alignment.stretches(" " + text))
         assert "".join(parts) == " " + text
-        got = [[i for p in parts for i in side.ids(p, False).tolist()] for side in (a, b)]
+        got = [[i for p in parts for i in a.ids(p).tolist()], [i for p in parts for i in b.ids(p, p.encode()).tolist()]]
         assert got == [[i for i, _ in x], [i for i, _ in y]]
 
 
@@ -129,7 +131,7 @@ def test_long_documents_merge(both, monkeypatch):
         monkeypatch.setattr(alignment, "STRETCH", stretch)
         monkeypatch.setattr(alignment, "LARGE_GROUP", large)
         doc = alignment.Document(1)
-        texts = [(a.ids(p, False), b.ids(p, False)) for p in alignment.stretches(text)]
+        texts = [(a.ids(p), b.ids(p, p.encode())) for p in alignment.stretches(text)]
         for part in alignment.Aligned(a, b, texts).parts():
             doc.add(*part)
         keys, times = doc.links()

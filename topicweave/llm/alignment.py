@@ -24,9 +24,11 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +42,11 @@ from topicweave.session import Scratch
 
 A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
-#: Distinct units kept per tokenizer in a worker, none longer than so many characters.
-KEPT_UNITS = 250_000
+#: Distinct units of B kept in a worker, none longer than so many characters.
+KEPT_UNITS = 400_000
 KEPT_LENGTH = 64
+#: A run of so many characters without a border goes to the library that A's file is made for.
+LONG_RUN = 512
 #: Characters aligned at once; longer texts are cut into stretches of about so many.
 STRETCH = 1 << 19
 #: Pairs and documents of a block.
@@ -51,14 +55,18 @@ BLOCK_DOCS = 50_000
 #: A group with more links is counted by its distinct ids.
 LARGE_GROUP = 4096
 
-_WHITE = r" \t\n\r\x0b\x0c"
-#: Units of A: its own splitting never crosses their borders.
-_A_UNITS = re.compile(rf" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Units of B: no piece holds a space after another character.
-_B_UNITS = re.compile(r" +[^ ]*")
-#: White space of other kinds, by code point: A then takes the text whole.
-_OTHERS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_ODD = re.compile(f"[{''.join(map(chr, _OTHERS))}]")
+_UNITS = re.compile(r" +[^ ]*")
+_LONG_GAP = re.compile(rf"\s{{{LONG_RUN}}}")
+# A's splitting pattern, and ranges of code points whose class no version of
+# Unicode has changed, so that both libraries split them alike.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_STABLE = [
+    (0x00, 0x24F), (0x391, 0x3A1), (0x3A3, 0x3CE), (0x400, 0x45F), (0x2000, 0x2063),
+    (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x1F300, 0x1F320),
+    (0x1F600, 0x1F640),
+]
+_PLAIN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _STABLE) + "]*")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -68,51 +76,6 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Side:
-    """One tokenizer: the ids of a text, unit by unit, and the bytes of each id."""
-
-    def __init__(
-        self, units: re.Pattern, encode: Callable[[list[str]], list[list[int]]], id_bytes: list[bytes]
-    ) -> None:
-        if len(id_bytes) > 1 << 16:
-            raise ValueError("Token ids must fit 16 bits.")
-        self.units, self.encode, self.id_bytes = units, encode, id_bytes
-        self.lengths = np.array([len(b) for b in id_bytes], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
-        self.unfit: set[str] = set()  # known units whose joined bytes differ
-
-    def _ids(self, units: list[str]) -> Iterator[tuple[str, bytes, bool]]:
-        for unit, ids in zip(units, self.encode(units), strict=True):
-            fit = b"".join([self.id_bytes[i] for i in ids]) == unit.encode()
-            yield unit, np.array(ids, dtype=np.uint16).tobytes(), fit
-
-    def ids(self, text: str, whole: bool) -> np.ndarray | None:
-        """Ids of a text that starts with a space; None if its bytes differ from theirs."""
-        if whole:
-            _, ids, fit = next(self._ids([text]))
-            return np.frombuffer(ids, dtype=np.uint16) if fit else None
-        units, known = self.units.findall(text), self.known
-        new: set[str] = set()
-        try:
-            joined = b"".join([known[u] for u in units])
-        except KeyError:
-            new = set(units).difference(known)
-            for unit, ids, fit in self._ids(list(new)):
-                known[unit] = ids
-                if not fit:
-                    self.unfit.add(unit)
-            joined = b"".join([known[u] for u in units])
-        fits = not self.unfit or self.unfit.isdisjoint(units)
-        for unit in new:
-            if len(unit) > KEPT_LENGTH:
-                del known[unit]
-                self.unfit.discard(unit)
-        if len(known) > KEPT_UNITS:
-            known.clear()
-            self.unfit.clear()
-        return np.frombuffer(joined, dtype=np.uint16) if fits else None
-
-
 def _letter_bytes() -> dict[str, int]:
     """The byte-level alphabet: bytes that print stand for themselves, the others for code
     points from 256 on."""
@@ -121,54 +84,109 @@ def _letter_bytes() -> dict[str, int]:
     return {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def byte_level(path: str) -> Side:
-    """A: a byte-level BPE file; special tokens' strings are plain text."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
+class ByteLevel:
+    """A: a byte-level BPE file; special tokens' strings are plain text.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    letters = _letter_bytes()
-    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-    id_bytes = [b""] * (max(vocabulary.values()) + 1)
-    for token, i in vocabulary.items():
-        id_bytes[i] = bytes(letters[c] for c in token)
+    Its merges are in the order of the ids, so that a faster library finds the same tokens from
+    the ids alone; texts the two might split differently go to the file's own library.
+    """
 
-    def encode(units: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        letters = _letter_bytes()
+        special = {t["content"] for t in held["added_tokens"]}
+        model = {t: i for t, i in held["model"]["vocab"].items() if t not in special}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model.items()}
+        _checked_size(len(held["model"]["vocab"]) + len(special))
+        self.lengths = np.zeros(1 << 16, dtype=np.int64)
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in held["model"]["merges"]]
+        plain = held["normalizer"] is None and held["pre_tokenizer"] == {
+            "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True
+        }
+        self.fast = None
+        if plain and [model.get(a + b) for a, b in merges] == list(range(256, 256 + len(merges))):
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("a", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text that starts with a space."""
+        long_word = max(map(len, text.split()), default=0) > LONG_RUN
+        if self.fast is not None and not long_word and _PLAIN.fullmatch(text) and not _LONG_GAP.search(text):
+            return np.array(self.fast.encode_ordinary(text), dtype=np.uint16)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
+
+
+class Pieces:
+    """B: a sentencepiece model that adds a space in front and falls back to bytes.
+
+    Texts are taken by units (spaces and what follows up to the next space); each distinct
+    unit is encoded once.
+    """
 
-    return Side(_A_UNITS, encode, id_bytes)
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model, space = self.model, "\u2581"
+        names = [model.id_to_piece(i) for i in range(_checked_size(model.get_piece_size()))]
+        id_bytes = [
+            b"" if model.is_control(i) or model.is_unknown(i)
+            else bytes([int(name[3:5], 16)]) if model.is_byte(i)
+            else name.replace(space, " ").encode()
+            for i, name in enumerate(names)
+        ]
+        self.id_bytes = np.array(id_bytes, dtype=object)
+        self.lengths = np.array([len(b) for b in id_bytes], dtype=np.int64)
+        self.alone = [model.piece_to_id(space)]
+        # a piece with a space after another character would cross the borders of units
+        self.by_units = not any(space in n.lstrip(space) for n in names)
+        self.known: dict[str, bytes] = {}
 
+    def _encoded(self, units: list[str]) -> Iterator[tuple[str, bytes]]:
+        # the model puts the first space itself, but none before nothing
+        for unit, ids in zip(units, self.model.encode([u[1:] for u in units], num_threads=1), strict=True):
+            yield unit, array("H", ids if len(unit) > 1 else self.alone).tobytes()
 
-def pieces(path: str) -> Side:
-    """B: a sentencepiece model that adds a space in front and falls back to bytes."""
-    import sentencepiece
+    def _joined(self, text: str) -> bytes:
+        units, known = _UNITS.findall(text) if self.by_units else [text], self.known
+        try:
+            return b"".join([known[u] for u in units])
+        except KeyError:
+            new = list(set(units).difference(known))
+        known.update(self._encoded(new))
+        found = b"".join([known[u] for u in units])
+        for unit in new:
+            if len(unit) > KEPT_LENGTH:
+                del known[unit]
+        if len(known) > KEPT_UNITS:
+            known.clear()
+        return found
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    space = "▁"
-    names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    id_bytes = [
-        b"" if model.is_control(i) or model.is_unknown(i)
-        else bytes([int(name[3:5], 16)]) if model.is_byte(i)
-        else name.replace(space, " ").encode()
-        for i, name in enumerate(names)
-    ]
-    # a piece with a space after another character would cross the borders of units
-    split = _B_UNITS if not any(space in n.lstrip(space) for n in names) else re.compile(r"(?s).+")
-    alone = [model.piece_to_id(space)]
+    def ids(self, text: str, raw: bytes) -> np.ndarray | None:
+        """Ids of a text that starts with a space; None if their bytes aren't the text's."""
+        ids = np.frombuffer(self._joined(text), dtype=np.uint16)
+        return ids if b"".join(self.id_bytes[ids].tolist()) == raw else None
 
-    def encode(units: list[str]) -> list[list[int]]:
-        # the model puts the first space itself, but none before nothing
-        found = model.encode([u[1:] for u in units], num_threads=1)
-        return [ids if len(u) > 1 else alone for u, ids in zip(units, found, strict=True)]
 
-    return Side(split, encode, id_bytes)
+def _checked_size(size: int) -> int:
+    if size > 1 << 16:
+        raise ValueError("Token ids must fit 16 bits.")
+    return size
 
 
 @lru_cache(maxsize=2)
-def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
+def sides(a_path: str, b_path: str) -> tuple[ByteLevel, Pieces]:
     """Both tokenizers, once per worker process."""
-    return byte_level(a_path), pieces(b_path)
+    return ByteLevel(a_path), Pieces(b_path)
 
 
 def gallop(driver: np.ndarray, target: np.ndarray, finger: np.ndarray) -> np.ndarray:
@@ -281,7 +299,7 @@ def _decimals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Aligned:
     """Stretches of texts, aligned together."""
 
-    def __init__(self, a: Side, b: Side, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, a: ByteLevel, b: Pieces, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.n_a = np.array([len(x) for x, _ in texts])
         self.n_b = np.array([len(y) for _, y in texts])
         ids_a = np.concatenate([x for x, _ in texts])
@@ -437,11 +455,10 @@ def _aligned(a_path: str, b_path: str):
                 text = value.as_py()
                 if not text:
                     continue
-                whole = _ODD.search(text) is not None
-                text = " " + text
-                for part in (text,) if whole else stretches(text):
-                    own = a.ids(part, whole), b.ids(part, whole)
-                    if own[0] is None or own[1] is None:
+                for part in stretches(" " + text):
+                    raw = part.encode()
+                    own = a.ids(part), b.ids(part, raw)
+                    if own[1] is None or a.lengths[own[0]].sum() != len(raw):
                         doc.fits = False
                         break
                     texts.append(own)
