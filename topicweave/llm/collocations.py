@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ class Limits:
     #: Entries at which a hash container bursts.
     burst: int = 4096
     #: Bytes of text turned into word numbers at once.
-    stretch: int = 1 << 20
+    stretch: int = 1 << 22
     #: Bits of the table of frequent words or phrases (8 MB), a power of two.
     filter_bits: int = 1 << 26
     #: Prefix partitions a first word's phrases may be spread over.
@@ -173,16 +174,18 @@ class HatTrie:
         number = counts.tolist()
         for head, a, b in zip(heads[starts].tolist(), starts.tolist(), ends, strict=True):
             child = node.get(head)
-            if child is None:
-                child = node[head] = Leaf()
             if isinstance(child, Inner):
                 self._into(child, keys[a:b] & ((1 << shift) - 1), counts[a:b], rest - 1)
                 continue
-            before, get = len(child), child.get
-            for i in range(a, b):
-                child[tails[i]] = get(tails[i], 0) + number[i]
-            self.entries += len(child) - before
-            if len(child) > self.burst and rest > 2:
+            if child is None:
+                child = node[head] = Leaf(zip(tails[a:b], number[a:b], strict=True))
+                self.entries += b - a
+            else:
+                before, get = len(child), child.get
+                for key, n in zip(tails[a:b], number[a:b], strict=True):
+                    child[key] = get(key, 0) + n
+                self.entries += len(child) - before
+            if rest > 2 and len(child) > self.burst:
                 node[head] = self._opened(child, shift - _BITS)
 
     @staticmethod
@@ -195,26 +198,32 @@ class HatTrie:
             inner[head][key & ((1 << shift) - 1)] = n
         return inner
 
-    def _below(self, node: Inner | Leaf, prefix: int, rest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _leaves(self, node: Inner | Leaf, prefix: int, rest: int) -> Iterator[tuple[Leaf, int, int]]:
+        """Containers below a node, with the words above them and the number of those below."""
         if isinstance(node, Leaf):
-            keys = np.fromiter(node.keys(), np.int64, len(node))
-            counts = np.fromiter(node.values(), np.int64, len(node))
-            yield keys + (prefix << (_BITS * rest)), counts
+            yield node, prefix, rest
         else:
             for head, child in node.items():
-                yield from self._below(child, (prefix << _BITS) + head, rest - 1)
+                yield from self._leaves(child, (prefix << _BITS) + head, rest - 1)
 
     def _entries_of(self, node: Inner | Leaf) -> int:
         return len(node) if isinstance(node, Leaf) else sum(map(self._entries_of, node.values()))
 
-    def spill(self, left: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Take out whole subtrees, the largest first, until ``left`` entries stay."""
-        sizes = sorted(((self._entries_of(c), h) for h, c in self.root.items()), reverse=True)
-        for entries, head in sizes:
+    def spill(self, left: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases and counts of whole subtrees, the largest first, until ``left`` entries stay."""
+        sizes = {head: self._entries_of(child) for head, child in self.root.items()}
+        leaves: list[tuple[Leaf, int, int]] = []
+        for head in sorted(sizes, key=sizes.__getitem__, reverse=True) if left else list(sizes):
             if self.entries <= left:
                 break
-            yield from self._below(self.root.pop(head), head, self.size - 1)
-            self.entries -= entries
+            leaves += self._leaves(self.root.pop(head), head, self.size - 1)
+            self.entries -= sizes[head]
+        lengths = np.array([len(leaf) for leaf, _, _ in leaves], dtype=np.int64)
+        n = int(lengths.sum())
+        above = np.array([prefix << (_BITS * rest) for _, prefix, rest in leaves], dtype=np.int64)
+        tails = np.fromiter(chain.from_iterable(leaf for leaf, _, _ in leaves), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(leaf.values() for leaf, _, _ in leaves), np.int64, n)
+        return np.repeat(above, lengths) + tails, counts
 
 
 class Filter:
@@ -285,10 +294,9 @@ class Counted:
 
     def spill(self, left: int) -> Iterator[pa.RecordBatch]:
         """Sorted runs ``lang, prefix, phrase, n`` of the subtrees that go."""
-        found = list(self.trie.spill(left))
-        if not found:
+        keys, counts = self.trie.spill(left)
+        if not len(keys):
             return
-        keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
         columns = [(keys >> (_BITS * k)) & _MASK for k in reversed(range(self.size))]
         words = pa.array(self.numbers.words, pa.binary())
         rank = np.empty(len(words), dtype=np.int64)
