@@ -36,15 +36,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicweave.llm.common import partitions_for
 from topicweave.llm.hashing import mixed
+from topicweave.operators.ranking import top_per_group
 from topicweave.session import Scratch
 
 LEAST = 10
 LONGEST = 3
+#: Up to so many languages their totals are sent to the results.
+SENT_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -429,9 +432,13 @@ def collocations(
     kept = scored.join(inside, on, "left").where(
         F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * 50)
     )
-    best = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # a language may hold most candidates: a salted round leaves few of them for the last ranking
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    kept = kept.select("lang", "phrase", "a", "cut.score", "cut.l", "cut.r")
+    ranked = top_per_group(kept, ["lang"], order, top)
     totals = totals.select(F.col("lang").alias("_of"), "n")
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut").join(
-        totals, F.col("lang") == F.col("_of")
-    ).select("lang", "rank", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
+    if totals.count() <= SENT_LANGUAGES:
+        totals = F.broadcast(totals)
+    return ranked.join(totals, F.col("lang") == F.col("_of")).select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
+    )
