@@ -730,6 +730,14 @@ def statements() -> dict[str, str]:
         ),
         "corpus_files": "SELECT row_number() OVER (ORDER BY lang IS DISTINCT FROM 'en', doc_id) - 1 AS doc_id,"
         " doc_id AS source_id, coalesce(text, '') AS full_text, source AS screen_name FROM documents",
+        "newest_stream": _with(
+            CORPUS, tail=f"SELECT *, {_clean('full_text')} AS edited_text FROM ({_newest(None)})"
+        ),
+        "growing_counts": _with(
+            CELLS,
+            tail="SELECT row_number() OVER (ORDER BY word) - 1 AS word_id, word, sum(n) AS n,"
+            " count(*) AS docs FROM cells GROUP BY word",
+        ),
         "stream_ingest": f"SELECT *, {_clean('full_text')} AS edited_text FROM ({docs})",
         "clean_text": f"SELECT doc_id, {_clean('full_text')} AS edited_text FROM ({docs})",
         "clean_conversations": f"SELECT doc_id, {_clean('full_text')} AS edited_text FROM ({talks})",

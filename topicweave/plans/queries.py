@@ -30,7 +30,10 @@ from topicweave.operators.search import fold_in, fold_in_smooth, search, search_
 from topicweave.operators.svd import truncated_svd
 from topicweave.session import Scratch
 from topicweave.sources import corpus as src
+from topicweave.streaming.counting import CountStore
 from topicweave.streaming.ingest import land_statuses, start_ingest, stream_statuses
+from topicweave.streaming.newest import newest, read_status_stream
+from topicweave.streaming.newest import newest_stream as newest_of_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -212,6 +215,29 @@ def stream_ingest(spark, sf_dir):
     return stored.select("doc_id", "full_text", "screen_name", "edited_text")
 
 
+def newest_stream(spark, sf_dir):
+    """The newest documents of every account from a stream; every page lands twice."""
+    scratch = Scratch(spark, "newest")
+    landing, target = f"{scratch.path}/landing", f"{scratch.path}/newest"
+    landed = documents(spark, sf_dir).withColumn("created_at", F.lit(None).cast("string"))
+    for _ in range(2):
+        land_statuses(landed, landing)
+        stream = newest_of_stream(read_status_stream(spark, landing), NEWEST)
+        start_ingest(stream, target, f"{scratch.path}/progress").awaitTermination()
+    return newest(spark, target, NEWEST).select("doc_id", "full_text", "screen_name", "edited_text")
+
+
+def growing_counts(spark, sf_dir):
+    """Words with their sums from three pages in turn; each page holds the one before."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    store = CountStore(spark, Scratch(spark, "store").path)
+    for page, languages in enumerate((["en"], ["en", "de"])):
+        held = table.where(F.col("lang").isin(languages)).select("doc_id")
+        store.add(src.spread(documents(spark, sf_dir).join(held, "doc_id", "left_semi")), page)
+    store.add(src.spread(documents(spark, sf_dir)), 2)
+    return store.vocabulary().join(store.words(), "word").select("word_id", "word", "n", "docs")
+
+
 # --- text ---------------------------------------------------------------------
 
 
@@ -505,6 +531,8 @@ def registry() -> dict[str, Query]:
         "generated_corpus": generated_corpus,
         "corpus_files": corpus_files,
         "stream_ingest": stream_ingest,
+        "newest_stream": newest_stream,
+        "growing_counts": growing_counts,
         "clean_text": clean_text,
         "clean_conversations": clean_conversations,
         "emoticon_filter": emoticon_filter,
