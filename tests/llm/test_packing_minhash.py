@@ -132,6 +132,27 @@ def test_families_with_open_buckets(spark, small, monkeypatch):
     assert got(out) == brute(rows)
 
 
+@pytest.mark.parametrize("order", ["rising", "random", "star"])
+def test_components_take_few_turns(spark, order):
+    """Chains in the worst order, and in any, end after a logarithmic number of turns."""
+    from topicweave.session import Scratch
+
+    n = 400
+    path = [*range(2, n + 1), 1]
+    if order == "random":
+        random.Random(3).shuffle(path)
+    pairs = list(zip(path, path[1:])) if order != "star" else [(k, n) for k in range(1, n)]
+    pairs += [(1000 + k, 1001 + k) for k in range(0, 60, 2)]  # and some other components
+    scratch, turns = Scratch(spark, "turns"), []
+    write = scratch.slot
+    scratch.slot = lambda df, name, turn: turns.append(turn) or write(df, name, turn)
+    found = minhash.components(spark.createDataFrame(pairs, "a long, b long"), scratch, "t").collect()
+    roots = {r.node: r.root for r in found}
+    assert all(roots[k] == 1 for k in range(1, n + 1))
+    assert all(roots[1000 + k] == 1000 + k - k % 2 for k in range(60))
+    assert max(turns) <= 2 * np.log2(n) + 4
+
+
 def test_estimate():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.75, 0.9):

@@ -307,8 +307,11 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``node, root``: the smallest node reachable, for every node with a link.
 
-    Each turn a node takes the smallest label around it and then that label's own label, so
-    long chains shorten by half. Labels are written each turn.
+    A node's label is a smaller node of its component. Each turn a node looks at its
+    neighbours' labels' labels; the smallest is offered to the node and to its present label,
+    and the node takes its own label's label if that is smaller. Labels form trees whose
+    height halves and whose roots are hooked to smaller ones, so chains of any order take a
+    logarithmic number of turns. Labels are written each turn.
     """
     edges = scratch.write(
         links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges"
@@ -320,16 +323,21 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     turn = 0
     while True:
         turn += 1
-        near = edges.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(
-            F.min("root").alias("near")
-        )
-        better = labels.join(near, labels["node"] == near["a"]).select(
-            "node", "root", F.least("root", "near").alias("label")
-        )
-        jump = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = better.join(jump, better["label"] == jump["_n"], "left").select(
-            "node", F.least("label", F.coalesce("_r", "label")).alias("root"), F.col("root").alias("old")
+        above = labels.select(F.col("node").alias("_n"), F.col("root").alias("up"))
+        high = labels.join(above, labels["root"] == above["_n"]).select("node", "root", "up")
+        near = edges.join(high.select(F.col("node").alias("b"), "up"), "b").groupBy("a").agg(F.min("up").alias("near"))
+        seen = high.join(near, high["node"] == near["a"])
+        # (node, label offered): to the node itself and to the label it has
+        offers = seen.select(
+            F.inline(
+                F.array(
+                    F.struct(F.col("node"), F.least("up", "near").alias("offer"), F.col("root").alias("old")),
+                    F.struct(F.col("root").alias("node"), F.col("near").alias("offer"), F.lit(None).cast("long").alias("old")),
+                )
+            )
         )
+        new = offers.groupBy("node").agg(F.min("offer").alias("offer"), F.max("old").alias("old"))
+        new = new.select("node", F.least("old", "offer").alias("root"), "old")
         new = scratch.slot(new, f"{name}-labels", turn)
         if new.where("root < old").isEmpty():
             return new.select("node", "root")
@@ -348,7 +356,9 @@ def leaders(members: DataFrame, popular: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``doc_id, ta, tb, n_shingles, component_id, kept`` of every document."""
+    """``doc_id, ta, tb, n_shingles, component_id, kept, root`` of every document; ``root`` is one
+    number per component, null for documents without words.
+    """
     scratch = Scratch(docs.sparkSession, "minhash")
     threshold = percent / 100
     sketch = scratch.write(
@@ -413,7 +423,7 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     least = owned.groupBy("root").agg(F.min("first_doc").alias("component"))
     named = owned.join(least, "root").select(
-        F.col("sa").alias("_sa"), F.col("sb").alias("_sb"), F.col("n").alias("_n"), "component"
+        F.col("sa").alias("_sa"), F.col("sb").alias("_sb"), F.col("n").alias("_n"), "component", "root"
     )
     out = sketch.join(
         named, (sketch["sa"] == named["_sa"]) & (sketch["sb"] == named["_sb"]) & (sketch["n"] == named["_n"]), "left"
@@ -421,5 +431,5 @@ def link(docs: DataFrame, percent: int = 75) -> DataFrame:
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id", "ta", "tb", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        component.eqNullSafe(F.col("doc_id")).alias("kept"),
+        component.eqNullSafe(F.col("doc_id")).alias("kept"), "root",
     )

@@ -80,7 +80,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.link(documents(spark, sf_dir, "doc_id", "text")).drop("ta", "tb")
+    return minhash.link(documents(spark, sf_dir, "doc_id", "text")).drop("ta", "tb", "root")
 
 
 def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
