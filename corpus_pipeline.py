@@ -37,10 +37,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
+    """One document of each group of near duplicates: the smallest id, nulls last, then by
+    the hashes of the text. Documents without words are linked with nothing and all stay."""
     docs, names, columns = sealed(docs, ["doc_id", "text"])
-    kept = minhash.link(docs).where("kept").select("doc_id", "ta", "tb").distinct()
-    kept = kept.toDF("_doc", "_ta", "_tb")
+    linked = minhash.link(docs).select("root", "doc_id", "ta", "tb")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "ta", "tb")).alias("first")
+    chosen = linked.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.ta", "first.tb")
+    wordless = linked.where("root is null").select("doc_id", "ta", "tb").distinct()
+    kept = chosen.unionByName(wordless).toDF("_doc", "_ta", "_tb")
     keyed = docs.withColumns(
         {"_a": F.xxhash64("text"), "_b": F.xxhash64(F.lit(1), F.col("text"))}
     )
