@@ -31,6 +31,8 @@ from topicweave.operators.counts import word_counts
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Cells of one document beyond this are spread over several blocks.
 DOCUMENT_CELLS = 1_000_000
+# Input of a block: texts and cells beyond this get more blocks than the session's partitions.
+BLOCK_BYTES = 64 * 1024 * 1024
 
 
 def _share(z: str) -> str:
@@ -154,24 +156,44 @@ def default_blocks(spark: SparkSession) -> int:
     return blocks
 
 
+def blocks_for(rows: DataFrame) -> int:
+    """The default number of blocks, or more where Spark's estimate of the input asks for it.
+
+    Rows whose size Spark can't tell (it then assumes the largest number) get the default.
+    """
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0
+    return max(default_blocks(rows.sparkSession), -(-known // BLOCK_BYTES))
+
+
 def place_corpus(
-    corpus: DataFrame, blocks: int | None = None, broadcast_bytes: int = BROADCAST_BYTES
+    corpus: DataFrame,
+    blocks: int | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    document_cells: int = DOCUMENT_CELLS,
 ) -> CellBlocks:
     """Count the words of a corpus and place the cells.
 
     The texts travel, not the (larger) cells: a document goes to its block first
-    and is cleaned (unless ``edited_text`` is there) and counted in place. Its
-    cells come from one text row, which bounds them.
+    and is cleaned (unless ``edited_text`` is there) and counted in place. Where a document
+    turns out to have more than ``document_cells`` cells, the counted cells are placed anew by
+    :func:`place_cells`, which spreads it over several blocks.
     """
-    blocks = blocks or default_blocks(corpus.sparkSession)
     column = "edited_text" if "edited_text" in corpus.columns else "full_text"
-    texts = corpus.select(
-        _block_of(F.col("doc_id"), F.lit(0), blocks).alias("block"), "doc_id", column
-    ).repartitionById(blocks, F.col("block"))
+    rows = corpus.select("doc_id", column)
+    blocks = blocks or blocks_for(rows)
+    texts = rows.withColumn("block", _block_of(F.col("doc_id"), F.lit(0), blocks))
+    texts = texts.repartitionById(blocks, F.col("block"))
     if column == "full_text":
         texts = texts.withColumn("edited_text", clean_text(F.col("full_text")))
-    placed = texts.select("block", "doc_id", F.inline(word_counts(F.col("edited_text"))))
-    return _measured(placed, blocks, None, broadcast_bytes)
+    placed = texts.select("block", "doc_id", F.inline(word_counts(F.col("edited_text")))).persist()
+    # a document lies in one block, so its cells are counted there
+    largest = placed.groupBy("block", "doc_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= document_cells:
+        return _measured(placed, blocks, None, broadcast_bytes)
+    spread = place_cells(placed.select("word", "doc_id", "n"), blocks, broadcast_bytes, document_cells)
+    placed.unpersist()
+    return spread
 
 
 def place_cells(
@@ -185,7 +207,7 @@ def place_cells(
     Documents are counted first; the cells of a large one are spread by word over
     several blocks. There are at most ``cells / document_cells`` large ones.
     """
-    blocks = blocks or default_blocks(cells.sparkSession)
+    blocks = blocks or blocks_for(cells)
     sizes = cells.groupBy("doc_id").count().where(F.col("count") > document_cells)
     split_docs = sizes.select(
         "doc_id", F.ceil(F.col("count") / F.lit(document_cells)).cast("int").alias("parts")
@@ -214,7 +236,8 @@ def _measured(
     return CellBlocks(
         cells=placed,
         blocks=blocks,
-        n_docs=placed.select("block", "doc_id").distinct().count(),
+        # an unsplit document lies in one block: counted without a shuffle
+        n_docs=placed.select(*(["doc_id"] if split_docs is not None else ["block", "doc_id"])).distinct().count(),
         n_words=placed.select("word").distinct().count(),
         n_cells=size["cells"],
         total=size["total"],

@@ -2,36 +2,74 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicweave.functions.vectors import column_sums, dot, grouped_sums, total
+from topicweave.functions.vectors import UNROLL, dot, joined_slabs, literal, slab_sums, total, with_slabs
 from topicweave.operators.cells import CellBlocks
 from topicweave.operators.gram import gram
+from topicweave.session import Scratch
 
 
-def _first_order(
-    ratio: DataFrame, factor: DataFrame, other_sums: DataFrame, key: str, k: int
-) -> DataFrame:
-    """``sum |min(f, grad)|`` with ``grad = other_sums - ratio`` per row of the factor; a row
-    without a cell has ratio 0.
+def _sides(cells: DataFrame, k: int) -> DataFrame:
+    """``side, word, doc_id, s, log_part, x, square``: in one pass over the joined cells, the
+    sums ``t b`` of every word and ``t a`` of every document (``t = x / model``), and with the
+    words' rows what the measures of all cells are made of.
+    """
+    none = F.lit(0.0)
+    word = F.struct(
+        F.lit("words").alias("side"), F.col("word"), F.lit(None).cast(cells.schema["doc_id"].dataType).alias("doc_id"),
+        F.col("b").alias("f"), F.expr("x * ln(t)").alias("log_part"), F.col("x"),
+        F.expr("x * x - 2 * x * model").alias("square"), F.col("t"),
+    )
+    doc = F.struct(
+        F.lit("docs").alias("side"), F.lit(None).cast("string").alias("word"), F.col("doc_id"),
+        F.col("a").alias("f"), none.alias("log_part"), none.alias("x"), none.alias("square"), F.col("t"),
+    )
+    rows = cells.select(F.inline(F.array(word, doc)))
+    keys, measures = ["side", "word", "doc_id"], ["log_part", "x", "square"]
+    if k <= UNROLL:
+        sums = [F.expr(f"sum(t * f[{z}])").alias(f"s{z}") for z in range(k)]
+        found = rows.groupBy(*keys).agg(*sums, *[F.sum(m).alias(m) for m in measures])
+        return found.select(*keys, F.array(*[f"s{z}" for z in range(k)]).alias("s"), *measures)
+    summed = with_slabs(rows, k).groupBy(*keys, "slab").agg(
+        *slab_sums(k, lambda z: f"t * f[{z}]"), *[F.sum(m).alias(m) for m in measures]
+    )
+    return summed.groupBy(*keys).agg(
+        joined_slabs(k), *[F.max(F.when(F.col("slab") == 0, F.col(m))).alias(m) for m in measures]
+    )
+
+
+def _sums_and_gram(factor: DataFrame, name: str, k: int) -> tuple[list[float], np.ndarray]:
+    """Column sums and Gram matrix of a factor from one pass: a column of ones stands beside."""
+    wide = factor.select(F.concat(name, F.array(F.lit(1.0))).alias("f"))
+    both = gram(wide, "f", k + 1)
+    return both[k, :k].tolist(), both[:k, :k]
+
+
+def _first_order(factor: DataFrame, sums: DataFrame, other_sums: list[float], key: str, k: int) -> DataFrame:
+    """``sum |min(f, grad)|`` with ``grad = other_sums - s`` per row of the factor; a row without
+    a cell has s = 0.
     """
     none = F.array_repeat(F.lit(0.0), k)
-    rows = factor.join(ratio, key, "left").withColumn("s", F.coalesce("s", none))
-    rows = rows.withColumn("m", other_sums.scalar())
+    rows = factor.join(sums, key, "left").withColumn("s", F.coalesce("s", none))
+    rows = rows.withColumn("m", literal(other_sums))
     gap = total(k, lambda z: f"abs(least(f[{z}], m[{z}] - s[{z}]))")
     return rows.agg(F.expr(f"sum({gap})").alias("residual"))
 
 
-def residuals(blocks: CellBlocks, w: DataFrame, h: DataFrame, k: int) -> DataFrame:
+def residuals(
+    blocks: CellBlocks, w: DataFrame, h: DataFrame, k: int, scratch: Scratch | None = None
+) -> DataFrame:
     """One row ``(kl, frobenius, kkt_w, kkt_h)`` for factors of the joint distribution.
 
     ``w`` is ``(word, a)``, ``h`` is ``(doc_id, b)`` and ``a . b`` models
-    ``x = n / total``. Only non-zero cells are read; the sums over all other cells
+    ``x = n / total``. Only non-zero cells are read, once; the sums over all other cells
     follow from the column sums and the Gram matrices.
     """
+    scratch = scratch or Scratch(blocks.cells.sparkSession, "residuals")
     cells = blocks.joined(w, h, k).select(
-        "block",
         "word",
         "doc_id",
         "a",
@@ -39,26 +77,18 @@ def residuals(blocks: CellBlocks, w: DataFrame, h: DataFrame, k: int) -> DataFra
         F.expr(f"n / {blocks.total!r}D AS x"),
         F.expr(f"({dot('a', 'b', k)}) AS model"),
     )
-    cells = cells.withColumn("t", F.expr("x / model"))
-    w_sums, h_sums = column_sums(w, "a", k), column_sums(h, "b", k)
-    by_word = grouped_sums(cells, ["word"], k, lambda z: f"t * b[{z}]")
-    by_doc = grouped_sums(cells, ["doc_id"], k, lambda z: f"t * a[{z}]")
-    w_rows = w.select("word", F.col("a").alias("f"))
-    h_rows = h.select("doc_id", F.col("b").alias("f"))
-    kkt_w = _first_order(by_word, w_rows, h_sums, "word", k)
-    kkt_h = _first_order(by_doc, h_rows, w_sums, "doc_id", k)
-    cell_sums = cells.agg(
-        F.expr("sum(x * ln(t))").alias("log_part"),
-        F.expr("sum(x)").alias("x_sum"),
-        F.expr("sum(x * x - 2 * x * model)").alias("square_part"),
-    )
-    inner = float((gram(w, "a", k) * gram(h, "b", k)).sum())
-    all_cells = dot("mw", "mh", k)
-    return cell_sums.withColumns(
-        {"mw": w_sums.scalar(), "mh": h_sums.scalar()}
-    ).select(
-        F.expr(f"log_part - x_sum + {all_cells}").alias("kl"),
-        F.sqrt(F.greatest(F.col("square_part") + F.lit(inner), F.lit(0.0))).alias("frobenius"),
+    sides = scratch.write(_sides(cells.withColumn("t", F.expr("x / model")), k), "sides")
+    w_sums, w_gram = _sums_and_gram(w, "a", k)
+    h_sums, h_gram = _sums_and_gram(h, "b", k)
+    by_word = sides.where("side = 'words'").select("word", "s")
+    by_doc = sides.where("side = 'docs'").select("doc_id", "s")
+    kkt_w = _first_order(w.select("word", F.col("a").alias("f")), by_word, h_sums, "word", k)
+    kkt_h = _first_order(h.select("doc_id", F.col("b").alias("f")), by_doc, w_sums, "doc_id", k)
+    inner = float((w_gram * h_gram).sum())
+    all_cells = float(np.dot(w_sums, h_sums))
+    return sides.agg(*[F.sum(c).alias(c) for c in ("log_part", "x", "square")]).select(
+        (F.col("log_part") - F.col("x") + F.lit(all_cells)).alias("kl"),
+        F.sqrt(F.greatest(F.col("square") + F.lit(inner), F.lit(0.0))).alias("frobenius"),
         kkt_w.scalar().alias("kkt_w"),
         kkt_h.scalar().alias("kkt_h"),
     )
@@ -68,5 +98,3 @@ def log_likelihood(blocks: CellBlocks, w: DataFrame, h: DataFrame, k: int) -> Da
     """``sum n ln(a . b)``: never falls over EM iterations (up to the floors)."""
     joined = blocks.joined(w, h, k)
     return joined.agg(F.expr(f"sum(n * ln({dot('a', 'b', k)}))").alias("log_likelihood"))
-
-
