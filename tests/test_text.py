@@ -67,3 +67,22 @@ def test_normalisers(spark):
 def test_stop_lists_differ():
     assert "tras" in cleaning_stop_words() and "tras" not in query_stop_words()
     assert "RT" in query_stop_words() and "," in query_stop_words()
+
+
+def test_abbreviations(spark):
+    """Short words that nearly always have a full stop; ends of sentences don't make one."""
+    from topicweave.operators.sentences import abbreviations, listed
+
+    people = ["Smith", "Jones", "Brown", "Lee", "Gray", "Park", "Hill", "Cole"]
+    texts = [f"Then Dr. {p} met prof. {q}, e.g. at work. The work ended. It ended when {q} saw the work" for p in people for q in people]
+    corpus = spark.createDataFrame([(t,) for t in texts], "full_text string")
+    found = {r.word: r for r in abbreviations(corpus).collect()}
+    assert set(found) == {"dr", "prof", "e.g"}
+    assert (found["dr"].stops, found["dr"].plain) == (64, 0)
+    names = listed(abbreviations(corpus))
+    row = spark.createDataFrame([("Dr. Who saw (e.g. prof. Brown) at work. Ask the Dr.",)], "t string").select(
+        tx.word_tokens(F.col("t"), names).alias("kept"), tx.word_tokens(F.col("t")).alias("split")
+    ).first()
+    assert row.kept == ["Dr.", "Who", "saw", "(", "e.g", ".", "prof.", "Brown", ")", "at", "work", ".", "Ask", "the", "Dr", "."]
+    assert row.split[:3] == ["Dr", ".", "Who"]
+    assert abbreviations(corpus.where("full_text = ''")).count() == 0

@@ -6,6 +6,8 @@ they mean the same in Spark (java.util.regex) and in an RE2 engine.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,9 +78,11 @@ def _words(text: Column) -> Column:
     return F.split(as_text(text), WHITE_SPACE)
 
 
-def _tokens_of(words: Column) -> Column:
+def _tokens_of(words: Column, abbreviations: Sequence[str] = ()) -> Column:
     """Every rule looks at one white-space word only, so plain words and words with
     a closing comma or full stop (nearly all) skip them.
+
+    An abbreviation keeps its full stop, but for the last word of the text.
     """
 
     def parts(word: Column) -> Column:
@@ -95,12 +99,21 @@ def _tokens_of(words: Column) -> Column:
             .otherwise(_split_word(word))
         )
 
-    return F.filter(F.flatten(F.transform(words, parts)), lambda t: t != "")
+    if abbreviations:
+        stopped = [f"{a}." for a in abbreviations]
+        last = F.size(F.filter(words, lambda w: w != "")) - 1
+        kept = F.transform(
+            F.filter(words, lambda w: w != ""),
+            lambda w, i: F.when(F.lower(w).isin(stopped) & (i < last), F.array(w)).otherwise(parts(w)),
+        )
+    else:
+        kept = F.transform(words, parts)
+    return F.filter(F.flatten(kept), lambda t: t != "")
 
 
-def word_tokens(text: Column) -> Column:
+def word_tokens(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     """Split a text into words and marks; links lose their scheme."""
-    return _tokens_of(_words(text))
+    return _tokens_of(_words(text), abbreviations)
 
 
 def is_emoticon(token: Column) -> Column:
@@ -128,14 +141,14 @@ def keep_token(token: Column) -> Column:
     )
 
 
-def clean_text(text: Column) -> Column:
+def clean_text(text: Column, abbreviations: Sequence[str] = ()) -> Column:
     """Tokenise, drop stop words, emoticons, punctuation and short links, rejoin.
 
     Stop words that no rule splits (close to half of a text) go before the rules.
     """
     whole = [w for w in cleaning_stop_words() if w.isalpha() and w not in MERGED_WORDS]
     words = F.filter(_words(text), lambda w: ~F.lower(w).isin(whole))
-    return F.array_join(F.filter(_tokens_of(words), keep_token), " ")
+    return F.array_join(F.filter(_tokens_of(words, abbreviations), keep_token), " ")
 
 
 def counted_tokens(text: Column) -> Column:

@@ -18,6 +18,7 @@ from topicweave.functions.wordlists import (
 from topicweave.operators.factors import EPSILON, TINY
 from topicweave.operators.projected import BETA, ENOUGH, TRIALS, TURNS
 from topicweave.operators.search import SEARCH_ITERATIONS, TOP_HITS
+from topicweave.operators.sentences import ALWAYS, AROUND, LEAST_SCORE
 from topicweave.plans.queries import (
     ACCOUNTS,
     EM_ITERATIONS,
@@ -701,6 +702,25 @@ def _newest(accounts: list[str] | None) -> str:
     )
 
 
+def _abbreviations() -> str:
+    words = f"unnest(string_split(regexp_replace(coalesce(text, ''), {_quote(tx.WHITE_SPACE)}, ' ', 'g'), ' '))"
+    bare = f"lower(regexp_replace(raw, {_quote(AROUND)}, '', 'g'))"
+    inner = "(length(word) - length(replace(word, '.', '')))"
+    letters = f"(length(word) - {inner})"
+    return (
+        f"WITH bare AS (SELECT {bare} AS bare FROM (SELECT {words} AS raw FROM documents)), typed AS ("
+        " SELECT bare, ends_with(bare, '.') AND NOT ends_with(bare, '..') AS stop FROM bare"
+        r" WHERE regexp_matches(bare, '\p{L}')), counts AS MATERIALIZED ("
+        " SELECT CASE WHEN stop THEN left(bare, length(bare) - 1) ELSE bare END AS word,"
+        " sum(stop::int)::bigint AS stops, sum(1 - stop::int)::bigint AS plain FROM typed GROUP BY 1),"
+        " share AS (SELECT least(sum(stops) / sum(stops + plain), 1 - 1e-9) AS p FROM counts)"
+        " SELECT word, stops, plain, round(score, 6) AS score FROM (SELECT word, stops, plain,"
+        f" 2 * (stops * ln({ALWAYS!r}::double) + plain * ln(1 - {ALWAYS!r}::double) - stops * ln(p)"
+        f" - plain * ln(1 - p)) * exp(-{letters}) * ({inner} + 1) * pow({letters}::double, -plain) AS score"
+        f" FROM counts, share WHERE stops > 0) WHERE score >= {LEAST_SCORE!r}"
+    )
+
+
 def statements() -> dict[str, str]:
     docs = "SELECT doc_id, text AS full_text, source AS screen_name FROM documents"
     talks = (
@@ -741,6 +761,7 @@ def statements() -> dict[str, str]:
         "stream_ingest": f"SELECT *, {_clean('full_text')} AS edited_text FROM ({docs})",
         "clean_text": f"SELECT doc_id, {_clean('full_text')} AS edited_text FROM ({docs})",
         "clean_conversations": f"SELECT doc_id, {_clean('full_text')} AS edited_text FROM ({talks})",
+        "abbreviations": _abbreviations(),
         "emoticon_filter": f"SELECT doc_id, {_kept(_tokens('full_text'), EMOTICON)} AS kept FROM ({docs})",
         "stopword_filter": f"SELECT doc_id, {_kept(_tokens('full_text'), STOP)} AS kept FROM ({docs})",
         "punctuation_filter": f"SELECT doc_id, {_kept(_tokens('full_text'), f'{PUNCT} OR {LINK}')} AS kept"

@@ -27,6 +27,7 @@ from topicweave.operators.nmf import (
 )
 from topicweave.operators.plsa import fit_em, posterior, start_values
 from topicweave.operators.search import fold_in, fold_in_smooth, search, search_batch, terms_of
+from topicweave.operators.sentences import abbreviations
 from topicweave.operators.svd import truncated_svd
 from topicweave.session import Scratch
 from topicweave.sources import corpus as src
@@ -256,6 +257,12 @@ def _kept(corpus: DataFrame, drop) -> DataFrame:
     return src.spread(corpus).select("doc_id", F.array_join(kept, " ").alias("kept"))
 
 
+def abbreviation_scores(spark, sf_dir):
+    """Abbreviations among the words of all documents."""
+    found = abbreviations(src.spread(documents(spark, sf_dir)))
+    return found.select("word", "stops", "plain", F.round("score", 6).alias("score"))
+
+
 def emoticon_filter(spark, sf_dir):
     return _kept(documents(spark, sf_dir), tx.is_emoticon)
 
@@ -535,6 +542,7 @@ def registry() -> dict[str, Query]:
         "growing_counts": growing_counts,
         "clean_text": clean_text,
         "clean_conversations": clean_conversations,
+        "abbreviations": abbreviation_scores,
         "emoticon_filter": emoticon_filter,
         "stopword_filter": stopword_filter,
         "punctuation_filter": punctuation_filter,

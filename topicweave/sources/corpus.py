@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -147,9 +148,9 @@ def spread(corpus: DataFrame) -> DataFrame:
     return corpus.repartition(4 * cores, "doc_id")
 
 
-def with_edited_text(corpus: DataFrame) -> DataFrame:
-    """Add the cleaned text."""
-    return corpus.withColumn("edited_text", clean_text(F.col("full_text")))
+def with_edited_text(corpus: DataFrame, abbreviations: Sequence[str] = ()) -> DataFrame:
+    """Add the cleaned text; listed abbreviations keep their full stop."""
+    return corpus.withColumn("edited_text", clean_text(F.col("full_text"), abbreviations))
 
 
 def with_timestamp(corpus: DataFrame) -> DataFrame:
