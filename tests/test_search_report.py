@@ -146,3 +146,18 @@ def test_document_reports(model, texts):
         rows = report.top_docs(model, texts, n_topic=z, n_top_docs=12).orderBy("rank").collect()
         want = sorted(range(60), key=lambda i: (-round(d[i, z], 9), i))[:12]
         assert [r.doc_id for r in rows] == want
+
+
+def test_few_hits_are_looked_up_in_the_scan(spark, model, tmp_path):
+    """The ids of the hits reach the file scan."""
+    path = str(tmp_path / "docs")
+    rows = spark.range(60).selectExpr("id AS doc_id", "'s' AS screen_name", "concat('text ', id) AS full_text")
+    rows.write.parquet(path)
+    hits = spark.createDataFrame([(7, 0.5), (9, 0.4)], "doc_id long, score double")
+    found = report.with_documents(hits, spark.read.parquet(path), 5)
+    assert sorted((r.doc_id, r.full_text) for r in found.collect()) == [(7, "text 7"), (9, "text 9")]
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "In(doc_id, [7,9])" in plan
+    for limit in (50_000, 10**9):
+        more = report.with_documents(hits, spark.read.parquet(path), limit)
+        assert sorted(r.doc_id for r in more.collect()) == [7, 9]

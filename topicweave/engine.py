@@ -11,6 +11,7 @@ from topicweave.operators.counts import joint_distribution, term_counts, vocabul
 from topicweave.operators.nmf import METHODS, Factors, fit_nmf, nmf_to_plsa
 from topicweave.operators.plsa import fit_em
 from topicweave.operators.search import search, search_batch
+from topicweave.session import Scratch
 from topicweave.sources.corpus import generate_corpus, read_corpus, with_edited_text, write_corpus
 
 
@@ -52,8 +53,8 @@ class TopicEngine:
         return self.corpus
 
     def generate_matrix(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Joint distribution, counts and vocabulary."""
-        cells = term_counts(self.get_corpus())
+        """Joint distribution, counts and vocabulary. The texts are cleaned and counted once."""
+        cells = Scratch(self.spark, "matrix").write(term_counts(self.get_corpus()), "cells")
         return joint_distribution(cells), cells, vocabulary(cells)
 
     @property

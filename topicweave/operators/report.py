@@ -52,10 +52,23 @@ def top_docs(
     )
 
 
+#: Up to so many hits are looked up by their ids; up to more they are sent to the corpus.
+LOOKED_UP, SENT = 1_000, 100_000
+
+
 def with_documents(hits: DataFrame, corpus: DataFrame, at_most: int) -> DataFrame:
-    """Look up the document of each hit; few hits are sent to the corpus scan."""
+    """Look up the document of each hit.
+
+    The ids of few hits go into the scan, which then skips the files and row groups without
+    them; more hits are sent to the scan, and beyond that both sides are joined.
+    """
     wanted = corpus.select("doc_id", "screen_name", "full_text")
-    if at_most <= 100_000:
+    if at_most <= LOOKED_UP:
+        rows = hits.collect()  # at_most rows
+        found = hits.sparkSession.createDataFrame(rows, hits.schema)
+        ids = sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})
+        return wanted.where(F.col("doc_id").isin(ids)).join(F.broadcast(found), "doc_id")
+    if at_most <= SENT:
         return wanted.join(F.broadcast(hits), "doc_id")
     return hits.join(wanted, "doc_id")
 
