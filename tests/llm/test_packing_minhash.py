@@ -72,6 +72,23 @@ def test_sum_of_squares_rule():
     assert sequence.max() + 1 <= 1.1 * lengths.sum() / 20
 
 
+@pytest.mark.parametrize("per_task", [20_000, 5_000])
+def test_few_sequences(per_task):
+    """Close to the least number that the sizes allow, in one task and in several."""
+    rng = np.random.default_rng(6)
+    lengths = np.concatenate([rng.integers(1, 2049, 6_000), rng.geometric(1 / 250, 14_000).clip(1, 2048)])
+    rng.shuffle(lengths)
+    used = 0
+    for first in range(0, len(lengths), per_task):
+        own = lengths[first : first + per_task]
+        order = packing.placing_order(own, np.arange(len(own)) + first, 2048)
+        assert sorted(order) == list(range(len(own)))
+        used += packing.sum_of_squares(own[order], 2048)[0].max() + 1
+    assert used <= 1.005 * -(-lengths.sum() // 2048)
+    again = packing.placing_order(lengths[:50], np.arange(50), 2048)
+    assert (again == packing.placing_order(lengths[:50], np.arange(50), 2048)).all()
+
+
 def sets(rows):
     out = []
     for i, t, *_ in rows:

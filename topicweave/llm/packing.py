@@ -1,11 +1,12 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 A document's ids end with id 0. Only documents longer than a sequence are cut, into full
-pieces and a shorter last one. Pieces are dealt evenly to tasks; in each, the pieces are
-placed from the longest to the shortest: a piece goes to the open sequence, or a new one, for
-which the sum of the squared counts of open sequences per residual gap becomes smallest.
-A task packs independently, so what is lost against packing all at once is at most the
-sequences a task leaves open, against ``per_task`` pieces.
+pieces and a shorter last one. Pieces are dealt evenly to tasks. A task places its long pieces
+(a third of a sequence or more) from the longest down and then the others in a hashed order,
+for which the rule is made: a piece goes to the open sequence, or a new one, for which the sum
+of the squared counts of open sequences per residual gap becomes smallest. A task packs
+independently, so what is lost against packing all at once is at most the sequences a task
+leaves open, against ``per_task`` pieces.
 
 A null text is empty: one piece, the id 0. Every row is packed, repeated rows and ids too.
 An empty table gives no rows. Extra columns are not read.
@@ -22,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicweave.llm.hashing import mixed
 from topicweave.llm.tokens import default_path, tokenizer
 from topicweave.session import Scratch
 
@@ -98,6 +100,14 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return sequence, offset
 
 
+def placing_order(lengths: np.ndarray, at: np.ndarray, capacity: int) -> np.ndarray:
+    """Long pieces from the longest down, then the others by a hash of their number ``at``."""
+    with np.errstate(over="ignore"):
+        drawn = mixed(at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    size = np.where(3 * lengths >= capacity, lengths, 0)
+    return np.lexsort((at, drawn, -size))
+
+
 def pack(
     docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, per_task: int = 50_000
 ) -> DataFrame:
@@ -111,7 +121,7 @@ def pack(
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if table is None or not len(table):
             return
-        table = table.sort_by([("length", "descending"), ("_at", "ascending")])
+        table = table.take(placing_order(table["length"].to_numpy(), table["_at"].to_numpy(), capacity))
         sequence, offset = sum_of_squares(table["length"].to_numpy(), capacity)
         sequence += TaskContext.get().partitionId() << 36
         table = table.drop_columns(["_at"])
