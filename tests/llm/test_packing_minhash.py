@@ -29,6 +29,20 @@ def test_tokens_equal_the_library(rows, whole, monkeypatch):
         assert got == whole.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_other_tokenizer_files(rows):
+    """A file with other settings is used as its library does."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    assert tokens.WordTokenizer(tokens.default_path()).shortcut and not own.shortcut
+    for text in [r[1] for r in rows if r[1] and len(r[1]) < 2_000]:
+        got = np.frombuffer(b"".join(own.encode(text)), dtype="<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_and_sequences(docs, rows, whole, nothing):
     out = packing.pack(docs, capacity=CAPACITY, per_task=40).collect()
     expected = []

@@ -4,11 +4,13 @@ White space only separates words for this tokenizer, so the ids of a text are th
 white-space separated chunks in order. A text of printable ASCII and Latin-1 letters is split
 into lower-cased pieces (words, digits, runs of signs), which go straight to the BPE model. Any
 other text is taken by chunks, and those with other characters go through the whole tokenizer.
+Files with other settings encode each text whole.
 A worker keeps the ids of short pieces and chunks, so many at most: its store is bounded in bytes.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -23,6 +25,23 @@ KEPT_LENGTH = 64
 #: Texts are split at white space into stretches of about so many characters.
 STRETCH = 1 << 20
 
+# The settings of the file that the shortcuts are made for.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # The characters the shortcut handles, and the file's own splitting pattern.
 _PLAIN = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-z0-9ß-öø-ÿ]+")
@@ -58,6 +77,10 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings are ordinary text
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        # other files' texts go through the tokenizer whole
+        self.shortcut = held["normalizer"] == _NORMALIZER and held["pre_tokenizer"] == _SPLITTER
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.pieces: dict[str, bytes] = {}
@@ -93,6 +116,9 @@ class WordTokenizer:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids of the stretches of a text, as little-endian 32-bit numbers."""
+        if not self.shortcut:
+            yield _packed(self.whole.encode(text, add_special_tokens=False).ids)
+            return
         at = 0
         while at < len(text):
             end = len(text)

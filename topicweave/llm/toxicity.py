@@ -10,9 +10,10 @@ as they are commoner in toxic documents. Thresholds are calibrated on labelled r
 dictionaries have not seen: a logistic fit over the largest gain of a window, the share and
 the number of windows that gain.
 
-Learning uses a bounded sample: at most ``SAMPLE`` labelled rows of a class, those whose ids
-hash lowest, of texts up to ``SAMPLE_CHARS``. Scoring takes whole texts; a stretch without
-white space is cut into windows of ``LONGEST`` characters.
+Learning uses a bounded sample: at most ``SAMPLE`` labels of a class, those whose ids hash
+lowest, and of their rows (ids may repeat) at most four times as many, with texts up to
+``SAMPLE_CHARS``; these teach whole. Scoring takes whole texts; a stretch without white space
+is cut into windows of ``LONGEST`` characters.
 
 A null or empty text scores as a text without gains. A label that is null or belongs to no
 document teaches nothing. If a class has no row in the sample, all scores are the share of
@@ -190,7 +191,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     clean = [
         " ".join(w for w in text.lower().split() if marks.isdisjoint(_grams(w))) for text in teach[1]
     ]
-    lines = [w for text in clean for w in windows(text)[:40]] or [b" "]
+    lines = [w for text in clean for w in windows(text)] or [b" "]
     common = _trained(lines[::2], COMMON_BYTES)
     # b" " keeps both dictionaries long enough for the library to take them
     pad = b" " * 16
