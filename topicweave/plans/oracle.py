@@ -22,6 +22,7 @@ from topicweave.operators.sentences import ALWAYS, AROUND, LEAST_SCORE
 from topicweave.plans.queries import (
     ACCOUNTS,
     EM_ITERATIONS,
+    EXAMPLE_TOPICS,
     K,
     MANY_TOPICS,
     NEWEST,
@@ -893,6 +894,12 @@ def statements() -> dict[str, str]:
     )
     with _topics(MANY_TOPICS):
         sql["plsa_many_topics"] = _with(CELLS, _em(1), tail=_unpivot("w1", "word"))
+    with _topics(EXAMPLE_TOPICS):
+        sql["plsa_example_topics"] = _with(
+            CELLS,
+            _em(1),
+            tail=" UNION ALL ".join(f"SELECT {z}::int AS z, round(p{z}, 9) AS p FROM z1" for z in Z),
+        )
     with _topics(10):
         sql["plsa_defaults"] = _with(
             CELLS,

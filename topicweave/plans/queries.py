@@ -41,6 +41,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 K = 5
 EM_ITERATIONS = 3
 MANY_TOPICS = 40
+EXAMPLE_TOPICS = 200
 NMF_ITERATIONS = 2
 ACCOUNTS = ["src0", "src7", "src13"]
 NEWEST = 20
@@ -355,6 +356,13 @@ def plsa_many_topics(spark, sf_dir):
     return _long(model.words, "word")
 
 
+def plsa_example_topics(spark, sf_dir):
+    """As many topics as the example of the library's users: 200; one iteration."""
+    corpus = documents(spark, sf_dir)
+    model = fit_em(blocks_of(spark, sf_dir), EXAMPLE_TOPICS, 1, corpus=corpus)
+    return model.topics.select("z", F.round("p", 9).alias("p"))
+
+
 def plsa_defaults(spark, sf_dir):
     """The default model: 10 topics, 20 iterations."""
     model = fit_em(blocks_of(spark, sf_dir), 10, 20, corpus=documents(spark, sf_dir))
@@ -560,6 +568,7 @@ def registry() -> dict[str, Query]:
         "plsa_doc_topics": plsa_doc_topics,
         "plsa_topic_prior": plsa_topic_prior,
         "plsa_many_topics": plsa_many_topics,
+        "plsa_example_topics": plsa_example_topics,
         "plsa_defaults": plsa_defaults,
         "plsa_warm_start": plsa_warm_start,
         "plsa_weighted": plsa_weighted,
