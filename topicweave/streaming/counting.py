@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from topicweave.operators.counts import term_counts, vocabulary
-from topicweave.sources.corpus import with_edited_text
+from topicweave.operators.counts import counted_cells, vocabulary
 
 #: Parts of a level that become one part of the next.
 FAN = 4
@@ -65,8 +64,8 @@ class CountStore:
         done = self.pages
         if page in done:
             return
-        rows = corpus if "edited_text" in corpus.columns else with_edited_text(corpus)
-        rows = rows.select("doc_id", "edited_text").dropDuplicates(["doc_id"])
+        text = "edited_text" if "edited_text" in corpus.columns else "full_text"
+        rows = corpus.select("doc_id", text).dropDuplicates(["doc_id"])
         rows = rows.where("doc_id is not null").persist()
         span = rows.agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
         if done and span["n"]:
@@ -78,7 +77,7 @@ class CountStore:
         else:
             fresh = rows
         part = f"page={page}"
-        self._write(term_counts(fresh), "cells", part)
+        self._write(counted_cells(fresh), "cells", part)
         self._write(fresh.select("doc_id"), "ids", part)
         cells = self.spark.read.parquet(f"{self.path}/cells/{part}")
         sums = cells.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
