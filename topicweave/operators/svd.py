@@ -71,7 +71,7 @@ class _Basis:
         self.blocks, self.scratch = blocks, scratch
         self.turn = 0
         centred = F.transform(seed_vector("v", F.col("word"), width), lambda u: u - 0.5)
-        words = blocks.cells.select("word").distinct().select("word", centred.alias("f"))
+        words = blocks.words.select("word", centred.alias("f"))
         words = scratch.write(words, "v-start")
         for _ in range(2):  # the second time against rounding
             t, _ = _whitening(gram(words, "f", words.select(F.size("f")).first()[0]))
