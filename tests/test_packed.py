@@ -3,14 +3,15 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dense_counts import dense
-from topicweave.functions import text as tx
+from topicweave.functions import counted, text as tx
 from topicweave.functions.counted import counted_words
 from topicweave.operators import cells, factors, passes
-from topicweave.operators.cells import place_cells
+from topicweave.operators.cells import place_cells, place_corpus
 from topicweave.operators.counts import term_counts, word_counts
 from topicweave.session import Scratch
 
@@ -32,6 +33,38 @@ def test_words_cleaned_once_count_like_cleaned_texts(spark):
         assert row.fast == row.plain, text
 
 
+@pytest.mark.parametrize("known", [1, 1000])
+def test_texts_counted_in_pieces(monkeypatch, known):
+    """Pieces change nothing, nor do words that were forgotten and learnt again."""
+    monkeypatch.setattr(counted, "PIECE_BYTES", 8)
+    monkeypatch.setattr(counted, "KNOWN_WORDS", known)
+    texts = ["one two, one", None, "", "two can't ONE", "\U00010d50\U00010d51", " three\x1cthree ", "three"]
+    count = counted._counter()
+    for _ in range(2):
+        rows = count(pa.array(texts)).to_pylist()
+        found = [None if r is None else {c["word"]: c["n"] for c in r} for r in rows]
+        assert found == [{"one": 2, "two": 1}, {}, {}, found[3], None, {"three": 2}, {"three": 1}]
+        assert found[3]["two"] == found[3]["one"] == 1
+    assert len(count(pa.array([], pa.string()))) == 0
+
+
+def test_cells_of_a_block_go_to_one_group_of_documents(spark, monkeypatch):
+    """Else each word of a block would be packed once per group before it travels."""
+    monkeypatch.setattr(cells, "PACKED_DOCS", 20)
+    texts = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("alpha beta gamma").alias("edited_text"))
+    placed = place_corpus(texts, 6)
+    packed = placed.packed(3)
+    assert packed.doc_groups == 3 and packed.word_groups == 2
+    group = F.floor(F.col("packed") / packed.word_groups)
+    docs = packed.rows.where("mark = 0").select(F.col("block").alias("packed"), F.explode("d").alias("doc_id"))
+    homes = docs.join(placed.cells.select("doc_id", "block").distinct(), "doc_id").select("block", group.alias("group"))
+    assert homes.distinct().count() == homes.select("block").distinct().count()
+    # a word comes in one row per block of the cells at most
+    assert packed.rows.where("mark = 1").count() <= 3 * placed.cells.select("block").distinct().count()
+    assert packed.rows.where("mark = 1").select(F.sum(F.size("d"))).first()[0] == 180
+    placed.release()
+
+
 @pytest.mark.parametrize("k", [3, 40])
 @pytest.mark.parametrize("broadcast_bytes", [0, 1 << 30])
 def test_packed_groups_give_the_same_sums(spark, corpus, monkeypatch, k, broadcast_bytes):
