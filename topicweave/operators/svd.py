@@ -1,8 +1,8 @@
 """Truncated singular value decomposition by block Lanczos with a residual bound.
 
 Uses the same cell sums as the models: ``X V`` is a sum per document, ``X' U`` a sum per word.
-The basis lives in the word rows, one array each; only matrices of the basis' width reach the
-driver. Every singular triple comes with a bound on its error, and the turns end when all wanted
+The basis lives in the rows of the shorter side, documents or words, one array each; only matrices
+of the basis' width reach the driver. Every singular triple comes with a bound on its error, and the turns end when all wanted
 bounds are small enough.
 """
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from topicweave.operators.cells import CellBlocks
 from topicweave.operators.factors import seed_vector
 from topicweave.operators.gram import gram, map_rows
+from topicweave.operators.projected import step_rows
 from topicweave.session import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,8 +34,8 @@ BASIS_WIDTHS = 6
 class Decomposition:
     """``X ~ U diag(sigma) V'``: words ``(word, f)`` hold V, docs ``(doc_id, f)`` hold U.
 
-    ``bounds`` has, per value, the norm of ``X'X v - sigma^2 v`` relative to the largest
-    ``sigma^2``: some square of a true singular value lies at most so far away.
+    ``bounds`` has, per value, the norm of ``X'X v - sigma^2 v`` (``X X'u - sigma^2 u`` where the
+    basis lives in the documents) relative to the largest ``sigma^2``: some square of a true singular value lies at most so far away.
     """
 
     words: DataFrame
@@ -65,18 +66,26 @@ def _whitening(g: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarra
 
 
 class _Basis:
-    """Orthonormal columns over the words, and ``T = V' X'X V`` in units of counts."""
+    """Orthonormal columns V over the words, and ``T = V' X'X V`` in units of counts; or the same of
+    X' over the documents.
+    """
 
     def __init__(self, blocks: CellBlocks, width: int, scratch: Scratch) -> None:
         self.blocks, self.scratch = blocks, scratch
         self.turn = 0
-        centred = F.transform(seed_vector("v", F.col("word"), width), lambda u: u - 0.5)
-        words = blocks.words.select("word", centred.alias("f"))
-        words = scratch.write(words, "v-start")
+        if blocks.n_docs < blocks.n_words:
+            self.key, self.other = "doc_id", "word"
+            rows = blocks.cells.select("doc_id").where("doc_id is not null").distinct()
+        else:
+            self.key, self.other = "word", "doc_id"
+            rows = blocks.words.select("word")
+        seeds = seed_vector("v", F.col(self.key), width)
+        rows = rows.select(self.key, F.transform(seeds, lambda u: u - 0.5).alias("f"))
+        rows = scratch.write(rows, "v-start")
         for _ in range(2):  # the second time against rounding
-            t, _ = _whitening(gram(words, "f", words.select(F.size("f")).first()[0]))
-            words = scratch.slot(map_rows(words, "word", ["f"], lambda f, t=t: f @ t, "f"), "v", self._next())
-        self.words = words
+            t, _ = _whitening(gram(rows, "f", rows.select(F.size("f")).first()[0]))
+            rows = scratch.slot(map_rows(rows, self.key, ["f"], lambda f, t=t: f @ t, "f"), "v", self._next())
+        self.rows = rows
         self.size = self.last = t.shape[1]
         self.t = np.zeros((self.size, self.size))
 
@@ -84,23 +93,35 @@ class _Basis:
         self.turn += 1
         return self.turn
 
+    def _sums(self, factor: DataFrame, width: int, key: str) -> DataFrame:
+        """``(key, s)``: the cells' sums with a factor ``f`` of the other side."""
+        return self.blocks.product_sums(factor.withColumnRenamed("f", "b" if key == "word" else "a"), width, key)
+
     def product(self, columns: np.ndarray) -> DataFrame:
-        """``(doc_id, s)``: X times the combinations of basis vectors."""
-        v = map_rows(self.words, "word", ["f"], lambda f: f @ columns, "a")
-        return self.blocks.product_sums(v, columns.shape[1], "doc_id")
+        """``(other key, f)``: X (or X') times the combinations of basis vectors."""
+        v = map_rows(self.rows, self.key, ["f"], lambda f: f @ columns, "f")
+        return self._sums(v, columns.shape[1], self.other).withColumnRenamed("s", "f")
+
+    def images(self, columns: np.ndarray) -> DataFrame:
+        """``(key, s)``: X'X (or X X') times the combinations of basis vectors."""
+        if self.key == "doc_id":
+            v = map_rows(self.rows, self.key, ["f"], lambda f: f @ columns, "b")
+            found = self.blocks.square_sums(v, columns.shape[1])
+            if found is not None:
+                return found
+        others = self.scratch.slot(self.product(columns), "u", self._next())
+        return self._sums(others, columns.shape[1], self.key)
 
     def grow(self) -> np.ndarray:
         """Add the next block. Returns S with ``X'X V_last = V C + V_new S``."""
         m, b = self.size, self.last
-        docs = self.product(np.eye(m)[:, m - b :]).withColumnRenamed("s", "b")
-        docs = self.scratch.slot(docs, "u", self._next())
-        images = self.blocks.product_sums(docs, b, "word")
-        both = self.scratch.slot(self.words.join(images, "word"), "both", self._next())
+        images = self.images(np.eye(m)[:, m - b :])
+        both = self.scratch.slot(step_rows(self.rows, images, self.key, b), "both", self._next())
 
         def crossed(c: np.ndarray, t: np.ndarray) -> np.ndarray:
             """Gram matrix of the basis and ``(W - V c) t``."""
             x = map_rows(
-                both, "word", ["f", "s"], lambda f, s: np.hstack([f, (s - f @ c) @ t]), "x"
+                both, self.key, ["f", "s"], lambda f, s: np.hstack([f, (s - f @ c) @ t]), "x"
             )
             return gram(x, "x", m + t.shape[1])
 
@@ -130,9 +151,9 @@ class _Basis:
         m, b, new = self.size, self.last, t.shape[1]
         old = np.eye(m) if keep is None else keep
         rows = map_rows(
-            both, "word", ["f", "s"], lambda f, s: np.hstack([f @ old, (s - f @ c) @ t]), "f"
+            both, self.key, ["f", "s"], lambda f, s: np.hstack([f @ old, (s - f @ c) @ t]), "f"
         )
-        self.words = self.scratch.slot(rows, "v", self._next())
+        self.rows = self.scratch.slot(rows, "v", self._next())
         inner, link = old.T @ self.t @ old, s @ old[m - b :]
         self.t = np.block([[inner, link.T], [link, np.zeros((new, new))]])
         self.size, self.last = old.shape[1] + new, new
@@ -167,10 +188,14 @@ def truncated_svd(
     top = vectors[:, :wanted]
     norm = np.sqrt(np.maximum(values[:wanted], 0.0))
     safe = np.where(norm > norm[0] * 1e-12, norm, 1.0)
-    docs = scratch.write(basis.product(top).withColumnRenamed("s", "f"), "u-last")
+    others = scratch.write(basis.product(top), "u-last")
+    sides = {
+        basis.key: map_rows(basis.rows, basis.key, ["f"], lambda f: f @ top, "f"),
+        basis.other: map_rows(others, basis.other, ["f"], lambda f: f / safe, "f"),
+    }
     return Decomposition(
-        words=map_rows(basis.words, "word", ["f"], lambda f: f @ top, "f"),
-        docs=map_rows(docs, "doc_id", ["f"], lambda f: f / safe, "f"),
+        words=sides["word"],
+        docs=sides["doc_id"],
         sigma=[float(x) / blocks.total for x in norm],
         bounds=[float(x) for x in bounds[:wanted]],
         turns=turn,
